@@ -1,12 +1,52 @@
-"""A corpus pipeline of text operators: each stage works on all that the one before it kept."""
+"""A corpus pipeline of text operators: each stage works on all that the one before it kept.
+
+Every stage but the last returns the columns of documents. A document whose whole text is deleted by line dedup (a copy of
+earlier ones) goes with it; texts that were empty before stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ohmflow.llm import common, decontam, line_dedup, near_dedup, packing, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity classifier rejects."""
+    return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later repeated runs of 50 words or more; n_chars follows the text."""
+    cut = line_dedup.dedup_lines(docs).filter("removed_words = 0 or trim(text) <> ''")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return near_dedup.deduplicate(docs, 5, 80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark passage."""
+    return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of power-of-two lengths."""
+    return packing.pack(docs, keep_ids=False)
+
 
-STAGES = []
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_copies), ("decontamination", drop_leaks), ("packing", pack)]
+#: A trained classifier and a tokenizer are no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

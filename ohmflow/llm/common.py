@@ -114,25 +114,33 @@ def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         lo = min(hi, n)
 
 
-def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (A-Z folded, split at ASCII white space) of all rows, and each row's first word index."""
+def find_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word (ASCII white space and row ends part words)."""
     n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     space = _SPACE[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
-    edge[0] = edge[n] = True
-    word = ~space
-    first = word.copy()
+    first = ~space
+    last = first.copy()
     first[1:] &= space[:-1] | edge[1:n]
-    last = word
     last[:-1] &= space[1:] | edge[1:n]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _Powers.get(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_FOLD[raw].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), np.searchsorted(start, offsets)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, A-Z folded."""
+    up, down = _Powers.get(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((_FOLD[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z folded, split at ASCII white space) of all rows, and each row's first word index."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    start, end = find_words(raw, offsets)
+    return hash_spans(raw, start, end), np.searchsorted(start, offsets)
 
 
 def hash_shingles(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

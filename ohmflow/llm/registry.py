@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, license_scan, near_dedup, packing, topk
+from . import decontam, license_scan, line_dedup, near_dedup, packing, quote_link, secret_scan, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_odd_sketch": near_dedup.query,
+    "op2_url_segmentation": url_filter.query,
+    "op3_quotation_linking": quote_link.query,
+    "op4_line_winnowing": line_dedup.query,
     "op5_exact_topk_pivots": topk.query,
+    "op6_secret_forest": secret_scan.query,
+    "op7_counterfactual_toxicity": toxicity.query,
     "op8_license_similarity_join": license_scan.query,
     "op9_power_of_two_packing": packing.query,
     "op10_spaced_seed_decontamination": decontam.query,
