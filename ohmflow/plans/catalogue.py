@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from ohmflow.plans import analytics, features, tables  # noqa: F401  they register their queries
+from ohmflow.plans.registry import QUERIES, SQL
+
 FLAGSHIP = "value_change_by_side"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
