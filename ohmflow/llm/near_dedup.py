@@ -5,8 +5,9 @@ give an Odd sketch. The population count of two sketches' XOR estimates a high s
 candidates go before their full sets are fetched; every remaining candidate is confirmed on the full sets.
 
 Groups are never expanded into all pairs. Equal sets become one class first. In a band's bucket every class is compared
-with a few centres (linear in the bucket); after those links are joined into components, only pairs of different
-components that still share a bucket, with alike sizes and sketches, are compared, salted over large buckets.
+with one centre at a time (linear in the bucket), and links are joined into components; after a few rounds, in which only
+buckets of several components get another centre, the pairs of different components that still share a bucket and have
+alike sizes and sketches are compared, salted over large buckets, so no link between components is lost to the centres.
 
 Defined results: null or empty texts, and texts of white space, have no shingles and are linked with nothing; rows with a
 null doc_id are returned with null component_id and kept = true; rows that share a doc_id count as one document; equal
@@ -21,12 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, drop_scratch, hash_shingles, hash_words, materialize, mix64, row_chunks, text_buffers
+from .common import components, hash_shingles, hash_words, materialize, mix64, row_chunks, text_buffers
 
 BANDS, ROWS = 24, 5
 SKETCH_WORDS = 4  # 256 bits
 #: A pair goes on to its full sets unless the sketches' estimate is this far under the threshold (over four deviations).
 SLACK = 0.2
+#: Rounds in which the classes that the first centres leave apart meet other centres of their buckets.
+ROUNDS = 3
+#: Bits of the map by which a scan finds the documents of pairs.
+SPOTS = 1 << 24
 #: Members of a bucket that one salt value holds in the comparison of components.
 SALT_ROWS = 256
 
@@ -102,9 +107,13 @@ def _features(size: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, shared):
     def run(batches):
+        bitmap = shared.value
         for batch in batches:
+            spot = batch.column("spot").to_numpy().astype(np.uint64)
+            wanted = (bitmap[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)
+            batch = batch.filter(pa.array(wanted.astype(bool)))
             raw, offsets = text_buffers(batch.column("text"))
             ids = batch.column("doc_id")
             for lo, hi in row_chunks(offsets):
@@ -118,22 +127,42 @@ def _sets(size: int):
 def _alike(a: str, b: str, percent: int) -> Column:
     """Sizes and Odd sketches that a pair of at least this similarity has."""
     samples, bits = BANDS * ROWS, 64 * SKETCH_WORDS
-    differ = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = lambda c: F.aggregate(F.zip_with(f"{a}.{c}", f"{b}.{c}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # J = 1 + bits / (4 samples) * ln(1 - 2 differ / bits), solved for the most bits that may differ
     most = int(bits / 2 * (1 - np.exp(-4 * samples / bits * (1 - percent / 100 + SLACK))))
     sizes = F.least(f"{a}.n_shingles", f"{b}.n_shingles") * 100 >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * percent
-    return sizes & (differ <= most)
+    return sizes & (apart("sketch") <= most)
+
+
+def _spots(ids: DataFrame) -> np.ndarray:
+    """A bitmap of SPOTS bits with those of these ids set: a fixed size, merged from partial ones."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(SPOTS))
+    placed = ids.select(spot.alias("s")).selectExpr("s div 64 as at", "shiftleft(1L, cast(s % 64 as int)) as bit")
+    parts = placed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bitmap = np.zeros(SPOTS // 64, dtype=np.int64)
+    bitmap[parts["at"].to_numpy(dtype=np.int64)] = parts["bits"].to_numpy(dtype=np.int64)
+    return bitmap.view(np.uint64)
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only the texts of documents in pairs are read into sets."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(size), "doc_id long, members array<long>"), "sets")
+    """The pairs (a, b) whose full sets are similar enough. Texts are read again where they lie: a bitmap of the wanted ids keeps
+    all of them and few others, so that sets and not texts are shuffled."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    shared = docs.sparkSession.sparkContext.broadcast(_spots(wanted))
+    marked = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SPOTS)).alias("spot"))
+    sets = marked.mapInArrow(_sets(size, shared), "doc_id long, members array<long>")
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent).select("a", "b")
+    close = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").filter(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent)
+    return close.select("a", "b")
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) with alike sizes and sketches."""
+    x, y = nodes.alias("x"), nodes.alias("y")
+    joined = pairs.distinct().join(x, F.col("a") == F.col("x.class_id")).join(y, F.col("b") == F.col("y.class_id"))
+    return materialize(joined.filter(_alike("x", "y", percent)).select("a", "b"), "near")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
@@ -147,36 +176,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     )
     nodes = classes.select("class_id", "n_shingles", "sketch")
     entries = classes.select("class_id", F.explode("bands").alias("bucket"))
-    # a bucket's centres: its smallest class and the smallest by two hashes
-    centres = (
-        entries.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("class_id").alias("c0"), F.min_by("class_id", F.xxhash64("class_id")).alias("c1"), F.min_by("class_id", F.xxhash64(F.lit(1), "class_id")).alias("c2"))
-        .filter("n > 1")
-    )
-    shared = materialize(entries.join(centres, "bucket"), "buckets")
-    stars = shared.select("class_id", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("centre")).filter("class_id <> centre")
-    stars = stars.select(F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b")).distinct()
-    x, y = nodes.alias("x"), nodes.alias("y")
-    near = stars.join(x, F.col("a") == F.col("x.class_id")).join(y, F.col("b") == F.col("y.class_id")).filter(_alike("x", "y", percent)).select("a", "b")
-    links = materialize(_confirm(source, materialize(near, "near"), shingle, percent), "links")
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("centre")).filter("n > 1")
+    shared = materialize(entries.hint("merge").join(sizes, "bucket"), "buckets")
+    ordered = lambda rows: rows.filter("class_id <> centre").select(F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b"))
+    # first round: every class with the smallest of its bucket
+    links = materialize(_confirm(source, _near(ordered(shared), nodes, percent), shingle, percent), "links")
     found = components(links)
-    # what the stars leave open: pairs of different components in one bucket
-    placed = shared.select("class_id", "bucket", "n").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    for turn in range(1, ROUNDS + 1):
+        # buckets of several components: their classes with another centre of the bucket, drawn by a hash
+        placed, mixed = _mixed(shared, found)
+        drawn = placed.join(mixed, "bucket").groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "class_id").alias("h"), F.col("class_id").alias("centre"), F.col("component").alias("other"))).alias("c")).select("bucket", "c.centre", "c.other")
+        pairs = ordered(placed.join(drawn, "bucket").filter("component <> other"))
+        near = _near(pairs, nodes, percent)
+        if near.isEmpty():
+            continue
+        more = materialize(_confirm(source, near, shingle, percent), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links)
+    # what is left open: all pairs of different components in one bucket, salted, of which only alike ones come out
+    placed, mixed = _mixed(shared, found)
     open_rows = materialize(placed.join(mixed, "bucket").join(nodes, "class_id"), "open")
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     one = open_rows.withColumn("salt", F.pmod(F.xxhash64("class_id"), salts).cast("int")).alias("x")
     other = open_rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("y")
     rest = one.join(other, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent))
     rest = materialize(rest.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct(), "rest")
-    links = materialize(links.union(_confirm(source, rest, shingle, percent)), "links")
-    found = components(links)
+    if not rest.isEmpty():
+        more = materialize(_confirm(source, rest, shingle, percent), "links")
+        if not more.isEmpty():
+            found = components(links.union(more))
     members = classes.select("set_a", "set_b", "n_shingles", "class_id").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     whole = features.select("doc_id", "n_shingles", "set_a", "set_b").join(members, ["set_a", "set_b", "n_shingles"], "left")
     result = whole.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def _mixed(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries with their component, and the buckets that hold several."""
+    placed = shared.select("class_id", "bucket", "n").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    return placed, placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which near_duplicates() keeps one in each group, with all their columns. Rows that share a doc_id
     stay or go together; rows without one stay."""
