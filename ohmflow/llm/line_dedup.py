@@ -127,7 +127,7 @@ def _cut(batches):
     """Texts without the units of their runs; n_units, removed_words, n_runs."""
     for batch in batches:
         texts = batch.column("text")
-        runs = batch.column("runs")
+        runs = batch.column("_runs")
         out, removed, counts = [], [], []
         for r in range(batch.num_rows):
             spans = runs[r].as_py()
@@ -150,7 +150,7 @@ def _cut(batches):
             out.append(b"".join(data[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(~gone)).rstrip(b" \t\n\r\x0b\x0c").decode())
             removed.append(int(words[gone].sum()))
             counts.append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("text", "runs")), pa.array(out, pa.string()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], names=[*(c for c in batch.schema.names if c not in ("text", "runs")), "text", "removed_words", "n_runs"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("text", "_runs")), pa.array(out, pa.string()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], names=[*(c for c in batch.schema.names if c not in ("text", "_runs")), "text", "removed_words", "n_runs"])
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -171,12 +171,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of docs, texts without their later repeated runs, and removed_words, n_runs."""
+    """All rows and columns of docs, texts without their later repeated runs, and removed_words, n_runs (which replace
+    columns of these names)."""
+    docs = docs.drop("removed_words", "n_runs")
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     plain = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), F.col("text").cast("string").alias("text"))
-    runs = repeated_runs(plain, min_words).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    runs = repeated_runs(plain, min_words).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "end")).alias("_runs"))
     others = [c for c in docs.columns if c != "text"]
-    whole = keyed.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(runs.hint("shuffle_hash"), ["_id", "_key"], "left").select(*others, F.col("text").cast("string").alias("text"), "runs")
+    whole = keyed.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(runs.hint("shuffle_hash"), ["_id", "_key"], "left").select(*others, F.col("text").cast("string").alias("text"), "_runs")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return whole.mapInArrow(_cut, f"{kinds}, text string, removed_words long, n_runs long").select(*docs.columns, "removed_words", "n_runs")
 

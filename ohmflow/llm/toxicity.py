@@ -174,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
     return fit(found["text"].tolist(), found["toxic"].tolist(), penalty)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All columns of docs and score, predicted."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of docs and score, predicted, under these names."""
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # 2^BITS floats, whatever the data
 
@@ -184,13 +184,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         scorer = Scorer(*shared.value)
         return pd.Series([scorer.score(t) for t in parts], dtype="float64")
 
-    return docs.withColumn("score", scored(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn(names[0], scored(F.col("text").cast("string"))).withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    marked = score(docs.withColumnsRenamed({c: c for c in docs.columns}), train(docs, labels))
-    return marked.filter("predicted = 0").select(*docs.columns)
+    return score(docs, train(docs, labels), ("_score", "_toxic")).filter("_toxic = 0").drop("_score", "_toxic")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
