@@ -190,3 +190,24 @@ def transfer_verdict(report: DataFrame) -> DataFrame:
 def ablation_class(deltas: DataFrame, column: str = "delta", tolerance: float = 0.0005) -> DataFrame:
     """deltas and effect: harmful when dropping the feature helps, useful when it hurts, else neutral."""
     return deltas.withColumn("effect", F.when(F.col(column) > tolerance, "harmful").when(F.col(column) < -tolerance, "useful").otherwise("neutral"))
+
+
+# --- row identity ----------------------------------------------------------------------------------------------------
+
+
+def restrict(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of the wanted keys; an absent key is refused."""
+    if not wanted.select(key).join(rows.select(key), key, "left_anti").isEmpty():
+        raise ValueError(f"a wanted {key} is absent")
+    return rows.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def lookup(wanted: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """wanted with columns of the raw rows, and found: false where the raw table lacks the key."""
+    return wanted.join(rows.select(key, *columns, F.lit(True).alias("found")), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def whole_series(rows: DataFrame, wanted: DataFrame, key: str, series: list[str], build) -> DataFrame:
+    """Features that `build` makes from the complete series of the wanted rows, for exactly those rows."""
+    picked = rows.join(wanted.select(key), key, "left_semi").select(*series).distinct()
+    return build(rows.join(picked, series, "left_semi")).join(wanted.select(key), key, "left_semi")

@@ -352,3 +352,29 @@ def embedding_clusters(spark, sf):
     from pyspark.ml.functions import array_to_vector
 
     return models.cluster(rows.withColumn("embedding", array_to_vector("embedding")), "embedding", 10).groupBy("cluster", "label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {P}, l AS (SELECT CASE WHEN site_id % 4 = 0 THEN 'fit' WHEN site_id % 4 = 1 THEN 'train' ELSE 'val' END AS dataset, score_a, y FROM p), {curve_sql('dataset', 'l')} SELECT dataset, {AREAS} FROM v GROUP BY dataset")
+def areas_by_dataset(spark, sf):
+    side = F.when(F.col("site_id") % 4 == 0, "fit").when(F.col("site_id") % 4 == 1, "train").otherwise("val")
+    return metrics.roc_pr(preds(spark, sf).withColumn("dataset", side), ["dataset"])
+
+
+@query(f"""WITH {P}, l AS (SELECT 'before' AS stage, score_a, y FROM p UNION ALL SELECT 'after', CASE WHEN reading = 1 THEN 1.0 WHEN building_id % 3 = 0 THEN 0.0 ELSE score_a END, y FROM p), {curve_sql('stage', 'l')},
+t AS (SELECT count(*) FILTER (reading = 1) AS ones, count(*) FILTER (building_id % 3 = 0) AS masked FROM p) SELECT stage, {AREAS}, max(ones) AS ones, max(masked) AS masked FROM v, t GROUP BY stage""")
+def rule_effect(spark, sf):
+    rows = preds(spark, sf)
+    ruled = F.when(F.col("reading") == 1, F.lit(1.0)).when(F.col("building_id") % 3 == 0, F.lit(0.0)).otherwise(F.col("score"))
+    long = rows.select("y", F.explode(F.array(F.struct(F.lit("before").alias("stage"), F.col("score")), F.struct(F.lit("after").alias("stage"), ruled.alias("score")))).alias("x")).select("y", "x.*")
+    fired = rows.agg(F.count_if(F.col("reading") == 1).alias("ones"), F.count_if(F.col("building_id") % 3 == 0).alias("masked"))
+    return metrics.roc_pr(long, ["stage"]).join(F.broadcast(fired))
+
+
+@query(f"""WITH {P}, l AS (SELECT 'with' AS regime, score_a AS s, y, meter FROM p UNION ALL SELECT 'without', score_b, y, meter FROM p), {curve_sql('regime, meter', 'l', 's')}, m AS (SELECT regime, meter, {AREAS} FROM v GROUP BY ALL),
+d AS (SELECT meter, round(max(roc_auc) FILTER (regime = 'without') - max(roc_auc) FILTER (regime = 'with'), 6) AS delta FROM m GROUP BY meter) SELECT meter, delta, CASE WHEN delta > 0.0005 THEN 'harmful' WHEN delta < -0.0005 THEN 'useful' ELSE 'neutral' END AS effect FROM d""")
+def ablation_effects(spark, sf):
+    from ohmflow.operators import splits
+
+    cells = metrics.score_columns_metrics(preds(spark, sf), ["score_a", "score_b"], ["meter"])
+    gaps = metrics.learner_gaps(cells, ["meter"], "model", "score_b", "score_a", "roc_auc").select("meter", F.col("gap").alias("delta"))
+    return splits.ablation_class(gaps)

@@ -444,3 +444,30 @@ def heavy_context(spark, sf):
 @query(f"WITH {PA} SELECT count(*) AS rows, count(DISTINCT building_id) AS unique_rows, round(1 - count(DISTINCT building_id) / count(*), 6) AS duplicate_rate FROM a")
 def duplicate_use(spark, sf):
     return profile.duplicate_use(preds(spark, sf), "building_id")
+
+
+# --- row identity ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PA}, w AS (SELECT raw_index FROM a WHERE building_id % 7 = 0) SELECT raw_index, meter, anomaly FROM a WHERE raw_index IN (SELECT raw_index FROM w)")
+def restricted_arm(spark, sf):
+    rows = preds(spark, sf)
+    return splits.restrict(rows, rows.filter("building_id % 7 = 0"), "raw_index").select("raw_index", "meter", "anomaly")
+
+
+@query("SELECT o_orderkey AS raw_index, c_custkey IS NOT NULL AS found, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_orderkey")
+def raw_field_lookup(spark, sf):
+    wanted = td.table(spark, sf, "orders").select(F.col("o_orderkey").alias("raw_index"))
+    raw = td.table(spark, sf, "customer").withColumnRenamed("c_custkey", "raw_index")
+    return splits.lookup(wanted, raw, "raw_index", ["c_mktsegment"])
+
+
+@query(f"""WITH {R}, s AS (SELECT *, building_id || '|' || meter || '|' || timestamp AS k, max(meter_reading) OVER (PARTITION BY building_id, meter ORDER BY timestamp RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS s1 FROM r)
+SELECT building_id, meter, timestamp, round(meter_reading - s1, 6) AS lag_value_diff_1, round((meter_reading + 1) / nullif(s1 + 1, 0), 6) AS lag_value_ratio_1 FROM s WHERE building_id = 2 AND hour(timestamp) = 5""")
+def features_of_wanted_rows(spark, sf):
+    from ohmflow.operators import features
+
+    rows = td.readings(spark, sf).withColumn("k", F.concat_ws("|", "building_id", "meter", F.col("timestamp").cast("string")))
+    wanted = rows.filter((F.col("building_id") == 2) & (F.hour("timestamp") == 5))
+    made = splits.whole_series(rows, wanted, "k", ["building_id", "meter"], lambda r: features.value_changes(r, [1], digits=6))
+    return made.select("building_id", "meter", "timestamp", "lag_value_diff_1", "lag_value_ratio_1")
