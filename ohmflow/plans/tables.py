@@ -421,10 +421,10 @@ def draw_against_parent(spark, sf):
     return sampling.representativeness(rows.filter(F.substring(priority(0, F.col("raw_index")), 1, 1) == "0"), rows, "reading")
 
 
-@query("""WITH s AS (SELECT l_linenumber AS seed, l_suppkey AS item FROM lineitem WHERE l_partkey % 50 = 0 GROUP BY 1, 2), n AS (SELECT seed, count(*) AS n FROM s GROUP BY 1), c AS (SELECT x.seed AS a, y.seed AS b, count(*) AS c FROM s x JOIN s y USING (item) WHERE x.seed < y.seed GROUP BY 1, 2)
+@query("""WITH s AS (SELECT l_linenumber AS seed, l_suppkey AS item FROM lineitem GROUP BY 1, 2), n AS (SELECT seed, count(*) AS n FROM s GROUP BY 1), c AS (SELECT x.seed AS a, y.seed AS b, count(*) AS c FROM s x JOIN s y USING (item) WHERE x.seed < y.seed GROUP BY 1, 2)
 SELECT a.seed AS seed_a, b.seed AS seed_b, coalesce(c, 0) AS intersection_count, a.n + b.n - coalesce(c, 0) AS union_count, round(coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)), 6) AS jaccard_similarity FROM n a JOIN n b ON a.seed < b.seed LEFT JOIN c ON c.a = a.seed AND c.b = b.seed""")
 def selection_overlap(spark, sf):
-    rows = td.table(spark, sf, "lineitem").filter("l_partkey % 50 = 0").select(F.col("l_linenumber").alias("seed"), F.col("l_suppkey").alias("item"))
+    rows = td.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("seed"), F.col("l_suppkey").alias("item"))
     return sampling.jaccard(rows, "seed", "item")
 
 
