@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
     """The model, from a bounded sample of labelled documents outside the held-out fold."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_top")).filter("toxic = _top").drop("_top")
     marks = marks.filter(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).orderBy("doc_id", F.xxhash64("text")).select("text", "toxic").limit(rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).orderBy("doc_id", F.xxhash64("text")).select("text", "toxic").limit(rows)
     found: pd.DataFrame = sample.toPandas()
     return fit(found["text"].tolist(), found["toxic"].tolist(), penalty)
 
