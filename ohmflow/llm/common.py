@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +68,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Bytes of text hashed at once; bounds the temporaries of a task, whatever the Arrow batch holds.
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 2000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -106,12 +108,13 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
 
 
 def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
-    """Ranges of whole rows of about `limit` bytes; a longer row is a range of its own."""
+    """Ranges of at most CHUNK_ROWS whole rows and about `limit` bytes; a longer row is a range of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, lo + CHUNK_ROWS, n)
+        yield lo, hi
+        lo = hi
 
 
 def find_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +163,42 @@ def hash_shingles(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.nd
     return value, out_rows
 
 
+# --- maps of wanted keys ---------------------------------------------------------------------------------------------
+
+#: Bits of a map of keys: 2 MB, whatever the number of keys. A key on the map may be wanted; one off it is not.
+SPOTS = 1 << 24
+
+
+def spot(*columns: str) -> Column:
+    """A key's place on the map."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SPOTS))
+
+
+def key_map(keys: DataFrame, *columns: str) -> np.ndarray:
+    """The map of these keys, merged from partial ones."""
+    placed = keys.select(spot(*columns).alias("s")).selectExpr("s div 64 as at", "shiftleft(1L, cast(s % 64 as int)) as bit")
+    parts = placed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(SPOTS // 64, dtype=np.int64)
+    bits[parts["at"].to_numpy(dtype=np.int64)] = parts["bits"].to_numpy(dtype=np.int64)
+    return bits.view(np.uint64)
+
+
+def on_map(bits: np.ndarray, spots) -> np.ndarray:
+    spots = np.asarray(spots).astype(np.uint64)
+    return ((bits[(spots >> np.uint64(6)).astype(np.int64)] >> (spots & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def maybe_wanted(spark: SparkSession, bits: np.ndarray):
+    """A filter on a spot column: true for every wanted key and few others."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def check(spots: pd.Series) -> pd.Series:
+        return pd.Series(on_map(shared.value, spots.to_numpy()))
+
+    return check
+
+
 # --- connected components --------------------------------------------------------------------------------------------
 
 

@@ -22,16 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, hash_shingles, hash_words, materialize, mix64, row_chunks, text_buffers
+from .common import components, hash_shingles, hash_words, key_map, materialize, mix64, on_map, row_chunks, spot, text_buffers
 
 BANDS, ROWS = 24, 5
 SKETCH_WORDS = 4  # 256 bits
+#: Words of the whole set's parity bitmap. Two bitmaps never differ in more bits than the sets in members, so it rejects exactly.
+PARITY_WORDS = 32
 #: A pair goes on to its full sets unless the sketches' estimate is this far under the threshold (over four deviations).
 SLACK = 0.2
 #: Rounds in which the classes that the first centres leave apart meet other centres of their buckets.
-ROUNDS = 3
-#: Bits of the map by which a scan finds the documents of pairs.
-SPOTS = 1 << 24
+ROUNDS = 1
 #: Members of a bucket that one salt value holds in the comparison of components.
 SALT_ROWS = 256
 
@@ -43,6 +43,7 @@ FEATURES = T.StructType(
         T.StructField("set_b", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("sketch", T.ArrayType(T.LongType())),
+        T.StructField("parity", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -86,6 +87,10 @@ def _features(size: int):
                 for i, seed in enumerate(seeds):
                     np.add.at(bits, (np.arange(n), (mix64(least[i] + seed) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH_WORDS)), 1)
                 sketch = np.packbits(bits & 1, axis=1).view(np.int64)
+                width = 64 * PARITY_WORDS
+                owner = np.repeat(np.arange(n), counts[full])
+                spots = owner * width + (mix64(values + np.uint64(11)) >> np.uint64(32)).astype(np.int64) % width
+                parity = np.packbits((np.bincount(spots, minlength=n * width) & 1).astype(np.uint8).reshape(n, width), axis=1).view(np.int64)
                 set_a = np.add.reduceat(values, at) if n else values
                 set_b = np.bitwise_xor.reduceat(mix64(values + np.uint64(7)), at) if n else values
                 none = counts == 0
@@ -100,7 +105,7 @@ def _features(size: int):
                     return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.reshape(-1), type=pa.int64()))
 
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(counts, type=pa.int64()), per_row(set_a.view(np.int64)), per_row(set_b.view(np.int64)), lists(np.ascontiguousarray(bands.T).view(np.int64), BANDS), lists(sketch, SKETCH_WORDS)],
+                    [ids.slice(lo, hi - lo), pa.array(counts, type=pa.int64()), per_row(set_a.view(np.int64)), per_row(set_b.view(np.int64)), lists(np.ascontiguousarray(bands.T).view(np.int64), BANDS), lists(sketch, SKETCH_WORDS), lists(parity, PARITY_WORDS)],
                     names=[f.name for f in FEATURES],
                 )
 
@@ -111,9 +116,7 @@ def _sets(size: int, shared):
     def run(batches):
         bitmap = shared.value
         for batch in batches:
-            spot = batch.column("spot").to_numpy().astype(np.uint64)
-            wanted = (bitmap[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)
-            batch = batch.filter(pa.array(wanted.astype(bool)))
+            batch = batch.filter(pa.array(on_map(bitmap, batch.column("spot").to_numpy())))
             raw, offsets = text_buffers(batch.column("text"))
             ids = batch.column("doc_id")
             for lo, hi in row_chunks(offsets):
@@ -125,31 +128,24 @@ def _sets(size: int, shared):
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
-    """Sizes and Odd sketches that a pair of at least this similarity has."""
+    """Sizes, Odd sketches and parities that a pair of at least this similarity has."""
     samples, bits = BANDS * ROWS, 64 * SKETCH_WORDS
-    apart = lambda c: F.aggregate(F.zip_with(f"{a}.{c}", f"{b}.{c}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # sums of single words are compiled, a higher-order function would be interpreted for every pair
+    apart = lambda c, n: sum((F.bit_count(F.col(f"{a}.{c}")[i].bitwiseXOR(F.col(f"{b}.{c}")[i])) for i in range(1, n)), F.bit_count(F.col(f"{a}.{c}")[0].bitwiseXOR(F.col(f"{b}.{c}")[0])))
     # J = 1 + bits / (4 samples) * ln(1 - 2 differ / bits), solved for the most bits that may differ
     most = int(bits / 2 * (1 - np.exp(-4 * samples / bits * (1 - percent / 100 + SLACK))))
     sizes = F.least(f"{a}.n_shingles", f"{b}.n_shingles") * 100 >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * percent
-    return sizes & (apart("sketch") <= most)
-
-
-def _spots(ids: DataFrame) -> np.ndarray:
-    """A bitmap of SPOTS bits with those of these ids set: a fixed size, merged from partial ones."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(SPOTS))
-    placed = ids.select(spot.alias("s")).selectExpr("s div 64 as at", "shiftleft(1L, cast(s % 64 as int)) as bit")
-    parts = placed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bitmap = np.zeros(SPOTS // 64, dtype=np.int64)
-    bitmap[parts["at"].to_numpy(dtype=np.int64)] = parts["bits"].to_numpy(dtype=np.int64)
-    return bitmap.view(np.uint64)
+    # members in one set only: at most (1 - J) / (1 + J) of both sizes' sum
+    few = apart("parity", PARITY_WORDS) * (100 + percent) <= (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) * (100 - percent)
+    return sizes & (apart("sketch", SKETCH_WORDS) <= most) & few
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Texts are read again where they lie: a bitmap of the wanted ids keeps
     all of them and few others, so that sets and not texts are shuffled."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    shared = docs.sparkSession.sparkContext.broadcast(_spots(wanted))
-    marked = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SPOTS)).alias("spot"))
+    shared = docs.sparkSession.sparkContext.broadcast(key_map(wanted, "doc_id"))
+    marked = docs.filter("doc_id is not null").select("doc_id", "text", spot("doc_id").alias("spot"))
     sets = marked.mapInArrow(_sets(size, shared), "doc_id long, members array<long>")
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
@@ -171,10 +167,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     features = materialize(source.mapInArrow(_features(shingle), FEATURES), "features")
     named = features.filter("doc_id is not null and n_shingles > 0")
     classes = materialize(
-        named.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("first")).select("set_a", "set_b", "n_shingles", F.col("first.doc_id").alias("class_id"), "first.bands", "first.sketch"),
+        named.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sketch", "parity")).alias("first")).select("set_a", "set_b", "n_shingles", F.col("first.doc_id").alias("class_id"), "first.bands", "first.sketch", "first.parity"),
         "classes",
     )
-    nodes = classes.select("class_id", "n_shingles", "sketch")
+    nodes = classes.select("class_id", "n_shingles", "sketch", "parity")
     entries = classes.select("class_id", F.explode("bands").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("centre")).filter("n > 1")
     shared = materialize(entries.hint("merge").join(sizes, "bucket"), "buckets")
