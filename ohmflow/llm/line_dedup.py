@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_words, hash_spans, materialize, mix64, row_chunks, text_buffers
+from .common import find_words, hash_spans, key_map, materialize, maybe_wanted, mix64, row_chunks, spot, text_buffers
 
 LINE_WORDS = 12
 GRAM = 3
-WINDOW = 2
+WINDOW = 3
 MIN_WORDS = 50
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -156,17 +156,17 @@ def _cut(batches):
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, key, start, end: the runs of units to delete. docs: doc_id, key, text."""
     marked = materialize(docs.select("doc_id", "key", "text").mapInArrow(_mark, "doc_id long, key long, units array<long>, words array<short>, prints array<long>, print_at array<int>"), "units")
-    prints = marked.select("doc_id", "key", F.explode(F.arrays_zip("prints", "print_at")).alias("p")).select(F.col("p.prints").alias("print"), F.struct("doc_id", "key", F.col("p.print_at").alias("at")).alias("place"))
-    first = prints.groupBy("print").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("not (first <=> last)").drop("last")
-    later = prints.join(first, "print").filter("not (place <=> first)")
-    pairs = later.groupBy(
-        F.col("place.doc_id").alias("doc_id"), F.col("place.key").alias("key"), F.col("first.doc_id").alias("other_id"), F.col("first.key").alias("other_key"), (F.col("place.at") - F.col("first.at")).alias("shift")
-    ).agg(F.collect_set("place.at").alias("hits"))
-    # rows without a doc_id are found by their key
-    own = marked.select("doc_id", "key", "units", "words").dropDuplicates(["doc_id", "key"]).withColumn("id", F.coalesce("doc_id", F.lit(-1)))
-    other = own.select(F.col("id").alias("other_place"), F.col("key").alias("other_key"), F.col("units").alias("other"))
+    prints = marked.select("doc_id", "key", F.explode(F.arrays_zip("prints", "print_at")).alias("p")).select(F.col("p.prints").alias("print"), "doc_id", "key", F.col("p.print_at").alias("at"))
+    first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", F.col("first.doc_id").alias("other_id"), F.col("first.key").alias("other_key"), F.col("first.at").alias("other_at"))
+    later = prints.join(first, "print").filter("not (doc_id <=> other_id and key = other_key and at = other_at)")
+    pairs = later.groupBy("doc_id", "key", "other_id", "other_key", (F.col("at") - F.col("other_at")).alias("shift")).agg(F.collect_set("at").alias("hits"))
+    pairs = materialize(pairs, "matches")
+    # units of the documents in matches only; rows without a doc_id are found by their key
     pairs = pairs.withColumn("id", F.coalesce("doc_id", F.lit(-1))).withColumn("other_place", F.coalesce("other_id", F.lit(-1)))
-    both = pairs.join(own.drop("doc_id"), ["id", "key"]).join(other, ["other_place", "other_key"])
+    wanted = maybe_wanted(docs.sparkSession, key_map(pairs.select("id", "key").union(pairs.select("other_place", "other_key")), "id", "key"))
+    own = marked.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "key", "units", "words").filter(wanted(spot("id", "key"))).dropDuplicates(["id", "key"])
+    other = own.select(F.col("id").alias("other_place"), F.col("key").alias("other_key"), F.col("units").alias("other"))
+    both = pairs.join(own, ["id", "key"]).join(other, ["other_place", "other_key"])
     return both.select("doc_id", "key", "units", "words", "other", "shift", "hits").mapInArrow(_extend(min_words), "doc_id long, key long, start int, end int")
 
 
@@ -177,10 +177,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     plain = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), F.col("text").cast("string").alias("text"))
     runs = repeated_runs(plain, min_words).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "end")).alias("_runs"))
+    runs = materialize(runs, "runs")
+    # only the texts of documents with runs are shuffled to them; the others pass by
+    cut = maybe_wanted(docs.sparkSession, key_map(runs, "_id", "_key"))
+    keyed = keyed.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_cut", cut(spot("_id", "_key")))
     others = [c for c in docs.columns if c != "text"]
-    whole = keyed.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(runs.hint("shuffle_hash"), ["_id", "_key"], "left").select(*others, F.col("text").cast("string").alias("text"), "_runs")
+    text = F.col("text").cast("string").alias("text")
+    whole = keyed.filter("_cut").join(runs.hint("shuffle_hash"), ["_id", "_key"], "left").select(*others, text, "_runs")
+    rest = keyed.filter("not _cut").select(*docs.columns).withColumn("text", text).withColumn("removed_words", F.lit(0).cast("long")).withColumn("n_runs", F.lit(0).cast("long"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return whole.mapInArrow(_cut, f"{kinds}, text string, removed_words long, n_runs long").select(*docs.columns, "removed_words", "n_runs")
+    return whole.mapInArrow(_cut, f"{kinds}, text string, removed_words long, n_runs long").select(*docs.columns, "removed_words", "n_runs").unionByName(rest)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
