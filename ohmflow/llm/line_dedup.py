@@ -1,14 +1,17 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by winnowing over hashes of words.
 
-A text's lines are cut at sentence ends and after every LINE_WORDS words, so a passage inside a longer line also consists
-of whole units. Hashes of GRAM consecutive units are winnowed: of each WINDOW consecutive ones the smallest is a
-fingerprint, so any two equal runs of GRAM + WINDOW - 1 units share one. Fingerprints are joined with their first
-occurrence (one row per later occurrence, never all pairs); each match is extended both ways unit by unit, and a run of at
-least min_words words is deleted where it occurs later. Documents are ordered by doc_id, then by a hash of the text.
+Any passage of min_words words that stood earlier, wherever it starts and ends, holds a window of min_words equal words.
+Hashes of word grams are winnowed: the smallest gram of each window is its fingerprint, and consecutive windows with one
+fingerprint form a segment, so every window lies in one segment and equal windows have the same fingerprint. A segment that
+stood earlier as a whole is a repeat. Of fingerprints that stand in different segments, the first copy of each segment is
+taken to single windows, and a window that stood earlier is a repeat. Nothing is compared in pairs, so a fingerprint may
+stand in any number of documents, and every repeat is found whichever document holds its first copy. All words of repeats
+are deleted. Documents are ordered by doc_id, then by a hash of the text.
 
-Any deleted run has an equal one earlier, so the first copy of every passage stays.
+Any deleted run has an equal one earlier, so the first copy of every passage stays; of a window that overlaps its own first
+copy only what follows that copy is deleted.
 
-Defined results: null and empty texts come back unchanged; texts of white space have no units; null doc_ids come first in
+Defined results: null and empty texts come back unchanged; texts of white space have no words; null doc_ids come first in
 the order; rows with the same doc_id and text count as one document and get the same result; ties between equal documents go to the smaller doc_id; extra
 columns are passed by; an empty table gives no rows.
 """
@@ -20,119 +23,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_words, hash_spans, key_map, materialize, maybe_wanted, mix64, row_chunks, spot, text_buffers
+from .common import _Powers, find_words, hash_spans, key_map, materialize, maybe_wanted, mix64, row_chunks, spot, text_buffers
 
-LINE_WORDS = 12
-GRAM = 3
-WINDOW = 3
 MIN_WORDS = 50
-_ENDS = np.zeros(256, dtype=bool)
-_ENDS[[ord(c) for c in ".!?"]] = True
+#: Words of a gram, and grams of which one is a fingerprint: together MIN_WORDS words.
+GRAM = 26
+WINDOW = 25
+#: Bits of the map of segments that are taken to windows, for each of them, and at most (32 MB).
+MAP_BITS, MOST_BITS = 32, 1 << 28
 
 
 def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all rows: each unit's hash, number of words and first byte, and each row's first unit index."""
+    """Of all rows: each word's hash, number of words (1) and first byte, and each row's first word index."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
     start, end = find_words(raw, offsets)
-    if not len(start):
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    rows = np.searchsorted(start, offsets)
-    breaks = np.concatenate([[0], np.cumsum(raw == 10)])
-    begins = np.zeros(len(start), dtype=bool)
-    begins[0] = True
-    begins[1:] = _ENDS[raw[end[:-1] - 1]] | (breaks[start[1:]] > breaks[end[:-1]])
-    begins[rows[rows < len(start)]] = True
-    sentence = np.flatnonzero(begins)
-    place = np.arange(len(start)) - np.repeat(sentence, np.diff(np.append(sentence, len(start))))
-    begins |= place % LINE_WORDS == 0
-    first = np.flatnonzero(begins)
-    words = np.diff(np.append(first, len(start)))
-    within = (np.arange(len(start)) - np.repeat(first, words)).astype(np.uint64)
-    hashes = np.add.reduceat(mix64(hash_spans(raw, start, end) + within * np.uint64(0x9E3779B97F4A7C15)), first)
-    return mix64(hashes + words.astype(np.uint64)), words, start[first], np.searchsorted(first, rows)
-
-
-def winnow(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, their positions within their rows, and each row's first fingerprint index."""
-    n = len(hashes)
-    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    left = rows[row + 1] - np.arange(n)
-    at = np.flatnonzero(left >= GRAM)
-    grams = np.zeros(len(at), dtype=np.uint64)
-    for i in range(GRAM):
-        grams = mix64(grams * np.uint64(0xD6E8FEB86659FD93) + hashes[at + i] + np.uint64(i))
-    keep = np.zeros(len(at), dtype=bool)
-    grams_left = left[at] - GRAM + 1
-    gram_row = row[at]
-    first_in_row = np.ones(len(at), dtype=bool)
-    first_in_row[1:] = gram_row[1:] != gram_row[:-1]
-    full = np.flatnonzero(grams_left >= WINDOW)
-    if len(full):
-        table = np.stack([grams[full + i] for i in range(WINDOW)])
-        keep[full + WINDOW - 1 - table[::-1].argmin(0)] = True  # the rightmost of equal minima
-    keep |= first_in_row & (grams_left < WINDOW)
-    at, grams, gram_row = at[keep], grams[keep], gram_row[keep]
-    return grams, at - rows[gram_row], np.searchsorted(gram_row, np.arange(len(rows)))
-
-
-def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, type=kind))
-
-
-def _mark(batches):
-    for batch in batches:
-        raw, offsets = text_buffers(batch.column("text"))
-        for lo, hi in row_chunks(offsets):
-            hashes, words, _, rows = units(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            prints, at, bounds = winnow(hashes, rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), batch.column("key").slice(lo, hi - lo), _lists(hashes.view(np.int64), rows, pa.int64()), _lists(words, rows, pa.int16()), _lists(prints.view(np.int64), bounds, pa.int64()), _lists(at, bounds, pa.int32())],
-                names=["doc_id", "key", "units", "words", "prints", "print_at"],
-            )
-
-
-def extend(own: np.ndarray, other: np.ndarray, shift: int, hits: np.ndarray) -> list[tuple[int, int]]:
-    """Runs [start, end) of own that equal other at position - shift and hold a hit."""
-    lo, hi = max(0, shift), min(len(own), len(other) + shift)
-    same = np.concatenate([[False], own[lo:hi] == other[lo - shift : hi - shift], [False]])
-    edge = np.flatnonzero(same[1:] != same[:-1])
-    starts, ends = edge[::2] + lo, edge[1::2] + lo
-    found = np.unique(np.searchsorted(starts, hits, side="right") - 1)
-    return [(int(starts[i]), int(ends[i])) for i in found if i >= 0]
-
-
-def _extend(min_words: int):
+    return hash_spans(raw, start, end), np.ones(len(start), np.int64), start, np.searchsorted(start, offsets)
+
+
+class Segments:
+    """Windows of `least` words of all rows, and the segments of consecutive windows with one fingerprint."""
+
+    def __init__(self, hashes: np.ndarray, rows: np.ndarray, least: int):
+        counts = np.maximum(np.diff(rows) - least + 1, 0)
+        n, self.least = len(hashes), least
+        #: first words of the windows
+        self.windows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - rows[:-1], counts)
+        if not len(self.windows):
+            self.bounds = self.row = self.start = self.end = np.zeros(0, np.int64)
+            self.prints = self.values = np.zeros(0, np.uint64)
+            return
+        up, self.down = _Powers.get(n + 1)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(hashes * up[:n], out=self.sums[1:])
+        window = max(1, least // 2)
+        gram = least - window + 1
+        grams = self.span(np.arange(n - gram + 1), gram)
+        low, at, size = grams, np.arange(len(grams)), 1
+        while size < window:  # the smallest of `window` grams, the rightmost of equal ones
+            step = min(size, window - size)
+            right = low[step:] <= low[:-step]
+            low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
+            size += step
+        anchor = at[self.windows]
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        #: first window of each segment, and the number of windows
+        self.bounds = np.append(first, len(self.windows))
+        self.row = np.repeat(np.arange(len(counts)), counts)[first]
+        self.start, self.end = self.windows[first], self.windows[self.bounds[1:] - 1] + least
+        self.prints, self.values = grams[anchor[first]], self.span(self.start, self.end - self.start)
+
+    def span(self, start: np.ndarray, size) -> np.ndarray:
+        """Hashes of `size` words from these on."""
+        return mix64((self.sums[start + size] - self.sums[start]) * self.down[start] + np.asarray(size).astype(np.uint64))
+
+
+def _cuts(batch, least: int):
+    """Of ranges of rows: the segments, each row's first word, and the columns doc_id and key of the range."""
+    raw, offsets = text_buffers(batch.column("text"))
+    for lo, hi in row_chunks(offsets):
+        hashes, _, _, rows = units(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield Segments(hashes, rows, least), rows, batch.column("doc_id").slice(lo, hi - lo), batch.column("key").slice(lo, hi - lo)
+
+
+def _mark(least: int):
+    def run(batches):
+        for batch in batches:
+            for found, rows, ids, keys in _cuts(batch, least):
+                take = pa.array(found.row)
+                start, end = (x - rows[found.row] for x in (found.start, found.end))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(take), keys.take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(found.prints.view(np.int64)), pa.array(found.values.view(np.int64))],
+                    names=["doc_id", "key", "start", "end", "print", "segment"],
+                )
+
+    return run
+
+
+def _windows(shared, least: int):
+    """The windows of the segments on the map."""
+
     def run(batches):
+        bits = shared.value
+        mask = np.uint64(64 * len(bits) - 1)
         for batch in batches:
-            at, runs_from, runs_to = [], [], []
-            col = {name: batch.column(name) for name in ("units", "words", "other", "shift", "hits")}
-            for r in range(batch.num_rows):
-                own, other, words = (col[c][r].values.to_numpy(zero_copy_only=False) for c in ("units", "other", "words"))
-                so_far = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-                for start, end in extend(own, other, col["shift"][r].as_py(), np.sort(col["hits"][r].values.to_numpy(zero_copy_only=False))):
-                    if so_far[end] - so_far[start] >= min_words:
-                        at.append(r)
-                        runs_from.append(start)
-                        runs_to.append(end)
-            take = pa.array(at, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(runs_from, pa.int32()), pa.array(runs_to, pa.int32())], names=["doc_id", "key", "start", "end"])
+            for found, rows, ids, keys in _cuts(batch, least):
+                id_of, key_of = (x.fill_null(0).to_numpy(zero_copy_only=False)[found.row].astype(np.int64).view(np.uint64) for x in (ids, keys))
+                place = (found.values ^ key_of ^ id_of ^ (found.start - rows[found.row]).astype(np.uint64)) & mask
+                wanted = ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+                sizes = np.diff(found.bounds)
+                at = found.windows[np.repeat(wanted, sizes)] if len(sizes) else found.windows
+                row = np.repeat(found.row[wanted], sizes[wanted]) if len(sizes) else at
+                values = found.span(at, least) if len(at) else np.zeros(0, np.uint64)
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(at - rows[row], pa.int32()), pa.array(values.view(np.int64))], names=["doc_id", "key", "start", "window"])
 
     return run
 
 
+def _segment_map(segments: DataFrame) -> np.ndarray:
+    """A map of segments as _windows() reads it. A segment off it is not wanted; one on it may be."""
+    n = segments.count()
+    size = min(MOST_BITS, max(1 << 16, 1 << (n * MAP_BITS).bit_length()))
+    place = F.col("segment").bitwiseXOR(F.col("key")).bitwiseXOR(F.coalesce("doc_id", F.lit(0).cast("long"))).bitwiseXOR(F.col("start").cast("long")).bitwiseAND(F.lit(size - 1).cast("long"))
+    parts = segments.select(place.alias("s")).selectExpr("s div 64 as at", "shiftleft(1L, cast(s % 64 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(size // 64, dtype=np.int64)
+    bits[parts["at"].to_numpy(dtype=np.int64)] = parts["bits"].to_numpy(dtype=np.int64)
+    return bits.view(np.uint64)
+
+
 def _cut(batches):
-    """Texts without the units of their runs; n_units, removed_words, n_runs."""
+    """Texts without the words of their runs; removed_words, n_runs."""
     for batch in batches:
         texts = batch.column("text")
         runs = batch.column("_runs")
         out, removed, counts = [], [], []
         for r in range(batch.num_rows):
-            spans = runs[r].as_py()
+            spans = runs[r].values
             text = texts[r].as_py()
-            if not spans or text is None:
+            if spans is None or not len(spans) or text is None:
                 out.append(text)
                 removed.append(0)
                 counts.append(0)
@@ -141,9 +151,8 @@ def _cut(batches):
             raw = np.frombuffer(data, np.uint8)
             _, words, first, _ = units(raw, np.array([0, len(raw)]))
             gone = np.zeros(len(words) + 1, dtype=np.int64)
-            for s in spans:
-                gone[s["start"]] += 1
-                gone[s["end"]] -= 1
+            np.add.at(gone, spans.field("start").to_numpy(), 1)
+            np.add.at(gone, spans.field("end").to_numpy(), -1)
             gone = np.cumsum(gone)[:-1] > 0
             bounds = np.append(first, len(data))
             bounds[0] = 0
@@ -153,21 +162,30 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("text", "_runs")), pa.array(out, pa.string()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], names=[*(c for c in batch.schema.names if c not in ("text", "_runs")), "text", "removed_words", "n_runs"])
 
 
+def _later(rows: DataFrame, value: str) -> DataFrame:
+    """The rows whose value stands earlier, with its first place."""
+    first = rows.groupBy(value).agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(value, "first")
+    return rows.join(first, value).filter("not (doc_id <=> first.doc_id and key = first.key and start = first.start)")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, key, start, end: the runs of units to delete. docs: doc_id, key, text."""
-    marked = materialize(docs.select("doc_id", "key", "text").mapInArrow(_mark, "doc_id long, key long, units array<long>, words array<short>, prints array<long>, print_at array<int>"), "units")
-    prints = marked.select("doc_id", "key", F.explode(F.arrays_zip("prints", "print_at")).alias("p")).select(F.col("p.prints").alias("print"), "doc_id", "key", F.col("p.print_at").alias("at"))
-    first = prints.groupBy("print").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("print", F.col("first.doc_id").alias("other_id"), F.col("first.key").alias("other_key"), F.col("first.at").alias("other_at"))
-    later = prints.join(first, "print").filter("not (doc_id <=> other_id and key = other_key and at = other_at)")
-    pairs = later.groupBy("doc_id", "key", "other_id", "other_key", (F.col("at") - F.col("other_at")).alias("shift")).agg(F.collect_set("at").alias("hits"))
-    pairs = materialize(pairs, "matches")
-    # units of the documents in matches only; rows without a doc_id are found by their key
-    pairs = pairs.withColumn("id", F.coalesce("doc_id", F.lit(-1))).withColumn("other_place", F.coalesce("other_id", F.lit(-1)))
-    wanted = maybe_wanted(docs.sparkSession, key_map(pairs.select("id", "key").union(pairs.select("other_place", "other_key")), "id", "key"))
-    own = marked.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "key", "units", "words").filter(wanted(spot("id", "key"))).dropDuplicates(["id", "key"])
-    other = own.select(F.col("id").alias("other_place"), F.col("key").alias("other_key"), F.col("units").alias("other"))
-    both = pairs.join(own, ["id", "key"]).join(other, ["other_place", "other_key"])
-    return both.select("doc_id", "key", "units", "words", "other", "shift", "hits").mapInArrow(_extend(min_words), "doc_id long, key long, start int, end int")
+    """doc_id, key, start, end: the runs of words to delete. docs: doc_id, key, text."""
+    texts = docs.select("doc_id", "key", "text")
+    marked = materialize(texts.mapInArrow(_mark(min_words), "doc_id long, key long, start int, end int, print long, segment long"), "segments")
+    # fingerprints that stand more than once, and whether their segments differ
+    prints = materialize(marked.groupBy("print").agg(F.count("*").alias("n"), F.min("segment").alias("lo"), F.max("segment").alias("hi")).filter("n > 1").selectExpr("print", "lo < hi as mixed"), "prints")
+    often = maybe_wanted(docs.sparkSession, key_map(prints, "print"))
+    repeated = materialize(marked.filter(often(spot("print"))).join(prints, "print"), "repeated")
+    later = materialize(_later(repeated, "segment").withColumn("own", F.expr(f"doc_id <=> first.doc_id and key = first.key and start - first.start < {int(min_words)}")), "later")
+    # single windows: of the first copies of segments that differ, and of segments that overlap their first copy
+    firsts = repeated.filter("mixed").groupBy("segment").agg(F.min(F.struct("doc_id", "key", "start")).alias("first")).select("segment", "first.*")
+    overlapping = later.filter("own")
+    wanted = materialize(firsts.union(overlapping.select("segment", "doc_id", "key", "start")).union(overlapping.select("segment", "first.*")), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(_segment_map(wanted))
+    windows = materialize(texts.mapInArrow(_windows(shared, min_words), "doc_id long, key long, start int, window long"), "windows")
+    after = F.expr(f"case when doc_id <=> first.doc_id and key = first.key then greatest(start, first.start + {int(min_words)}) else start end")
+    found = _later(windows, "window").select("doc_id", "key", after.alias("start"), (F.col("start") + min_words).alias("end"))
+    return later.filter("not own").select("doc_id", "key", "start", "end").union(found)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

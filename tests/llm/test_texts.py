@@ -108,6 +108,33 @@ def test_passage_inside_a_line_and_repeated_rows(spark):
     assert sorted(x.text for x in out) == sorted([rows[0][1], "Other head. Tail stays.", "Other head. Tail stays.", "x"])
 
 
+def window_brute(rows, least):
+    """Words in windows of `least` words that stood earlier; of a window that overlaps its first copy, those after the copy."""
+    first, out = {}, {}
+    for d, text in rows:
+        words = (text or "").lower().split()
+        gone = set()
+        for i in range(len(words) - least + 1):
+            at, k = first.setdefault(tuple(words[i : i + least]), (d, i))
+            if (at, k) != (d, i):
+                gone |= set(range(max(i, k + least) if at == d else i, i + least))
+        out[d] = " ".join(w for i, w in enumerate((text or "").split()) if i not in gone)
+    return out
+
+
+def test_repeats_between_later_documents(spark):
+    """A first document that shares part of a passage only hides no repeat of the others."""
+    r = random.Random(9)
+    fresh = lambda n: [f"u{r.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k in range(12):
+        passage = sum(([*fresh(10), f"e{k}x{i}."] for i in range(5)), [])
+        texts += [["S.", *passage[:33], *fresh(9)], ["S.", *passage[11:44], *fresh(9)], ["S.", *passage[22:], *fresh(20)], ["S.", *passage, *fresh(5)], ["T.", *passage, *fresh(3)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    out = {x.doc_id: x for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: x.text for d, x in out.items()} == window_brute(rows, 50) and all(out[d].removed_words == 55 for d in range(4, 60, 5))
+
+
 # --- toxicity ---
 
 
