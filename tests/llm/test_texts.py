@@ -135,6 +135,25 @@ def test_repeats_between_later_documents(spark):
     assert {d: x.text for d, x in out.items()} == window_brute(rows, 50) and all(out[d].removed_words == 55 for d in range(4, 60, 5))
 
 
+def test_repeats_at_any_offset(spark):
+    """Passages without sentence ends at other offsets, periodic text, and copies with changed words."""
+    r = random.Random(10)
+    fresh = lambda n: [f"u{r.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(50)
+    texts = [fresh(5) + passage + fresh(1), fresh(12) + passage[:49] + fresh(3), fresh(16) + passage + ["z"], ["a"] * 130, fresh(3) + ["a"] * 70, ["b", "c", "d"] * 60]
+    base = fresh(400)
+    for _ in range(30):
+        words = list(base)
+        for _ in range(r.randint(1, 8)):
+            words[r.randrange(400)] = fresh(1)[0]
+        lo = r.randrange(300)
+        texts.append(fresh(r.randint(0, 20)) + words[lo : lo + r.randint(40, 300)])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    out = {x.doc_id: x for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert {d: x.text for d, x in out.items()} == window_brute(rows, 50)
+    assert out[2].removed_words == 50 and out[1].removed_words == 0 and out[3].text == " ".join(["a"] * 50)
+
+
 # --- toxicity ---
 
 
