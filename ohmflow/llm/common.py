@@ -202,22 +202,29 @@ def maybe_wanted(spark: SparkSession, bits: np.ndarray):
 # --- connected components --------------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over links (a, b). Each round takes the smallest label next to a node
-    and then that label's own label, so labels cross a group in a logarithm of its width; rounds are written to the scratch
-    folder, and only the number of changed labels comes to the driver."""
-    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        root = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        step = step.join(root, "component", "left").select("node", "before", F.least(F.col("component"), F.coalesce("root", "component")).alias("component"))
-        done = materialize(step, "labels")
-        changed = done.filter("component <> before").limit(1).count()
-        drop_scratch(labels)
-        labels = done.select("node", "component")
-        if not changed:
-            drop_scratch(both)
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable over links (a, b). Links are turned into stars: a node's larger
+    neighbours are linked to its smallest one, then its smaller neighbours are, until every node has one link, to a node
+    without a smaller neighbour. Rounds grow with a power of the logarithm of a group's size (at most its square), and there is
+    no limit on it; no round has more links than the one before. Rounds are written to the scratch folder, and only whether
+    links are left comes to the driver."""
+    given = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges, rounds = given.filter("a <> b"), 0
+    while True:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        large = materialize(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "links")
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        moved = large.join(low.filter("n > 1").select("a", "low"), "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        small = materialize(low.select("a", F.col("low").alias("b")).union(moved).distinct(), "links")
+        if rounds:
+            drop_scratch(edges)
+        drop_scratch(large)
+        edges, rounds = small, rounds + 1
+        many = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+        if many.union(edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi")).isEmpty():
+            nodes = edges.union(edges.select("b", "b")).union(given.filter("a = b"))
+            labels = materialize(nodes.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "labels")
+            drop_scratch(edges)
+            drop_scratch(given)
             return labels
-    raise RuntimeError("labels did not settle")

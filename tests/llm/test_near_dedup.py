@@ -62,3 +62,17 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns and kept.count() == 3
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(empty).collect() == []
+
+
+def test_long_paths_are_one_component(spark):
+    """Paths in shuffled order of 1,000 nodes, rings, stars and a node linked to itself."""
+    from ohmflow.llm import common
+
+    r = random.Random(3)
+    ids = r.sample(range(10**6), 1900)
+    paths = [ids[:1000], ids[1000:1300], [*ids[1300:1400], ids[1300]]]
+    links = [x for p in paths for x in zip(p, p[1:], strict=False)] + [(ids[1400], i) for i in ids[1401:1899]] + [(ids[1899], ids[1899])]
+    wanted = {i: min(group) for group in (*paths, ids[1400:1899], ids[1899:]) for i in group}
+    found = common.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == len(wanted) and {x.node: x.component for x in found} == wanted
+    assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
