@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
 
@@ -22,12 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where none is named a local master gets a temporary
+    one; on a cluster that folder would be each machine's own, so it is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     own = getattr(spark.sparkContext, "_ohmflow_scratch", None)
     if own is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="ohmflow-")
         spark.sparkContext._ohmflow_scratch = own
     return own
@@ -41,16 +47,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame | None) -> None:
-    """Removes a table made by materialize() that nothing reads any more."""
-    if df is None:
-        return
-    spark = df.sparkSession
-    root = scratch_dir(spark).rstrip("/")
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split(":", 1)[-1].lstrip("/") in parent:
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_scratch(*tables: DataFrame | None) -> None:
+    """Removes tables made by materialize() that nothing reads any more."""
+    for df in tables:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        root = scratch_dir(spark).rstrip("/")
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if root.split(":", 1)[-1].lstrip("/") in parent:
+                path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(col: Column) -> Column:
@@ -199,6 +218,36 @@ def maybe_wanted(spark: SparkSession, bits: np.ndarray):
     return check
 
 
+def native_map(keys: DataFrame, key: str, spots: int = SPOTS):
+    """The same filter without Python in the tasks: a function of a key column. The map is one array literal of
+    spots / 64 longs, 2 MB by default, whatever the number of keys; two bits a key are set, so that a map with a million keys
+    lets one other key in 60 pass."""
+    words = spots // 64
+    place = lambda c, n: F.pmod(F.xxhash64(F.lit(n), c), F.lit(spots))
+    placed = keys.select(F.explode(F.array(place(F.col(key), 1), place(F.col(key), 2))).alias("s")).selectExpr("s div 64 as at", "shiftleft(1L, cast(s % 64 as int)) as bit")
+    parts = placed.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(words, dtype=np.int64)
+    bits[parts["at"].to_numpy(dtype=np.int64)] = parts["bits"].to_numpy(dtype=np.int64)
+    table = keys.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))})).scalar()
+    here = lambda s: F.call_function("shiftrightunsigned", F.get(table, (s / 64).cast("int")), (s % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return lambda c: here(place(c, 1)) & here(place(c, 2))
+
+
+def give_back() -> None:
+    """Returns a worker's freed memory to the system: workers are kept for later tasks and would hold their peak."""
+    pa.default_memory_pool().release_unused()
+    if trim := _libc_trim():
+        trim(0)
+
+
+@functools.cache
+def _libc_trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another system's C library
+        return None
+
+
 # --- connected components --------------------------------------------------------------------------------------------
 
 

@@ -5,13 +5,15 @@ give an Odd sketch. The population count of two sketches' XOR estimates a high s
 candidates go before their full sets are fetched; every remaining candidate is confirmed on the full sets.
 
 Groups are never expanded into all pairs. Equal sets become one class first. In a band's bucket every class is compared
-with one centre at a time (linear in the bucket), and links are joined into components; after a few rounds, in which only
-buckets of several components get another centre, the pairs of different components that still share a bucket and have
-alike sizes and sketches are compared, salted over large buckets, so no link between components is lost to the centres.
+with one centre, the class that shares the most with others (linear in the bucket), and links are joined into components.
+After a few rounds, in which only buckets of several components get another centre, what is left of such a bucket is exact:
+the classes outside its largest component are a query set that meets the bucket's classes in blocks of BLOCK_ROWS, and only
+pairs of different components with alike sizes, sketches and parities come out, so no link is lost to the centres.
 
 Defined results: null or empty texts, and texts of white space, have no shingles and are linked with nothing; rows with a
 null doc_id are returned with null component_id and kept = true; rows that share a doc_id count as one document; equal
-texts are one class; extra columns are passed by.
+texts are one class; very long texts are hashed whole, one at a time; ties go to the
+smallest doc_id; deduplicate() passes all columns by, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, hash_shingles, hash_words, key_map, materialize, mix64, on_map, row_chunks, spot, text_buffers
+from .common import components, drop_scratch, give_back, hash_shingles, hash_words, key_map, materialize, mix64, on_map, row_chunks, spot, text_buffers
 
 BANDS, ROWS = 24, 5
 SKETCH_WORDS = 4  # 256 bits
@@ -32,8 +34,8 @@ PARITY_WORDS = 32
 SLACK = 0.2
 #: Rounds in which the classes that the first centres leave apart meet other centres of their buckets.
 ROUNDS = 1
-#: Members of a bucket that one salt value holds in the comparison of components.
-SALT_ROWS = 256
+#: Classes of a bucket that one block holds in the comparison of components.
+BLOCK_ROWS = 256
 
 FEATURES = T.StructType(
     [
@@ -108,6 +110,7 @@ def _features(size: int):
                     [ids.slice(lo, hi - lo), pa.array(counts, type=pa.int64()), per_row(set_a.view(np.int64)), per_row(set_b.view(np.int64)), lists(np.ascontiguousarray(bands.T).view(np.int64), BANDS), lists(sketch, SKETCH_WORDS), lists(parity, PARITY_WORDS)],
                     names=[f.name for f in FEATURES],
                 )
+        give_back()
 
     return run
 
@@ -123,21 +126,51 @@ def _sets(size: int, shared):
                 words, starts = hash_words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 values, rows = _row_sets(*hash_shingles(words, starts, size))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(values.view(np.int64)))], names=["doc_id", "members"])
+        give_back()
 
     return run
 
 
+def _most_apart(percent: int) -> int:
+    """Bits in which the sketches of a pair of at least this similarity may differ."""
+    samples, bits = BANDS * ROWS, 64 * SKETCH_WORDS
+    # J = 1 + bits / (4 samples) * ln(1 - 2 differ / bits), solved for the most bits that may differ
+    return int(bits / 2 * (1 - np.exp(-4 * samples / bits * (1 - percent / 100 + SLACK))))
+
+
 def _alike(a: str, b: str, percent: int) -> Column:
     """Sizes, Odd sketches and parities that a pair of at least this similarity has."""
-    samples, bits = BANDS * ROWS, 64 * SKETCH_WORDS
     # sums of single words are compiled, a higher-order function would be interpreted for every pair
     apart = lambda c, n: sum((F.bit_count(F.col(f"{a}.{c}")[i].bitwiseXOR(F.col(f"{b}.{c}")[i])) for i in range(1, n)), F.bit_count(F.col(f"{a}.{c}")[0].bitwiseXOR(F.col(f"{b}.{c}")[0])))
-    # J = 1 + bits / (4 samples) * ln(1 - 2 differ / bits), solved for the most bits that may differ
-    most = int(bits / 2 * (1 - np.exp(-4 * samples / bits * (1 - percent / 100 + SLACK))))
     sizes = F.least(f"{a}.n_shingles", f"{b}.n_shingles") * 100 >= F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") * percent
     # members in one set only: at most (1 - J) / (1 + J) of both sizes' sum
     few = apart("parity", PARITY_WORDS) * (100 + percent) <= (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) * (100 - percent)
-    return sizes & (apart("sketch", SKETCH_WORDS) <= most) & few
+    return sizes & (apart("sketch", SKETCH_WORDS) <= _most_apart(percent)) & few
+
+
+def _alike_in_blocks(percent: int):
+    """Of pairs of blocks (lists x and y of classes): the alike pairs of different components. The same tests as _alike()."""
+    most = _most_apart(percent)
+
+    def side(column: pa.ListArray, r: int):
+        members = column[r].values
+        plain = lambda name: members.field(name).to_numpy(zero_copy_only=False)
+        bits = lambda name: members.field(name).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(members), -1)
+        return plain("class_id"), plain("component"), plain("n_shingles"), bits("sketch"), bits("parity")
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x_id, x_component, x_n, x_sketch, x_parity = side(batch.column("x"), r)
+                y_id, y_component, y_n, y_sketch, y_parity = side(batch.column("y"), r)
+                apart = sum(np.bitwise_count(x_sketch[:, None, w] ^ y_sketch[None, :, w]).astype(np.int32) for w in range(SKETCH_WORDS))
+                near = (apart <= most) & (x_component[:, None] != y_component[None]) & (np.minimum(x_n[:, None], y_n[None]) * 100 >= np.maximum(x_n[:, None], y_n[None]) * percent)
+                i, j = np.nonzero(near)
+                few = np.bitwise_count(x_parity[i] ^ y_parity[j]).sum(1, dtype=np.int64) * (100 + percent) <= (x_n[i] + y_n[j]) * (100 - percent)
+                a, b = x_id[i[few]], y_id[j[few]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -172,53 +205,64 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     )
     nodes = classes.select("class_id", "n_shingles", "sketch", "parity")
     entries = classes.select("class_id", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("centre")).filter("n > 1")
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = materialize(entries.hint("merge").join(sizes, "bucket"), "buckets")
+    # a bucket's centre is the class whose buckets are the fullest: the one that most copies come from
+    weights = shared.groupBy("class_id").agg(F.sum("n").alias("weight"))
+    centres = shared.join(weights, "class_id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("class_id")).alias("last"))).alias("c")).select("bucket", (-F.col("c.last")).alias("centre"))
     ordered = lambda rows: rows.filter("class_id <> centre").select(F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b"))
-    # first round: every class with the smallest of its bucket
-    links = materialize(_confirm(source, _near(ordered(shared), nodes, percent), shingle, percent), "links")
+    near = _near(ordered(shared.join(centres, "bucket")), nodes, percent)
+    links = materialize(_confirm(source, near, shingle, percent), "links")
+    made = [features, classes, shared, near, links]
     found = components(links)
     for turn in range(1, ROUNDS + 1):
         # buckets of several components: their classes with another centre of the bucket, drawn by a hash
         placed, mixed = _mixed(shared, found)
         drawn = placed.join(mixed, "bucket").groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "class_id").alias("h"), F.col("class_id").alias("centre"), F.col("component").alias("other"))).alias("c")).select("bucket", "c.centre", "c.other")
-        pairs = ordered(placed.join(drawn, "bucket").filter("component <> other"))
-        near = _near(pairs, nodes, percent)
-        if near.isEmpty():
-            continue
-        more = materialize(_confirm(source, near, shingle, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
-    # what is left open: all pairs of different components in one bucket, salted, of which only alike ones come out
+        links, found = _more(source, _near(ordered(placed.join(drawn, "bucket").filter("component <> other")), nodes, percent), links, found, shingle, percent, made)
+    # what is left: the classes outside a bucket's largest component against the bucket, in blocks
     placed, mixed = _mixed(shared, found)
-    open_rows = materialize(placed.join(mixed, "bucket").join(nodes, "class_id"), "open")
-    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    one = open_rows.withColumn("salt", F.pmod(F.xxhash64("class_id"), salts).cast("int")).alias("x")
-    other = open_rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("y")
-    rest = one.join(other, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent))
-    rest = materialize(rest.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct(), "rest")
-    if not rest.isEmpty():
-        more = materialize(_confirm(source, rest, shingle, percent), "links")
-        if not more.isEmpty():
-            found = components(links.union(more))
-    members = classes.select("set_a", "set_b", "n_shingles", "class_id").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    whole = features.select("doc_id", "n_shingles", "set_a", "set_b").join(members, ["set_a", "set_b", "n_shingles"], "left")
-    result = whole.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+    parts = placed.join(mixed, "bucket").groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    whole = parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).select("bucket", "n", F.col("top.component").alias("main"), (F.col("n") - F.col("top.c")).alias("m"))
+    members = materialize(placed.select("class_id", "bucket", "component").join(whole, "bucket").join(nodes, "class_id"), "open")
+    blocks = lambda rows, size, name: rows.groupBy("bucket", F.pmod(F.xxhash64("class_id"), F.ceil(F.col(size) / BLOCK_ROWS)).alias(f"at_{name}")).agg(F.collect_list(F.struct("class_id", "component", "n_shingles", "sketch", "parity")).alias(name))
+    pairs = blocks(members.filter("component <> main"), "m", "x").join(blocks(members, "n", "y"), "bucket").select("x", "y")
+    rest = materialize(pairs.mapInArrow(_alike_in_blocks(percent), "a long, b long").distinct(), "near")
+    made.append(members)
+    links, found = _more(source, rest, links, found, shingle, percent, made)
+    of_class = classes.select("set_a", "set_b", "n_shingles", "class_id").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    all_rows = features.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
+    result = all_rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    result = materialize(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "class_id"), "documents")
+    drop_scratch(*made, found)
+    return result
+
+
+def _more(source: DataFrame, near: DataFrame, links: DataFrame, found: DataFrame, shingle: int, percent: int, made: list) -> tuple[DataFrame, DataFrame]:
+    """links and components with those of the pairs in near that hold on full sets."""
+    made.append(near)
+    if near.isEmpty():
+        return links, found
+    more = materialize(_confirm(source, near, shingle, percent), "links")
+    made.append(more)
+    if more.isEmpty():
+        return links, found
+    links = links.union(more)
+    drop_scratch(found)
+    return links, components(links)
 
 
 def _mixed(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries with their component, and the buckets that hold several."""
-    placed = shared.select("class_id", "bucket", "n").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    placed = shared.select("class_id", "bucket").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     return placed, placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which near_duplicates() keeps one in each group, with all their columns. Rows that share a doc_id
     stay or go together; rows without one stay."""
-    gone = near_duplicates(docs, shingle, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs, shingle, percent).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
