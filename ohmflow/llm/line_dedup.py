@@ -12,8 +12,9 @@ Any deleted run has an equal one earlier, so the first copy of every passage sta
 copy only what follows that copy is deleted.
 
 Defined results: null and empty texts come back unchanged; texts of white space have no words; null doc_ids come first in
-the order; rows with the same doc_id and text count as one document and get the same result; ties between equal documents go to the smaller doc_id; extra
-columns are passed by; an empty table gives no rows.
+the order; rows with the same doc_id and text count as one document and get the same result; ties between equal documents go to the smaller doc_id; very long
+texts are hashed whole, one at a time, at about 60 bytes of memory a byte; extra columns are passed by, whatever their names, except that
+removed_words and n_runs are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,14 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _Powers, find_words, hash_spans, key_map, materialize, maybe_wanted, mix64, row_chunks, spot, text_buffers
+from .common import _Powers, drop_scratch, find_words, fresh, give_back, hash_spans, key_map, materialize, maybe_wanted, mix64, row_chunks, spot, text_buffers
 
 MIN_WORDS = 50
 #: Words of a gram, and grams of which one is a fingerprint: together MIN_WORDS words.
 GRAM = 26
 WINDOW = 25
-#: Bits of the map of segments that are taken to windows, for each of them, and at most (32 MB).
-MAP_BITS, MOST_BITS = 32, 1 << 28
 
 
 def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,24 +41,35 @@ def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return hash_spans(raw, start, end), np.ones(len(start), np.int64), start, np.searchsorted(start, offsets)
 
 
+class Spans:
+    """Hashes of runs of words, by a sum of powers."""
+
+    def __init__(self, hashes: np.ndarray):
+        up, self.down = _Powers.get(len(hashes) + 1)
+        self.sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(hashes * up[: len(hashes)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        """Hashes of `size` words from these on."""
+        return mix64((self.sums[start + size] - self.sums[start]) * self.down[start] + np.asarray(size).astype(np.uint64))
+
+
 class Segments:
     """Windows of `least` words of all rows, and the segments of consecutive windows with one fingerprint."""
 
     def __init__(self, hashes: np.ndarray, rows: np.ndarray, least: int):
         counts = np.maximum(np.diff(rows) - least + 1, 0)
-        n, self.least = len(hashes), least
+        n = len(hashes)
         #: first words of the windows
         self.windows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - rows[:-1], counts)
         if not len(self.windows):
             self.bounds = self.row = self.start = self.end = np.zeros(0, np.int64)
             self.prints = self.values = np.zeros(0, np.uint64)
             return
-        up, self.down = _Powers.get(n + 1)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(hashes * up[:n], out=self.sums[1:])
+        spans = Spans(hashes)
         window = max(1, least // 2)
         gram = least - window + 1
-        grams = self.span(np.arange(n - gram + 1), gram)
+        grams = spans.of(np.arange(n - gram + 1), gram)
         low, at, size = grams, np.arange(len(grams)), 1
         while size < window:  # the smallest of `window` grams, the rightmost of equal ones
             step = min(size, window - size)
@@ -72,11 +82,7 @@ class Segments:
         self.bounds = np.append(first, len(self.windows))
         self.row = np.repeat(np.arange(len(counts)), counts)[first]
         self.start, self.end = self.windows[first], self.windows[self.bounds[1:] - 1] + least
-        self.prints, self.values = grams[anchor[first]], self.span(self.start, self.end - self.start)
-
-    def span(self, start: np.ndarray, size) -> np.ndarray:
-        """Hashes of `size` words from these on."""
-        return mix64((self.sums[start + size] - self.sums[start]) * self.down[start] + np.asarray(size).astype(np.uint64))
+        self.prints, self.values = grams[anchor[first]], spans.of(self.start, self.end - self.start)
 
 
 def _cuts(batch, least: int):
@@ -97,69 +103,66 @@ def _mark(least: int):
                     [ids.take(take), keys.take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(found.prints.view(np.int64)), pa.array(found.values.view(np.int64))],
                     names=["doc_id", "key", "start", "end", "print", "segment"],
                 )
+        give_back()
 
     return run
 
 
-def _windows(shared, least: int):
-    """The windows of the segments on the map."""
+def _windows(least: int):
+    """The windows of the segments in `wanted` (start, end) of each text."""
 
     def run(batches):
-        bits = shared.value
-        mask = np.uint64(64 * len(bits) - 1)
         for batch in batches:
-            for found, rows, ids, keys in _cuts(batch, least):
-                id_of, key_of = (x.fill_null(0).to_numpy(zero_copy_only=False)[found.row].astype(np.int64).view(np.uint64) for x in (ids, keys))
-                place = (found.values ^ key_of ^ id_of ^ (found.start - rows[found.row]).astype(np.uint64)) & mask
-                wanted = ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-                sizes = np.diff(found.bounds)
-                at = found.windows[np.repeat(wanted, sizes)] if len(sizes) else found.windows
-                row = np.repeat(found.row[wanted], sizes[wanted]) if len(sizes) else at
-                values = found.span(at, least) if len(at) else np.zeros(0, np.uint64)
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(at - rows[row], pa.int32()), pa.array(values.view(np.int64))], names=["doc_id", "key", "start", "window"])
+            raw, offsets = text_buffers(batch.column("text"))
+            wanted = batch.column("wanted")
+            parts = wanted.offsets.to_numpy()
+            start, end = (wanted.values.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("start", "end"))
+            for lo, hi in row_chunks(offsets):
+                hashes, _, _, rows = units(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                mine = slice(parts[lo], parts[hi])
+                sizes = end[mine] - start[mine] - least + 1
+                row = np.repeat(np.repeat(np.arange(hi - lo), np.diff(parts[lo : hi + 1])), sizes)
+                at = np.repeat(start[mine] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                values = Spans(hashes).of(rows[row] + at, least) if len(at) else np.zeros(0, np.uint64)
+                take = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(at, pa.int32()), pa.array(values.view(np.int64))], names=["doc_id", "key", "start", "window"])
+        give_back()
 
     return run
 
 
-def _segment_map(segments: DataFrame) -> np.ndarray:
-    """A map of segments as _windows() reads it. A segment off it is not wanted; one on it may be."""
-    n = segments.count()
-    size = min(MOST_BITS, max(1 << 16, 1 << (n * MAP_BITS).bit_length()))
-    place = F.col("segment").bitwiseXOR(F.col("key")).bitwiseXOR(F.coalesce("doc_id", F.lit(0).cast("long"))).bitwiseXOR(F.col("start").cast("long")).bitwiseAND(F.lit(size - 1).cast("long"))
-    parts = segments.select(place.alias("s")).selectExpr("s div 64 as at", "shiftleft(1L, cast(s % 64 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(size // 64, dtype=np.int64)
-    bits[parts["at"].to_numpy(dtype=np.int64)] = parts["bits"].to_numpy(dtype=np.int64)
-    return bits.view(np.uint64)
-
-
-def _cut(batches):
-    """Texts without the words of their runs; removed_words, n_runs."""
-    for batch in batches:
-        texts = batch.column("text")
-        runs = batch.column("_runs")
-        out, removed, counts = [], [], []
-        for r in range(batch.num_rows):
-            spans = runs[r].values
-            text = texts[r].as_py()
-            if spans is None or not len(spans) or text is None:
-                out.append(text)
-                removed.append(0)
-                counts.append(0)
-                continue
-            data = text.encode()
-            raw = np.frombuffer(data, np.uint8)
-            _, words, first, _ = units(raw, np.array([0, len(raw)]))
-            gone = np.zeros(len(words) + 1, dtype=np.int64)
-            np.add.at(gone, spans.field("start").to_numpy(), 1)
-            np.add.at(gone, spans.field("end").to_numpy(), -1)
-            gone = np.cumsum(gone)[:-1] > 0
-            bounds = np.append(first, len(data))
-            bounds[0] = 0
-            out.append(b"".join(data[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(~gone)).rstrip(b" \t\n\r\x0b\x0c").decode())
-            removed.append(int(words[gone].sum()))
-            counts.append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("text", "_runs")), pa.array(out, pa.string()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], names=[*(c for c in batch.schema.names if c not in ("text", "_runs")), "text", "removed_words", "n_runs"])
+def _cut(names: dict[str, str]):
+    """Texts without the words of their runs; removed_words, n_runs. names: the columns of text and runs."""
+
+    def one(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[str, int, int]:
+        data = text.encode()
+        raw = np.frombuffer(data, np.uint8)
+        _, words, first, _ = units(raw, np.array([0, len(raw)]))
+        gone = np.zeros(len(words) + 1, dtype=np.int64)
+        np.add.at(gone, starts, 1)
+        np.add.at(gone, ends, -1)
+        gone = np.cumsum(gone)[:-1] > 0
+        bounds = np.append(first, len(data))
+        bounds[0] = 0
+        left = b"".join(data[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(~gone)).rstrip(b" \t\n\r\x0b\x0c").decode()
+        return left, int(words[gone].sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
+
+    def run(batches):
+        for batch in batches:
+            texts, runs = batch.column(names["text"]), batch.column(names["runs"])
+            out, removed, counts = [], [], []
+            for r in range(batch.num_rows):
+                spans, text = runs[r].values, texts[r].as_py()
+                whole = spans is None or not len(spans) or text is None
+                left, words, n = (text, 0, 0) if whole else one(text, spans.field("start").to_numpy(), spans.field("end").to_numpy())
+                out.append(left)
+                removed.append(words)
+                counts.append(n)
+            others = [c for c in batch.schema.names if c not in names.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(out, pa.string()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], names=[*others, names["text"], "removed_words", "n_runs"])
+        give_back()
+
+    return run
 
 
 def _later(rows: DataFrame, value: str) -> DataFrame:
@@ -169,7 +172,7 @@ def _later(rows: DataFrame, value: str) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, key, start, end: the runs of words to delete. docs: doc_id, key, text."""
+    """doc_id (-1 for null), key, runs (start, end): the words to delete. docs: doc_id, key, text."""
     texts = docs.select("doc_id", "key", "text")
     marked = materialize(texts.mapInArrow(_mark(min_words), "doc_id long, key long, start int, end int, print long, segment long"), "segments")
     # fingerprints that stand more than once, and whether their segments differ
@@ -178,33 +181,41 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     repeated = materialize(marked.filter(often(spot("print"))).join(prints, "print"), "repeated")
     later = materialize(_later(repeated, "segment").withColumn("own", F.expr(f"doc_id <=> first.doc_id and key = first.key and start - first.start < {int(min_words)}")), "later")
     # single windows: of the first copies of segments that differ, and of segments that overlap their first copy
-    firsts = repeated.filter("mixed").groupBy("segment").agg(F.min(F.struct("doc_id", "key", "start")).alias("first")).select("segment", "first.*")
+    firsts = repeated.filter("mixed").groupBy("segment").agg(F.min(F.struct("doc_id", "key", "start", "end")).alias("first")).select("first.*")
     overlapping = later.filter("own")
-    wanted = materialize(firsts.union(overlapping.select("segment", "doc_id", "key", "start")).union(overlapping.select("segment", "first.*")), "wanted")
-    shared = docs.sparkSession.sparkContext.broadcast(_segment_map(wanted))
-    windows = materialize(texts.mapInArrow(_windows(shared, min_words), "doc_id long, key long, start int, window long"), "windows")
+    own_first = overlapping.select("first.doc_id", "first.key", "first.start", (F.col("first.start") + F.col("end") - F.col("start")).alias("end"))
+    wanted = materialize(firsts.union(overlapping.select("doc_id", "key", "start", "end")).union(own_first), "wanted")
+    # only the texts with such segments are shuffled to them
+    starts = wanted.distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("wanted"))
+    some = maybe_wanted(docs.sparkSession, key_map(wanted, "doc_id", "key"))
+    held = texts.filter(some(spot("doc_id", "key"))).withColumnsRenamed({"doc_id": "t_id", "key": "t_key"})
+    found = held.join(starts.hint("merge"), F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("key"))).select("doc_id", "key", "text", "wanted")
+    windows = materialize(found.mapInArrow(_windows(min_words), "doc_id long, key long, start int, window long"), "windows")
     after = F.expr(f"case when doc_id <=> first.doc_id and key = first.key then greatest(start, first.start + {int(min_words)}) else start end")
     found = _later(windows, "window").select("doc_id", "key", after.alias("start"), (F.col("start") + min_words).alias("end"))
-    return later.filter("not own").select("doc_id", "key", "start", "end").union(found)
+    runs = later.filter("not own").select("doc_id", "key", "start", "end").union(found)
+    whole = materialize(runs.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "key").agg(F.collect_set(F.struct("start", "end")).alias("runs")), "runs")
+    drop_scratch(marked, prints, repeated, later, wanted, windows)
+    return whole
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of docs, texts without their later repeated runs, and removed_words, n_runs (which replace
     columns of these names)."""
     docs = docs.drop("removed_words", "n_runs")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    plain = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), F.col("text").cast("string").alias("text"))
-    runs = repeated_runs(plain, min_words).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "end")).alias("_runs"))
-    runs = materialize(runs, "runs")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    n_id, n_key, n_cut, n_runs = fresh(docs, "run_id", "run_key", "has_runs", "runs")
+    runs = repeated_runs(plain, min_words).select(F.col("doc_id").alias(n_id), F.col("key").alias(n_key), F.col("runs").alias(n_runs))
     # only the texts of documents with runs are shuffled to them; the others pass by
-    cut = maybe_wanted(docs.sparkSession, key_map(runs, "_id", "_key"))
-    keyed = keyed.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_cut", cut(spot("_id", "_key")))
+    cut = maybe_wanted(docs.sparkSession, key_map(runs, n_id, n_key))
+    keyed = docs.withColumn(n_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(n_key, F.xxhash64("text"))
+    keyed = keyed.withColumn(n_cut, cut(spot(n_id, n_key)))
     others = [c for c in docs.columns if c != "text"]
     text = F.col("text").cast("string").alias("text")
-    whole = keyed.filter("_cut").join(runs.hint("shuffle_hash"), ["_id", "_key"], "left").select(*others, text, "_runs")
-    rest = keyed.filter("not _cut").select(*docs.columns).withColumn("text", text).withColumn("removed_words", F.lit(0).cast("long")).withColumn("n_runs", F.lit(0).cast("long"))
+    whole = keyed.filter(F.col(n_cut)).join(runs.hint("shuffle_hash"), [n_id, n_key], "left").select(*others, text, n_runs)
+    rest = keyed.filter(~F.col(n_cut)).select(*docs.columns).withColumn("text", text).withColumn("removed_words", F.lit(0).cast("long")).withColumn("n_runs", F.lit(0).cast("long"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return whole.mapInArrow(_cut, f"{kinds}, text string, removed_words long, n_runs long").select(*docs.columns, "removed_words", "n_runs").unionByName(rest)
+    return whole.mapInArrow(_cut({"text": "text", "runs": n_runs}), f"{kinds}, text string, removed_words long, n_runs long").select(*docs.columns, "removed_words", "n_runs").unionByName(rest)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

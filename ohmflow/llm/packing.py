@@ -5,12 +5,14 @@ piece for each binary digit of its length. Every piece is a sequence of its own,
 one length form a bucket, no sequence crosses documents and none needs padding. The job is one pass without a shuffle.
 
 Defined results: a null text counts as empty, and an empty text has one piece, the end id; null doc_ids and repeated rows
-are packed like any other row; extra columns are passed by; an empty table gives no pieces. The tokenizer's special
+are packed like any other row, each on its own; a very long text is encoded whole and gives one piece for every 2048 ids; extra
+columns are passed by; an empty table gives no pieces. The tokenizer's special
 strings in a text become its special ids, as its file declares them.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 LIMIT = 2048
 END_ID = 1
 #: Distinct chunks whose ids a worker remembers; later ones are encoded each time. Only speed depends on it.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Fixed value: how byte-level BPE cuts a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD = re.compile(r" \s|\s |^ | $")
@@ -62,10 +66,8 @@ class Encoder:
     file's special strings, go through tokenizers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        self.special = [t["content"] for t in json.loads(Path(path).read_text()).get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
         self.fast = None
         if ranks := byte_ranks(path):
@@ -73,14 +75,22 @@ class Encoder:
 
             self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _whole(self, text: str) -> bytes:
-        if self.fast:
-            return array("I", self.fast(text)).tobytes()
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's tokenizer, which few texts need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.fast(text)).tobytes() if self.fast else self._direct(text)
+
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._direct(text)
         if self.fast is None or _ODD.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
@@ -126,6 +136,8 @@ def _pieces(path: str, limit: int, end_id: int, keep_ids: bool):
                 ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids])
+        del encoder
+        give_back()
 
     return run
 

@@ -1,15 +1,16 @@
 """A toxicity classifier with counterfactual regularisation.
 
-A logistic model over hashed words and word beginnings of whole texts. For every labelled sentence that holds identity
-terms, copies with the terms swapped for those of other groups are made, and the loss adds the squared change of the score
-between a sentence and its copies, so a group's name alone does not move the score.
+A logistic model over hashed words and word beginnings of whole texts. Labelled texts are parted into sentences; for every
+sentence that holds identity terms, copies with the terms swapped for those of other groups are made, and the loss adds the
+squared change of the score between a sentence and its copies, so a group's name alone does not move the score.
 
 The model is fitted on a bounded sample of labelled rows (TRAIN_ROWS, smallest hashes first; rows with
 crc32(doc_id) mod FOLDS = 0 are never read for it); all documents are scored, in tasks, with a weight vector of fixed size.
 
 Defined results: null and empty texts are scored by the model's bias, like any text without words; null doc_ids are scored
 and count as not held out; repeated rows get equal scores; labels that are null or occur with both values for a document
-are left out; without labelled rows every score is 0; extra columns are passed by.
+are left out; without labelled rows every score is 0; very long texts are scored whole, word by word; a score of exactly 0.5 is a 1;
+extra columns are passed by, whatever their names, except that score() replaces score and predicted; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, give_back
+
 FOLDS = 5
 TRAIN_ROWS = 6_000
 BITS = 20
@@ -32,7 +36,10 @@ PENALTY = 1.0
 #: Pull of every weight towards 0. Weights are not negative: evidence of harm in a long text is not outweighed by the rest of it.
 SPARSE = 1e-4
 ROUNDS = 80
+#: Words whose share a worker remembers; later ones are worked out anew. Only speed depends on it.
+REMEMBERED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE_END = re.compile(r"[.!?\n]+")
 
 #: Identity terms, by attribute; terms of one attribute are swapped for each other.
 IDENTITY = (
@@ -58,36 +65,47 @@ def vocabulary(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def counterfactuals(words: set[str]) -> list[set[str]]:
-    """The word set with its identity terms swapped: one copy for each step round the groups, two at most."""
-    terms = [w for w in words if w in _GROUP]
+def counterfactuals(sentence: set[str]) -> list[set[str]]:
+    """A sentence's words with its identity terms swapped: one copy for each step round the groups, two at most."""
+    terms = [w for w in sentence if w in _GROUP]
     if not terms:
         return []
     swap = lambda w, k: _GROUP[w][(_GROUP[w].index(w) + k) % len(_GROUP[w])]
-    return [(words - set(terms)) | {swap(w, k) for w in terms} for k in (1, 2)]
+    return [(sentence - set(terms)) | {swap(w, k) for w in terms} for k in (1, 2)]
+
+
+def swapped_sentences(texts: list[str | None]) -> tuple[list[set[str]], list[set[str]]]:
+    """The words of all sentences with identity terms, once for each copy, and those of the copies."""
+    origins, copies = [], []
+    for text in texts:
+        for sentence in map(vocabulary, _SENTENCE_END.split(text or "")):
+            made = counterfactuals(sentence)
+            copies += made
+            origins += [sentence] * len(made)
+    return origins, copies
 
 
 class Rows:
     """Feature lists of word sets, for products with a weight vector."""
 
-    def __init__(self, sets: list[set[str]]):
-        known: dict[str, list[int]] = {}
-        lists = []
+    def __init__(self, sets):
+        known: dict[str, array] = {}
+        columns, counts = array("i"), array("i")
         for words in sets:
-            ids: list[int] = []
+            before = len(columns)
             for w in sorted(words):
                 if w not in known:
-                    known[w] = word_ids(w)
-                ids += known[w]
-            lists.append(np.array(ids, dtype=np.int32))
-        self.n = len(lists)
-        self.columns = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        self.rows = np.repeat(np.arange(self.n), [len(x) for x in lists]) if lists else np.zeros(0, np.int64)
+                    known[w] = array("i", word_ids(w))
+                columns.extend(known[w])
+            counts.append(len(columns) - before)
+        self.n = len(counts)
+        self.columns = np.frombuffer(columns, dtype=np.int32) if columns else np.zeros(0, np.int32)
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), np.frombuffer(counts, dtype=np.int32) if counts else 0)
 
     def keep(self, columns: np.ndarray, width: int) -> None:
         """Leaves only these columns, numbered from 0."""
-        place = np.full(width, -1, dtype=np.int64)
-        place[columns] = np.arange(len(columns))
+        place = np.full(width, -1, dtype=np.int32)
+        place[columns] = np.arange(len(columns), dtype=np.int32)
         at = place[self.columns]
         self.columns, self.rows = at[at >= 0], self.rows[at >= 0]
 
@@ -103,18 +121,13 @@ def fit(texts: list[str | None], labels: list[int], penalty: float = PENALTY, ro
     width = 1 << BITS
     if not texts:
         return np.zeros(width), -math.inf
-    sets = [vocabulary(t) for t in texts]
     y = np.array(labels, dtype=float)
-    x = Rows(sets)
+    x = Rows(map(vocabulary, texts))
     # features of fewer than two documents are noise; the others are numbered anew
     seen = np.flatnonzero(np.bincount(x.columns, minlength=width) >= 2)
     x.keep(seen, width)
-    origin, copies = [], []
-    for i, words in enumerate(sets):
-        for c in counterfactuals(words):
-            origin.append(i)
-            copies.append(c)
-    other, origin = Rows(copies), np.array(origin, dtype=np.int64)
+    origin, other = map(Rows, swapped_sentences(texts))
+    origin.keep(seen, width)
     other.keep(seen, width)
     full, width = width, len(seen)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
@@ -126,10 +139,9 @@ def fit(texts: list[str | None], labels: list[int], penalty: float = PENALTY, ro
         z = x.times(w) + b
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         grad = x.back(g, width) + SPARSE
-        if len(origin):
-            change = (z[origin] - other.times(w) - b) * (2 * penalty / len(origin))
-            both = np.bincount(origin, weights=change, minlength=x.n)
-            grad += x.back(both, width) - other.back(change, width)
+        if origin.n:
+            change = (origin.times(w) - other.times(w)) * (2 * penalty / origin.n)
+            grad += origin.back(change, width) - other.back(change, width)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
         rate = 0.08 * (1 - 0.5 * t / rounds)
@@ -150,7 +162,7 @@ class Scorer:
         if self.bias == -math.inf:
             return 0.0
         known, total = self.known, self.bias
-        if len(known) > 300_000:
+        if len(known) > REMEMBERED:
             known.clear()
         # in sorted order, so that equal texts get bit-equal sums in any process
         for w in sorted(vocabulary(text)):
@@ -167,11 +179,14 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """The model, from a bounded sample of labelled documents outside the held-out fold."""
-    marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_top")).filter("toxic = _top").drop("_top")
-    marks = marks.filter(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).orderBy("doc_id", F.xxhash64("text")).select("text", "toxic").limit(rows)
-    found: pd.DataFrame = sample.toPandas()
-    return fit(found["text"].tolist(), found["toxic"].tolist(), penalty)
+    marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("marked")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("top")).filter("toxic = top").drop("top")
+    marks = marks.filter(~held_out(F.col("marked"))).orderBy(F.xxhash64("marked"), "marked").limit(rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("marked")).orderBy("doc_id", F.xxhash64("text")).select("text", "toxic").limit(rows)
+    found = sample.toArrow()
+    model = fit(found.column("text").to_pylist(), found.column("toxic").to_pylist(), penalty)
+    del found
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
@@ -182,14 +197,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], names: tuple[str, st
     @F.pandas_udf("double")
     def scored(parts: pd.Series) -> pd.Series:
         scorer = Scorer(*shared.value)
-        return pd.Series([scorer.score(t) for t in parts], dtype="float64")
+        out = pd.Series([scorer.score(t) for t in parts], dtype="float64")
+        del scorer
+        give_back()
+        return out
 
     return docs.withColumn(names[0], scored(F.col("text").cast("string"))).withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    return score(docs, train(docs, labels), ("_score", "_toxic")).filter("_toxic = 0").drop("_score", "_toxic")
+    likely, toxic = fresh(docs, "toxic_score", "is_toxic")
+    return score(docs, train(docs, labels), (likely, toxic)).filter(F.col(toxic) == 0).drop(likely, toxic)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
