@@ -6,12 +6,13 @@ benchmark items; each hit fixes an alignment, around which the overlap is verifi
 +1, another word -MISMATCH, and the best stretch must reach MIN_SCORE.
 
 The item side is broadcast in blocks of at most BLOCK_WORDS words, counted before, so its size is bounded for any
-benchmark; each block is one more pass over the corpus, without a shuffle. Documents with a hit are then joined with their
-alignments (few rows; Spark broadcasts them only under its size limit), and their words are compared.
+benchmark; each block is one more pass over the corpus, without a shuffle. Only documents with a hit are then read again and
+joined with their alignments: a map of fixed size tells them, so that no other text is shuffled.
 
 Defined results: words are runs of letters, digits and non-ASCII characters of the lower-cased text; null and empty texts
-and documents or items with fewer words than a mask have no windows; null doc_ids stay null in the result; repeated rows
-give one result; extra columns are passed by.
+and documents or items with fewer words than a mask (10) have no windows and match nothing: benchmark items that short are not
+protected; null doc_ids stay null in the result; repeated rows give one result, with the best score; very long texts are compared
+whole; extra columns are passed by, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, materialize, native_map
+
 #: 1 takes a position's word, 0 ignores it. All begin with the same two positions.
 MASKS = ("1101101011", "1110010111", "1100111101")
 SPAN = len(MASKS[0])
@@ -69,9 +72,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE) ->
         pairs = [r["p"] for r in starts.collect()]
         hits = windows(rows, ["key"], pairs).join(F.broadcast(seeds), ["mask", "seed"]).select("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
         found = hits if found is None else found.unionByName(hits)
-    # only documents with a hit are read again, and the item is laid over the document at each alignment
-    hits = found.distinct()
-    laid = hits.join(source, "key").join(items.select("item_id", F.col("h").alias("item")), "item_id").select("doc_id", "item_id", "shift", "item", words(F.col("text")).alias("h"))
+    hits = materialize(found.distinct(), "hits")
+    # the item is laid over the document at each alignment
+    wanted = native_map(hits, "key", 1 << 22)
+    laid = hits.join(source.filter(wanted(F.col("key"))), "key").join(items.select("item_id", F.col("h").alias("item")), "item_id").select("doc_id", "item_id", "shift", "item", words(F.col("text")).alias("h"))
     first = F.greatest(-F.col("shift"), F.lit(0))
     length = F.least(F.size("item"), F.size("h") - F.col("shift")) - first
     aligned = laid.select("doc_id", "item_id", "shift", F.slice("item", first + 1, length).alias("a"), F.slice("h", first + F.col("shift") + 1, length).alias("b"))
@@ -82,10 +86,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
     """The documents without a benchmark passage, with all their columns. Rows without a doc_id stay unless their own text
     leaks: they are told by their text."""
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    plain = keyed.select(F.col("_text_key").alias("doc_id"), "text")
-    gone = leaks(plain, benchmark, min_score).select(F.col("doc_id").alias("_leaking")).distinct()
-    return keyed.join(gone, keyed["_text_key"] == gone["_leaking"], "left_anti").drop("_text_key")
+    (key,) = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    plain = keyed.select(F.col(key).alias("doc_id"), "text")
+    gone = leaks(plain, benchmark, min_score).select(F.col("doc_id").alias("leaking_text")).distinct()
+    return keyed.join(gone, keyed[key] == gone["leaking_text"], "left_anti").drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
