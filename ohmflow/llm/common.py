@@ -233,6 +233,15 @@ def native_map(keys: DataFrame, key: str, spots: int = SPOTS):
     return lambda c: here(place(c, 1)) & here(place(c, 2))
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key is not in gone (a written table of one column, key); rows with a null key stay. Only rows on
+    the map of gone keys are shuffled to them, the others pass by."""
+    (column,) = gone.columns
+    on = native_map(gone, column)
+    known = F.coalesce(on(F.col(key)) & F.col(key).isNotNull(), F.lit(False))
+    return docs.filter(~known).unionByName(docs.filter(known).join(gone, docs[key] == gone[column], "left_anti"))
+
+
 def give_back() -> None:
     """Returns a worker's freed memory to the system: workers are kept for later tasks and would hold their peak."""
     pa.default_memory_pool().release_unused()

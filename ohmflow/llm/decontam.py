@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, native_map
+from .common import fresh, materialize, native_map, without
 
 #: 1 takes a position's word, 0 ignores it. All begin with the same two positions.
 MASKS = ("1101101011", "1110010111", "1100111101")
@@ -90,7 +90,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SC
     keyed = docs.withColumn(key, F.xxhash64("text"))
     plain = keyed.select(F.col(key).alias("doc_id"), "text")
     gone = leaks(plain, benchmark, min_score).select(F.col("doc_id").alias("leaking_text")).distinct()
-    return keyed.join(gone, keyed[key] == gone["leaking_text"], "left_anti").drop(key)
+    return without(keyed, materialize(gone, "gone"), key).drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

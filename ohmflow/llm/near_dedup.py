@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, drop_scratch, give_back, hash_shingles, hash_words, key_map, materialize, mix64, on_map, row_chunks, spot, text_buffers
+from .common import components, drop_scratch, give_back, hash_shingles, hash_words, key_map, materialize, mix64, on_map, row_chunks, spot, text_buffers, without
 
 BANDS, ROWS = 24, 5
 SKETCH_WORDS = 4  # 256 bits
@@ -262,7 +262,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """The documents of which near_duplicates() keeps one in each group, with all their columns. Rows that share a doc_id
     stay or go together; rows without one stay."""
     gone = near_duplicates(docs, shingle, percent).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return without(docs, materialize(gone, "gone"), "doc_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,12 +5,16 @@ from below, so q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2 is bounded from above by th
 candidates are evaluated in the order of that bound until the next bound is under its k-th best score: what is left
 cannot enter the result, so it is exact.
 
-Pivots are chosen on a bounded sample (PIVOT_SAMPLE rows, the smallest hashes of vec_id), farthest first; every vector is in the table. Queries
-and vectors meet in blocks: a task holds one block of each, and the blocks' best rows are merged per query.
-
-Defined results: vectors that are null, empty or hold null, NaN or infinite components take no part; vectors are compared
-with those of their own length; a query's own vec_id is no candidate; rows with a null vec_id take no part; repeated rows
-(same vec_id) are separate candidates; ties go to the smaller vec_id; an empty table gives no rows.
+Pivots are chosen on a bounded sample (PIVOT_SAMPLE rows, the smallest hashes of vec_id), farthest first; every vector is in
+the table. Queries and vectors meet in blocks: a task holds one block of vectors and one of queries at a time, a shelf of
+SHELF_BLOCKS query blocks meets each vector block, and the number of shelves and of deals of vectors grows with the tables. Blocks'
+best rows are merged per query.
+
+Defined results: vectors that are null, empty or hold null, NaN or infinite components take no part, nor do those with a
+component beyond LARGEST (products of such would leave 64 bits); vectors are compared with those of their own length; rows with a null
+vec_id take no part. A query's own row is no candidate; every other row is, so of repeated rows (same vec_id) each is a
+query and a candidate of its own and a query's other copies are among its results; ties go to the smaller vec_id; an empty table
+gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -20,12 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 PIVOTS = 48
 PIVOT_SAMPLE = 2000
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
 #: Candidates of a query that are evaluated at once, in bound order.
 STEP = 64
+#: Blocks of queries that one shelf holds (about 60 MB at 64 components).
+SHELF_BLOCKS = 256
+#: Deals of the vector blocks: at least, and for each shelf (a query of 50 rows: both sides are copied about equally).
+LEAST_DEALS, DEALS_PER_SHELF = 64, 50
+#: Largest quantised component; 512 products of two such fit in 64 bits.
+LARGEST = 1 << 27
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,8 +67,8 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def search_block(q_ids, q, q_piv, x_ids, x, x_piv, k):
-    """Each query's k best rows of one block: (query, vec_id, score) lists. x is sorted by vec_id."""
+def search_block(q, q_piv, x_ids, x, x_piv, k):
+    """Each query's k best rows of one block: (number of the query, number of the row, score) lists."""
     out_q, out_x, out_s = [], [], []
     q_sq, x_sq = (q.astype(np.float64) ** 2).sum(1), (x.astype(np.float64) ** 2).sum(1)
     for i in range(len(q)):
@@ -64,37 +76,37 @@ def search_block(q_ids, q, q_piv, x_ids, x, x_piv, k):
         # distances are rounded; the bound is widened by more than that error
         upper = (q_sq[i] + x_sq - lower * lower) / 2 + 1e-6 * (q_sq[i] + x_sq) + 1
         order = np.argsort(-upper, kind="stable")
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for at in range(0, len(order), STEP):
             if len(scores) >= k and upper[order[at]] < scores[-1]:
                 break
             take = order[at : at + STEP]
-            take = take[x_ids[take] != q_ids[i]]
-            ids = np.concatenate([ids, x_ids[take]])
+            rows = np.concatenate([rows, take])
             scores = np.concatenate([scores, _dot(q[i : i + 1], x[take])[0]])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-        out_q += [q_ids[i]] * len(ids)
-        out_x += ids.tolist()
+            best = np.lexsort((x_ids[rows], -scores))[:k]
+            rows, scores = rows[best], scores[best]
+        out_q += [i] * len(rows)
+        out_x += rows.tolist()
         out_s += scores.tolist()
     return out_q, out_x, out_s
 
 
-def _blocks(rows: int, name: str, pivots: dict[int, bytes]):
-    """Packs a partition's vectors into blocks of equal dimension: ids, vectors and pivot distances as bytes."""
+def _blocks(rows: int, name: str, pivots: dict[int, bytes], extra: tuple[str, ...] = ()):
+    """Packs a partition's vectors into blocks of equal dimension: ids, vectors, pivot distances and extra long columns, as bytes."""
 
     def run(batches):
         held: dict[int, list] = {}
 
         def block(dim):
-            ids, vectors = zip(*held.pop(dim), strict=True)
+            vectors, ids, *others = zip(*held.pop(dim), strict=True)
             vectors = np.array(vectors, dtype=np.int64)
             table = distances(vectors, np.frombuffer(pivots[dim], np.int64).reshape(-1, dim)) if dim in pivots else np.zeros((len(ids), 1))
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), f"{name}_ids": [np.array(ids, np.int64).tobytes()], f"{name}_vectors": [vectors.tobytes()], f"{name}_table": [table.tobytes()]})
+            columns = {"ids": np.array(ids, np.int64), "vectors": vectors, "table": table} | {e: np.array(o, np.int64) for e, o in zip(extra, others, strict=True)}
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32())} | {f"{name}_{c}": [v.tobytes()] for c, v in columns.items()})
 
         for batch in batches:
-            for vec_id, vector in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist(), strict=True):
-                held.setdefault(len(vector), []).append((vec_id, vector))
+            for vector, *row in zip(*(batch.column(c).to_pylist() for c in ("vector", "vec_id", *extra)), strict=True):
+                held.setdefault(len(vector), []).append((vector, *row))
                 if len(held[len(vector)]) >= rows:
                     yield block(len(vector))
         for dim in list(held):
@@ -104,15 +116,18 @@ def _blocks(rows: int, name: str, pivots: dict[int, bytes]):
 
 
 def _search(k: int):
+    """query_id, query_key, copies, vec_id, own (the row equals the query in id and vector), score."""
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                q_ids, x_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["x_ids"], np.int64)
+                q_ids, x_ids, keys, copies = (np.frombuffer(row[c], np.int64) for c in ("q_ids", "x_ids", "q_key", "q_copies"))
                 q, x = np.frombuffer(row["q_vectors"], np.int64).reshape(-1, dim), np.frombuffer(row["x_vectors"], np.int64).reshape(-1, dim)
                 q_piv, x_piv = np.frombuffer(row["q_table"]).reshape(len(q), -1), np.frombuffer(row["x_table"]).reshape(len(x), -1)
-                found = search_block(q_ids, q, q_piv, x_ids, x, x_piv, k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
+                at, hit, score = (np.array(c, np.int64) for c in search_block(q, q_piv, x_ids, x, x_piv, k))
+                own = (q_ids[at] == x_ids[hit]) & (q[at] == x[hit]).all(1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_ids[at], keys[at], copies[at], x_ids[hit], own, score)], names=["query_id", "query_key", "copies", "vec_id", "own", "score"])
 
     return run
 
@@ -120,27 +135,37 @@ def _search(k: int):
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, vector array<long>) of the vectors that take part."""
     whole = vectors.filter("vec_id is not null and embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    fit = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    fit = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float(LARGEST) / scale)))
     return whole.filter(fit).select("vec_id", F.transform("embedding", lambda v: F.floor(v * scale)).alias("vector"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest inner products among the other vectors. Both inputs are
-    (vec_id, vector array<long>)."""
-    sample = vectors.orderBy(F.xxhash64("vec_id")).limit(PIVOT_SAMPLE).select("vector").toPandas()["vector"]
+    (vec_id, vector array<long>), and queries are rows of vectors."""
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("vector").toPandas()["vector"]
     by_dim: dict[int, list] = {}
     for v in sample:
         by_dim.setdefault(len(v), []).append(np.asarray(v, dtype=np.int64))
     pivots = {dim: choose_pivots(np.array(rows), PIVOTS).tobytes() for dim, rows in by_dim.items()}
-    xs = vectors.mapInArrow(_blocks(BLOCK_ROWS, "x", pivots), "dim int, x_ids binary, x_vectors binary, x_table binary")
-    qs = queries.mapInArrow(_blocks(QUERY_ROWS, "q", pivots), "dim int, q_ids binary, q_vectors binary, q_table binary")
-    # one row per pair of blocks; salts spread the one common dimension over tasks
-    ways = 16
-    xs = xs.withColumn("way", F.pmod(F.xxhash64("x_ids"), F.lit(ways)))
-    qs = qs.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
-    best = xs.join(qs.hint("shuffle_hash"), ["dim", "way"]).drop("way").mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # equal query rows are searched once
+    asked = queries.groupBy("vec_id", "vector").agg(F.count("*").alias("copies")).withColumn("key", F.xxhash64("vector"))
+    xs = materialize(vectors.mapInArrow(_blocks(BLOCK_ROWS, "x", pivots), "dim int, x_ids binary, x_vectors binary, x_table binary"), "vectors")
+    qs = materialize(asked.mapInArrow(_blocks(QUERY_ROWS, "q", pivots, ("key", "copies")), "dim int, q_ids binary, q_vectors binary, q_table binary, q_key binary, q_copies binary"), "queries")
+    # every vector block meets every shelf once. Shelves bound a task's memory; deals are as many as make both sides' copies alike
+    shelves, blocks = max(1, -(-qs.count() // SHELF_BLOCKS)), max(1, xs.count())
+    deals = min(blocks, max(LEAST_DEALS, DEALS_PER_SHELF * shelves))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    meet = ["dim", "deal", "shelf"]
+    xs_dealt = xs.withColumn("deal", F.pmod(F.xxhash64("x_ids"), F.lit(deals)).cast("int")).withColumn("shelf", spread(shelves)).repartition(deals * shelves, *meet)
+    qs_dealt = qs.withColumn("shelf", F.pmod(F.xxhash64("q_ids"), F.lit(shelves)).cast("int")).withColumn("deal", spread(deals)).repartition(deals * shelves, *meet)
+    best = xs_dealt.join(qs_dealt.hint("merge"), meet).drop(*meet[1:])
+    best = best.mapInArrow(_search(k + 1), "query_id long, query_key long, copies long, vec_id long, own boolean, score long")
+    # of the k + 1 best rows one that is the query's own row is taken out
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    top = best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
+    owns = F.sum(F.col("own").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    kept = top.withColumn("owns", owns).filter("not (own and owns = 1)").withColumn("rank", F.col("place") - F.least("owns", F.lit(1))).filter(F.col("rank") <= k)
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -150,12 +175,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 524288)) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * x.e[i])) AS BIGINT) AS score
-  FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id AND len(q.e) = len(x.e)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.row, q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * x.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.row <> x.row AND len(q.e) = len(x.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

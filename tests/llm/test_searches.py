@@ -21,6 +21,11 @@ def test_top_k_edges(spark):
     v = topk.quantised(df)
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(v, v.filter("vec_id % 50 = 0"), 3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 3, 32768), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+    repeated = topk.quantised(spark.createDataFrame([(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 2.0]), (7, [2.0, 1.0]), (9, [0.5, 0.5]), (9, [0.5, 0.5]), (11, [3e38, 1.0])], "vec_id long, embedding array<float>"))
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(repeated, repeated.filter("vec_id % 50 = 0"), 3).collect())
+    # each of the three query rows has its own results, in which the other rows of its id may stand
+    same = [(50, 1, 7, 131072), (50, 2, 50, 65536), (50, 3, 9, 32768)]
+    assert got == sorted([*same, *same, (50, 1, 7, 131072), (50, 2, 9, 65536), (50, 3, 9, 65536)])
     empty = topk.quantised(df.limit(0))
     assert topk.top_k(empty, empty).collect() == []
 
