@@ -1,18 +1,22 @@
 """Chat formatting by quotation linking.
 
 A line's quote level is the number of '>' marks before it. Lines of one level in a row form a passage; level 0 is the
-message's own text. Own lines are hashed after normalising (letters and digits, lower case), and quoted lines are joined
-to them by hash: first to an earlier message of the same conversation, else to the first message anywhere. A passage is
-linked to the message that holds most of its lines, and a message replies to the source of its shallowest, last linked
-passage, else to the message of the turn before. Conversations that quote each other form one thread, rebuilt in reply order
-without quotes.
-
-Own lines are reduced to one row per hash (and conversation) before the join, so a line that is said or quoted very
-often meets one row, not all of them.
+message's own text. A passage's lines are joined and parted into sentences, so that a mail client's line breaks don't matter, and
+normalised (letters and digits, lower case); its units are the hashes of these sentences and of its single lines. Own texts
+have the same units. Quoted units are joined to the earliest own one: in an earlier message of the same conversation, else in a
+smaller conversation. A passage is linked to the message that holds most of its units, and a message replies to the
+source of its shallowest, last linked passage, else to the message of the turn before. Conversations that quote each other form
+one thread, rebuilt in reply order without quotes.
+
+Messages are ordered by (conv_id, turn), the only order that the table has. A source is always earlier in it, so no replies
+are circular and the thread in that order has every message after the one that it replies to. Only own units that a quote
+holds are shuffled (a map of fixed size tells them), one row per hash and conversation, so a line that is said or quoted very
+often meets one row. Threads are numbered over ranges of rows, so a thread of any length is many tasks' work.
 
 Defined results: null and empty texts are messages without lines; a quote whose source is not found stays unlinked and is
-still taken out; rows without conv_id or turn are kept as their own thread (null) and never a source; repeated rows give
-repeated messages; ties go to the earliest message; extra columns are passed by; an empty table gives no rows.
+still taken out, and so is a line such as "... wrote:" right before a quote; rows without conv_id or turn are kept as their own thread (null)
+and never a source; rows that repeat a conv_id and turn are messages of their own, at places by role and text; ties go to the earliest
+message; very long texts are parted whole; extra columns are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,58 +24,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, drop_scratch, materialize, native_map
 
-#: Turns of a thread that one task orders.
-BLOCK_TURNS = 256
 _MARKS = r"^((?:[ \t]*>)*)[ \t]?"
+_INTRODUCTION = r"\b(?:wrote|writes|said)\b.*:[ \t]*$"
+_SENTENCE_END = r"[.!?]+(?:\s+|$)"
+
+
+def level_of(raw: Column) -> Column:
+    return F.length(F.regexp_replace(F.regexp_extract(raw, _MARKS, 1), r"[^>]", ""))
 
 
-def normal_hash(line: Column) -> Column:
-    """Hash of a line's letters and digits in lower case; null where there are none."""
-    plain = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain != "", F.xxhash64(plain))
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\r?\n")
 
 
-def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, at (line number), level, line, hash."""
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("at", "raw"))
-    level = F.length(F.regexp_replace(F.regexp_extract("raw", _MARKS, 1), r"[^>]", ""))
-    line = F.regexp_replace("raw", _MARKS, "")
-    return lines.select("conv_id", "turn", "at", level.alias("level"), line.alias("line"), normal_hash(line).alias("hash"))
+def own_lines(text: Column) -> Column:
+    """The lines of level 0 without introductions of quotes."""
+    lines = lines_of(text)
+    quoted = lambda raw: F.coalesce(level_of(raw) > 0, F.lit(False))
+    return F.when(~F.coalesce(text, F.lit("")).contains(">"), lines).otherwise(F.filter(lines, lambda raw, i: ~quoted(raw) & ~(raw.rlike(_INTRODUCTION) & quoted(F.get(lines, i + 1)))))
 
 
 def own_text(text: Column) -> Column:
     """The text without its quoted lines and without the introductions that stand right before them ('... wrote:')."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)(^[^\n>]{0,200}\b(?:wrote|writes|said)[^\n]{0,40}:[ \t]*\r?\n(?=[ \t]*>))", "")
-    kept = F.regexp_replace(kept, r"(?m)^[ \t]*>[^\n]*(?:\n|\z)", "")
-    return F.trim(F.regexp_replace(kept, r"\n{3,}", "\n\n"))
+    return F.trim(F.regexp_replace(F.array_join(own_lines(text), "\n"), r"\n{3,}", "\n\n"))
+
+
+def units(lines: Column) -> Column:
+    """Distinct normalised sentences and lines."""
+    plain = lambda part: F.trim(F.regexp_replace(F.lower(part), r"[^\p{L}\p{N}]+", " "))
+    parts = F.concat(F.split(F.array_join(lines, " "), _SENTENCE_END), lines)
+    return F.array_distinct(F.filter(F.transform(parts, plain), lambda part: part != ""))
+
+
+def quoted_units(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, key (of the text), passage, level, units (number), hash: one row per unit of a quoted passage; a
+    passage without letters and digits has one row, without hash."""
+    quoting = messages.filter("conv_id is not null and turn is not null").filter(F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id", "turn", "text").distinct()
+    lines = quoting.select("conv_id", "turn", F.xxhash64("text").alias("key"), F.posexplode(lines_of(F.col("text"))).alias("at", "raw")).withColumn("level", level_of(F.col("raw")))
+    # of one message
+    order = Window.partitionBy("conv_id", "turn", "key").orderBy("at")
+    starts = lines.withColumn("starts", (F.col("level") != F.coalesce(F.lag("level").over(order), F.lit(-1))).cast("int")).withColumn("passage", F.sum("starts").over(order)).filter("level > 0")
+    whole = starts.groupBy("conv_id", "turn", "key", "passage", "level").agg(F.array_sort(F.collect_list(F.struct("at", F.regexp_replace("raw", _MARKS, "").alias("line")))).alias("lines"))
+    said = whole.withColumn("unit", units(F.col("lines.line"))).drop("lines")
+    return said.select("conv_id", "turn", "key", "passage", "level", F.size("unit").alias("units"), F.explode_outer("unit").alias("one")).withColumn("hash", F.when(F.col("one").isNotNull(), F.xxhash64("one"))).drop("one")
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, passage, level, lines (number), source_conv, source_turn: quoted passages and the messages they come from."""
-    lines = parse(messages.filter("conv_id is not null and turn is not null"))
-    own = lines.filter("level = 0 and hash is not null").select("hash", "conv_id", "turn")
-    near = own.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
-    far = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
-    # only messages with a quote go on; their lines are put in passages by runs of one level
-    quoting = messages.filter("conv_id is not null and turn is not null").filter(F.col("text").rlike(r"(?m)^[ \t]*>"))
-    order = Window.partitionBy("conv_id", "turn").orderBy("at")
-    marked = parse(quoting).withColumn("starts", (F.col("level") != F.coalesce(F.lag("level").over(order), F.lit(-1))).cast("int"))
-    quoted = marked.withColumn("passage", F.sum("starts").over(order)).filter("level > 0 and hash is not null").select("conv_id", "turn", "passage", "level", "hash")
+    """conv_id, turn, key, passage, level, units (number), source_conv, source_turn: quoted passages and the messages they come from."""
+    quoted = materialize(quoted_units(messages), "quoted")
+    wanted = native_map(quoted.filter("hash is not null"), "hash", 1 << 22)
+    named = messages.filter("conv_id is not null and turn is not null")
+    own = named.select("conv_id", "turn", F.explode(units(own_lines(F.col("text")))).alias("unit")).select("conv_id", "turn", F.xxhash64("unit").alias("hash")).filter(wanted(F.col("hash")))
+    near = materialize(own.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn")), "own")
+    far = near.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("near_turn").alias("turn"))).alias("far"))
     found = quoted.join(near, ["hash", "conv_id"], "left").join(far, "hash", "left")
-    source = F.when(F.col("near_turn") < F.col("turn"), F.struct(F.col("conv_id"), F.col("near_turn").alias("turn"))).when((F.col("far.conv_id") != F.col("conv_id")), F.col("far"))
-    votes = found.withColumn("source", source).groupBy("conv_id", "turn", "passage", "level", "source").agg(F.count("*").alias("n"))
-    best = votes.groupBy("conv_id", "turn", "passage", "level").agg(F.sum("n").alias("lines"), F.max(F.when(F.col("source").isNotNull(), F.struct("n", (-F.col("source.conv_id")).alias("c"), (-F.col("source.turn")).alias("t")))).alias("best"))
-    return best.select("conv_id", "turn", "passage", "level", "lines", (-F.col("best.c")).alias("source_conv"), (-F.col("best.t")).alias("source_turn"))
+    source = F.when(F.col("near_turn") < F.col("turn"), F.struct(F.col("conv_id"), F.col("near_turn").alias("turn"))).when(F.col("far.conv_id") < F.col("conv_id"), F.col("far"))
+    of = ["conv_id", "turn", "key", "passage", "level", "units"]
+    votes = found.withColumn("source", source).groupBy(*of, "source").agg(F.count("*").alias("n"))
+    best = votes.groupBy(*of).agg(F.max(F.when(F.col("source").isNotNull(), F.struct("n", (-F.col("source.conv_id")).alias("c"), (-F.col("source.turn")).alias("t")))).alias("best"))
+    links = materialize(best.select(*of, (-F.col("best.c")).alias("source_conv"), (-F.col("best.t")).alias("source_turn")), "quotes")
+    drop_scratch(quoted, near)
+    return links
 
 
 def rebuild(messages: DataFrame) -> DataFrame:
     """thread_id, position (in reply order, from 0), conv_id, turn, role, text (without quotes), reply_conv, reply_turn, n_quotes, n_linked."""
-    plain = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))
-    quotes = materialize(passages(plain), "quotes")
+    plain = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    quotes = passages(plain)
     # the source of the shallowest, then last, linked passage
-    per = quotes.groupBy("conv_id", "turn").agg(
+    per = quotes.groupBy("conv_id", "turn", "key").agg(
         F.count("*").alias("n_quotes"),
         F.count("source_conv").alias("n_linked"),
         F.max(F.when(F.col("source_conv").isNotNull(), F.struct((-F.col("level")).alias("l"), "passage", "source_conv", "source_turn"))).alias("to"),
@@ -79,29 +102,59 @@ def rebuild(messages: DataFrame) -> DataFrame:
     across = quotes.filter("source_conv <> conv_id").select(F.col("conv_id").alias("a"), F.col("source_conv").alias("b")).distinct()
     threads = components(across).withColumnsRenamed({"node": "conv_id", "component": "thread"})
     before = plain.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("last_turn")).distinct()
-    whole = plain.join(before, ["conv_id", "turn"], "left").join(per, ["conv_id", "turn"], "left").join(threads, "conv_id", "left")
-    whole = whole.withColumn("thread_id", F.coalesce("thread", "conv_id"))
-    # sources come earlier in a conversation, or in a conversation that another one quotes; turns keep that order. Blocks of
-    # turns are ranked on their own and then moved by the number of rows before them, so a long thread is many tasks' work
-    whole = whole.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-    sizes = whole.groupBy("thread_id", "block").agg(F.count("*").alias("n"))
-    so_far = Window.partitionBy("thread_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(F.col("thread_id").alias("_thread"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("shift"))
-    whole = whole.join(shifts, F.col("thread_id").eqNullSafe(F.col("_thread")) & F.col("block").eqNullSafe(F.col("_block")))
-    order = Window.partitionBy("thread_id", "block").orderBy("turn", "conv_id", "role", "text")
-    return whole.select(
-        "thread_id",
-        (F.col("shift") + F.row_number().over(order) - 1).cast("long").alias("position"),
+    whole = plain.withColumn("key", F.xxhash64("text")).join(before, ["conv_id", "turn"], "left").join(per, ["conv_id", "turn", "key"], "left").join(threads, "conv_id", "left")
+    whole = whole.select(
+        F.coalesce("thread", "conv_id").alias("thread_id"),
         "conv_id",
         "turn",
         "role",
         own_text(F.col("text")).alias("text"),
+        F.col("text").alias("whole_text"),
         F.coalesce("to.source_conv", F.when(F.col("last_turn").isNotNull(), F.col("conv_id"))).alias("reply_conv"),
         F.coalesce("to.source_turn", "last_turn").alias("reply_turn"),
         F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
     )
+    # ranges of rows are ranked on their own and moved by the number of the thread's rows in the ranges before
+    dealt = materialize(whole.repartitionByRange("thread_id", "conv_id", "turn").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("thread_id", "part").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("thread_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(F.col("thread_id").alias("of_thread"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("shift"))
+    placed = dealt.join(shifts, F.col("thread_id").eqNullSafe(F.col("of_thread")) & (F.col("part") == F.col("of_part")))
+    order = Window.partitionBy("thread_id", "part").orderBy("conv_id", "turn", "role", "whole_text")
+    drop_scratch(quotes, threads)
+    return placed.select("thread_id", (F.col("shift") + F.row_number().over(order) - 1).cast("long").alias("position"), "conv_id", "turn", "role", "text", "reply_conv", "reply_turn", "n_quotes", "n_linked")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return rebuild(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, coalesce(text, '') AS t FROM conversations),
+d AS (SELECT DISTINCT conv_id, turn, t, string_split_regex(t, '\r?\n') AS ls FROM m),
+l AS (SELECT conv_id, turn, t, i, ls[i + 1] AS raw, length(regexp_replace(regexp_extract(ls[i + 1], '^((?:[ \t]*>)*)[ \t]?', 1), '[^>]', '', 'g')) AS level,
+  regexp_replace(ls[i + 1], '^((?:[ \t]*>)*)[ \t]?', '') AS line FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM d)),
+k AS (SELECT *, level = 0 AND NOT (regexp_matches(raw, '\b(?:wrote|writes|said)\b.*:[ \t]*$') AND coalesce(lead(level) OVER w, 0) > 0) AS own,
+  CASE WHEN level <> coalesce(lag(level) OVER w, -1) THEN 1 ELSE 0 END AS starts FROM l WINDOW w AS (PARTITION BY conv_id, turn, t ORDER BY i)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn, t ORDER BY i) AS passage FROM k),
+q AS (SELECT conv_id, turn, t, passage, level, list(line ORDER BY i) AS ls FROM g WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+o AS (SELECT conv_id, turn, t, list(raw ORDER BY i) FILTER (own) AS ls FROM g GROUP BY ALL),
+qu AS (SELECT conv_id, turn, t, passage, level, list_distinct(list_filter(list_transform(list_concat(string_split_regex(array_to_string(ls, ' '), '[.!?]+(?:\s+|$)'), ls), lambda x: trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <> '')) AS u FROM q),
+ou AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(list_transform(list_concat(string_split_regex(array_to_string(ls, ' '), '[.!?]+(?:\s+|$)'), ls), lambda x: trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <> ''))) AS u
+  FROM o WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+ne AS (SELECT u, conv_id, min(turn) AS near FROM ou GROUP BY ALL),
+fa AS (SELECT u, min({'c': conv_id, 't': near}) AS far FROM ne GROUP BY u),
+v AS (SELECT a.conv_id, a.turn, a.t, a.passage, a.level, CASE WHEN near < a.turn THEN {'c': a.conv_id, 't': near} WHEN far.c < a.conv_id THEN far END AS s, count(*) AS n
+  FROM (SELECT conv_id, turn, t, passage, level, unnest(u) AS u FROM qu) a LEFT JOIN ne ON ne.u = a.u AND ne.conv_id = a.conv_id LEFT JOIN fa ON fa.u = a.u GROUP BY ALL),
+b AS (SELECT conv_id, turn, t, passage, first(s ORDER BY n DESC, s.c, s.t) AS s FROM v WHERE s IS NOT NULL GROUP BY ALL),
+p AS (SELECT qu.conv_id, qu.turn, qu.t, count(*) AS n_quotes, count(s) AS n_linked, first(s ORDER BY level, passage DESC) FILTER (s IS NOT NULL) AS s FROM qu LEFT JOIN b USING (conv_id, turn, t, passage) GROUP BY ALL),
+e AS (SELECT DISTINCT qu.conv_id AS a, s.c AS b FROM qu JOIN b USING (conv_id, turn, t, passage) WHERE s.c <> qu.conv_id),
+r AS (SELECT conv_id AS node, conv_id AS seen FROM m WHERE conv_id IS NOT NULL UNION SELECT r.node, x.b FROM r JOIN (SELECT a, b FROM e UNION SELECT b, a FROM e) x ON x.a = r.seen),
+h AS (SELECT node, min(seen) AS thread_id FROM r GROUP BY node),
+w AS (SELECT thread_id, m.*, coalesce(s.c, CASE WHEN y.conv_id IS NOT NULL THEN m.conv_id END) AS reply_conv, coalesce(s.t, y.turn) AS reply_turn, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, o.ls
+  FROM m LEFT JOIN h ON h.node = m.conv_id LEFT JOIN p ON p.conv_id = m.conv_id AND p.turn = m.turn AND p.t = m.t LEFT JOIN (SELECT DISTINCT conv_id, turn FROM m) y ON y.conv_id = m.conv_id AND y.turn = m.turn - 1
+  LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM m.conv_id AND o.turn IS NOT DISTINCT FROM m.turn AND o.t = m.t)
+SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position, conv_id, turn, role,
+  trim(regexp_replace(array_to_string(coalesce(ls, []), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) AS text, reply_conv, reply_turn, n_quotes, n_linked FROM w
+"""

@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_minhash_odd_sketch": near_dedup.SQL,
+    "op3_quotation_linking": quote_link.SQL,
     "op5_exact_topk_pivots": topk.SQL,
     "op8_license_similarity_join": license_scan.SQL,
     "op10_spaced_seed_decontamination": decontam.SQL,

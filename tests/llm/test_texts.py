@@ -225,10 +225,13 @@ def test_rules_and_edges(spark):
 # --- quotes ---
 
 
+ROWS = "conv_id long, turn long, role string, text string"
+
+
 def test_quotes_are_linked_and_removed(spark):
     rows = [(1, 0, "user", "Hello there friend.\nHow are you?"), (1, 1, "assistant", "I am fine.\nThanks a lot."), (1, 2, "user", "Bob wrote:\n> I am fine!\n>> How are you?\nGood to hear."), (2, 0, "user", "> Thanks a lot.\nWhat was this?"), (3, 0, "user", None), (None, 0, "user", "> I am fine."), (4, 0, "user", "> never said"), (4, 0, "user", "> never said")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit(7))
-    links = {(r.conv_id, r.turn, r.level): (r.source_conv, r.source_turn) for r in quote_link.passages(df).collect()}
+    df = spark.createDataFrame(rows, ROWS).withColumn("position", F.lit(7)).withColumn("key", F.lit("k"))
+    links = {(r.conv_id, r.turn, r.level): (r.source_conv, r.source_turn) for r in quote_link.passages(df.drop("key")).collect()}
     assert links == {(1, 2, 1): (1, 1), (1, 2, 2): (1, 0), (2, 0, 1): (1, 1), (4, 0, 1): (None, None)}
     out = {(r.conv_id, r.turn): r for r in quote_link.rebuild(df).collect()}
     assert out[1, 2].text == "Good to hear." and (out[1, 2].reply_conv, out[1, 2].reply_turn) == (1, 1)
@@ -238,6 +241,54 @@ def test_quotes_are_linked_and_removed(spark):
     assert quote_link.rebuild(df.limit(0)).collect() == []
 
 
+def planted_quotes(seed: int) -> list[tuple]:
+    """Conversations whose messages quote earlier ones, some two levels deep, some wrapped anew, some from other conversations."""
+    r = random.Random(seed)
+    sentence = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(r.randint(5, 14))).capitalize() + r.choice(".!?")
+    rows, said = [], []
+    for conv in range(60):
+        for turn in range(r.randint(1, 6)):
+            own = [" ".join(sentence() for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 3))]
+            text, source = "\n".join(own), None
+            if said and r.random() < 0.6:
+                near = [x for x in said if x[0] == conv]
+                source = r.choice(near if near and r.random() < 0.6 else said)
+                quoted = "\n".join(source[2])
+                if r.random() < 0.5:
+                    words = quoted.split()
+                    quoted = "\n".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+                deeper = r.choice(said)
+                text = "On Monday, Ann wrote:\n>> " + deeper[2][0] + "\n> " + quoted.replace("\n", "\n> ") + "\n\n" + text
+            rows.append((conv, turn, r.choice(["user", "assistant"]), text, None if source is None else source[:2]))
+            said.append((conv, turn, own))
+    return rows
+
+
+def test_planted_quotes_equal_sql_and_keep_reply_order(spark, tmp_path):
+    import compare
+
+    rows = planted_quotes(3)
+    extra = [(60, 0, "user", "> quoted by no one\n\n\n\nx  "), (60, 0, None, "a"), (None, 1, "user", "> a"), (61, None, "user", None), (62, 3, "user", ""), (62, 4, "user", "Sue said:\nno quote\n> \n>"), (63, 0, "user", "word " * 20000 + "\n> a")]
+    spark.createDataFrame([x[:4] for x in rows] + extra, ROWS).repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = compare.duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert compare.differences(spark, con, quote_link.query, quote_link.SQL, str(tmp_path)) == []
+    out = {(x.conv_id, x.turn): x for x in quote_link.query(spark, str(tmp_path)).collect()}
+    linked = [(c, t, source) for c, t, _, _, source in rows if source]
+    assert sum((out[c, t].reply_conv, out[c, t].reply_turn) == source for c, t, source in linked) >= 0.95 * len(linked) > 40
+    for x in out.values():
+        if x.reply_conv is not None:
+            to = out[x.reply_conv, x.reply_turn]
+            assert to.thread_id == x.thread_id and to.position < x.position
+    assert all(">" not in x.text and "wrote:" not in x.text for c, x in out.items() if c[0] is not None and c[0] < 60)
+
+
+def test_a_quote_of_a_later_turn_of_another_conversation(spark):
+    rows = [(1, 0, "user", "one"), (1, 1, "user", "two"), (1, 5, "user", "The fifth thing"), (2, 0, "user", "> the fifth thing\nyes")]
+    out = {(x.conv_id, x.turn): (x.thread_id, x.position) for x in quote_link.rebuild(spark.createDataFrame(rows, ROWS)).collect()}
+    assert out == {(1, 0): (1, 0), (1, 1): (1, 1), (1, 5): (1, 2), (2, 0): (1, 3)}
+
+
 # --- secrets ---
 
 
