@@ -51,6 +51,24 @@ def test_licenses(spark):
     assert license_scan.scan(df.limit(0)).collect() == []
 
 
+def test_license_blocks(spark):
+    """Blocks are stretches of words whatever the lines; words that are scattered over a text are none."""
+    words = license_scan.TEMPLATES[14][1].split()
+    wrap = lambda w, n: "\n * ".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    filler = " ".join(f"x{i}" for i in range(500))
+    rows = [
+        (1, "A\n/*\n * " + wrap([w.upper() for w in words], 9) + "\n */ code"),
+        (2, filler + " " + wrap(words[:-4], 7) + " " + filler),
+        (3, " ".join(f"{w} {filler}" for w in ("released", "under", "the", "mit", "license"))),
+        (4, "released under the m\u0130t license or wor\u212a"),
+        (5, "the mit license, released (as ever) under a"),
+        (6, " ".join(words[:20])),
+        (6, "  Under the MIT License  "),
+    ]
+    got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.labels) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [g[4] for g in got] == ["mit", "mit", "", "", "mit", "mit", "mit"] and got[5][1:4] == (4, 1, 0)
+
+
 def test_leaks_tolerate_substitutions(spark):
     item = [f"q{i}" for i in range(30)]
     changed = list(item)
