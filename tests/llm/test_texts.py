@@ -222,6 +222,67 @@ def test_rules_and_edges(spark):
     assert url_filter.filter_urls(pages.limit(0), pages, "html").collect() == []
 
 
+def brute_scores(rows):
+    """The whole method in plain Python: counts of all words, splits, class counts of all tokens."""
+    import math
+    import re
+
+    word_counts = {}
+    for _, _, html in rows:
+        for w in re.split(r"[^a-z]+", re.sub(r"<[^>]*>", " ", (html or "").lower())):
+            if 0 < len(w) <= url_filter.LONGEST_WORD:
+                word_counts[w] = word_counts.get(w, 0) + 1
+    total = sum(word_counts.values())
+    logs = {w: math.log10(n / total) for w, n in word_counts.items()}
+    drop = {"org", "example", "es", "en", "1", "com", "fr", "de"}
+    made = []
+    for page, url, _ in rows:
+        host, _, path = (url or "").partition("://")[2].partition("/")
+        host, path = host.lower(), ("/" + path if path else "").split("?")[0].split("#")[0]
+        tokens = []
+        for part in re.findall(r"[a-z]+|[0-9]+", ".".join(host.split(".")[:-1])):
+            if part not in drop:
+                tokens += ["h:0"] if part[0].isdigit() else [f"h:{w}" for w in url_filter.segment(part, logs)]
+        tokens += ["p:0" if p[0].isdigit() else f"p:{p}" for p in re.findall(r"[a-z]+|[0-9]+", path.lower()) if p not in drop]
+        fits = [(len(h + p), v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        made.append((page, tokens, max(fits)[1] if fits else None))
+    count = {"allow": {}, "block": {}}
+    docs = {"allow": 0, "block": 0}
+    for _, tokens, says in made:
+        if says:
+            docs[says] += 1
+            for t in tokens:
+                count[says][t] = count[says].get(t, 0) + 1
+    kinds = set(count["allow"]) | set(count["block"])
+    part = lambda t, c: (count[c].get(t, 0) + 1) / (sum(count[c].values()) + len(kinds))
+    prior = math.log((docs["block"] + 1) / (docs["allow"] + 1))
+    return {page: prior + sum(math.log(part(t, "block") / part(t, "allow")) for t in tokens if t in kinds) for page, tokens, _ in made}
+
+
+def planted_pages(seed: int, n: int) -> list[tuple]:
+    """Hosts of two joined words: trade words under blocked paths and hosts, news words under allowed ones; a third unruled."""
+    r = random.Random(seed)
+    bad, good = ["casino", "poker", "pills", "cheap", "bonus", "lotto"], ["news", "daily", "school", "garden", "music", "river"]
+    rows = []
+    for i in range(n):
+        block = r.random() < 0.4
+        name = "".join(r.choice(bad if block else good) for _ in range(2)) if r.random() < 0.9 else r.choice(["shopworld", "portal7"])
+        tail = r.choice(["com/de/", "net/x/"] if block else ["org/en/", "com/fr/", "net/y/"])
+        html = f"<p class='casinopoker'>{r.choice(bad)} {r.choice(good)} {r.choice(bad)}. {r.choice(good)} page</p>"
+        rows.append((i, f"https://www.{name}.{tail}{r.choice(['shop', 'story'])}/{r.randrange(9000)}?q={i}", html))
+    return rows
+
+
+def test_url_scores_equal_brute_force_and_find_unruled_hosts(spark):
+    rows = [*planted_pages(6, 400), (900, None, None), (901, "no url", "casino"), (902, "http://" + "x" * 70 + ".net/", ""), (903, "http://a1b2.example.net/" + "w/" * 3000, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("score", F.lit("s")).repartition(4)
+    got = {x.page_id: x for x in url_filter.filter_urls(df, df, "html").collect()}
+    wanted = brute_scores([x for x in rows if x[0] != 902])
+    assert len(got) == len(rows) and all(abs(got[i].score - wanted[i]) < 1e-6 for i in wanted)
+    open_urls = [(got[i].verdict, "block" if "net/x/" in url else "allow") for i, url, _ in rows[:400] if got[i].rule is None and "shopworld" not in url and "portal7" not in url]
+    assert len(open_urls) > 80 and sum(a == b for a, b in open_urls) / len(open_urls) > 0.97
+
+
 # --- quotes ---
 
 
