@@ -360,6 +360,47 @@ def test_secrets_on_planted_tables(spark):
     assert found.secret[found.v.str.match(r"[\d.]+$|.*@.*\.com$")].mean() < 0.02
 
 
+def planted_findings(seed: int, n: int) -> list[tuple[str, str, int]]:
+    """(text, value, secret): keys of letters and digits, of letters only and passwords of words, among paths, names, hashes of
+    files, addresses and versions that look alike."""
+    import string
+
+    r = random.Random(seed)
+    word = lambda: r.choice(["build", "river", "cache", "index", "module", "garden", "window", "report", "update", "server"])
+    draw = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    out = []
+    for _ in range(n):
+        filler = " ".join(word() for _ in range(30))
+        kind = r.randrange(8)
+        value, text, secret = {
+            0: lambda: (v := draw(string.ascii_letters + string.digits, 32), f"token = {v}", 1),
+            1: lambda: (v := "AKIA" + draw(string.ascii_uppercase, 16), f"key id {v}", 1),
+            2: lambda: (v := "".join(word() for _ in range(4)), f'password = "{v}"', 1),
+            3: lambda: (v := draw(string.ascii_letters, 40), f"secret: {v}", 1),
+            4: lambda: (v := f"{word()}/{word()}/{word()}{r.randrange(999)}", f"see file {v}", 0),
+            5: lambda: (v := f"{word().capitalize()}{word().capitalize()}{word().capitalize()}", f"class {v}", 0),
+            6: lambda: (v := f"{word()}.{word()}{r.randrange(99)}@{word()}.com", f"mail {v}", 0),
+            7: lambda: (v := draw("0123456789abcdef", 40), f"commit {v}", 0),
+        }[kind]()
+        out.append((f"{filler} {text} {filler}", value, secret))
+    return out
+
+
+def test_labelled_findings_of_two_classes_on_held_out_values(spark):
+    import hashlib
+
+    planted = planted_findings(4, 1200)
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(planted)], "doc_id long, text string").repartition(4)
+    sha = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    truth = {sha(v): s for _, v, s in planted}
+    given = spark.createDataFrame([(h, s) for h, s in truth.items() if int(h[:8], 16) % 2], "value_sha256 string, secret int")
+    out = secret_scan.scan(docs, given).collect()
+    assert {r.value_sha256 for r in out} >= set(truth)
+    held = [(r.secret, truth[r.value_sha256]) for r in out if r.value_sha256 in truth and int(r.value_sha256[:8], 16) % 2 == 0]
+    hit = sum(a and b for a, b in held)
+    assert hit / sum(a for a, _ in held) > 0.97 and hit / sum(b for _, b in held) > 0.97
+
+
 def test_secret_edges(spark):
     rows = [(1, None), (2, ""), (None, "password=b7db7aa4a5fcc78305 at 10.20.30.40:8080"), (3, "password=b7db7aa4a5fcc78305 at 10.20.30.40:8080")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(0))
