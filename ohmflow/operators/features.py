@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 HOUR = 3600
 #: Added before rounding, so that exact halves round up in any engine.
 TIE = 1e-9
+#: Ranges of values whose rows are counted before ungrouped quantiles are ranked.
+CELLS = 4096
 
 
 def seconds(ts: str) -> Column:
-    """Seconds since 1970 of a timestamp without zone; the order key of hour-exact frames."""
-    return F.unix_timestamp(F.col(ts).cast("timestamp"))
+    """Seconds since 1970 of a timestamp without zone, from its fields, so that no session zone's clock change moves it; the order
+    key of hour-exact frames."""
+    t = F.col(ts).cast("timestamp_ntz")
+    return F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
 
 
 def shifted(regime: str, n: int, value: str, ts: str, keys: list[str], meter: str) -> Column:
@@ -26,6 +30,41 @@ def shifted(regime: str, n: int, value: str, ts: str, keys: list[str], meter: st
     return F.lag(value, n).over(order) if n > 0 else F.lead(value, -n).over(order)
 
 
+def quantiles(rows: DataFrame, groups: list[str], value: str, points: list[float], name: str = "q") -> DataFrame:
+    """groups and an array of exact quantiles, interpolated between neighbours; nulls skipped. Values are counted first and ranked by
+    running counts, which spill, so no task holds a group's values. Without groups, values are dealt to CELLS ranges whose totals are
+    added up first, and only the ranges that hold a quantile are ranked."""
+    known = rows.filter(F.col(value).isNotNull())
+    if groups:
+        counts = known.groupBy(*groups, value).agg(F.count("*").alias("_n"))
+        part, before, total = Window.partitionBy(*groups), F.lit(0), F.sum("_n").over(Window.partitionBy(*groups))
+    else:
+        ends = known.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).first()
+        width = ((ends["hi"] or 0.0) - (ends["lo"] or 0.0)) or 1.0
+        cell = F.floor((F.col(value) - F.lit(ends["lo"] or 0.0)) / width * CELLS).cast("int")
+        sums = sorted((r["_c"], r["n"]) for r in known.groupBy(cell.alias("_c")).agg(F.count("*").alias("n")).collect())
+        n, shifts, wanted, upto = sum(c for _, c in sums), {}, set(), 0
+        ranks = {min(n - 1, k) for p in points for k in (int(p * (n - 1)), int(p * (n - 1)) + 1)}
+        for c, size in sums:
+            shifts[c] = upto
+            if any(upto <= k < upto + size for k in ranks):
+                wanted.add(c)
+            upto += size
+        chosen = sorted(wanted) or [0]
+        counts = known.withColumn("_c", cell).filter(F.col("_c").isin(chosen)).groupBy("_c", value).agg(F.count("*").alias("_n"))
+        before = F.element_at(F.create_map(*[F.lit(x) for c in chosen for x in (c, shifts.get(c, 0))]), F.col("_c"))
+        part, total = Window.partitionBy("_c"), F.lit(n)
+    upto = before + F.sum("_n").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(*groups, F.col(value).alias("_v"), upto.alias("_upto"), total.alias("_total"))
+    out = []
+    for p in points:
+        at = F.floor(F.lit(p) * (F.col("_total") - 1))
+        low, high = F.min(F.when(F.col("_upto") > at, F.col("_v"))), F.min(F.when(F.col("_upto") > at + 1, F.col("_v")))
+        weight = F.max(F.lit(p) * (F.col("_total") - 1) - at)
+        out.append(F.when(weight > 0, low + (high - low) * weight).otherwise(low).cast("double"))
+    return ranked.groupBy(*groups).agg(F.array(*out).alias(name))
+
+
 def value_changes(rows: DataFrame, shifts, regime: str = "timestamp", orientation: str = "current_first", value: str = "meter_reading", ts: str = "timestamp", building: str = "building_id", meter: str = "meter", extra_keys: tuple = (), digits: int | None = None) -> DataFrame:
     """rows and lag_value_diff_n, lag_value_ratio_n for every shift n.
 
@@ -113,7 +152,7 @@ def regime_contamination(rows: DataFrame, shifts, digits: int = 6) -> DataFrame:
 
 def reading_regimes(rows: DataFrame, value: str = "meter_reading", group: str = "meter", fixed: dict[str, float] | None = None) -> DataFrame:
     """rows and regime: low to the group's first quartile, high from its third, else middle; groups in `fixed` are cut at one value."""
-    cuts = rows.groupBy(group).agg(F.percentile(value, [0.25, 0.75]).alias("_q"))
+    cuts = quantiles(rows, [group], value, [0.25, 0.75], "_q")
     regime = F.when(F.col(value) <= F.col("_q")[0], "low").when(F.col(value) >= F.col("_q")[1], "high").otherwise("middle")
     for name, cut in (fixed or {}).items():
         regime = F.when(F.col(group) == name, F.when(F.col(value) <= cut, "low").otherwise("high")).otherwise(regime)
@@ -133,7 +172,7 @@ def rank_bins(items: DataFrame, value: str, key: str, labels: list[str], zero: s
 
 def quartile_labels(rows: DataFrame, value: str) -> DataFrame:
     """rows and quartile: the interval of distinct quartile edges that holds the value, from 0; tied edges merge."""
-    edges = rows.agg(F.array_distinct(F.percentile(value, [0.0, 0.25, 0.5, 0.75, 1.0])).alias("_e"))
+    edges = quantiles(rows, [], value, [0.0, 0.25, 0.5, 0.75, 1.0], "_e").withColumn("_e", F.array_distinct("_e"))
     inner = F.expr("slice(_e, 2, greatest(size(_e) - 2, 0))")
     return rows.join(F.broadcast(edges)).withColumn("_inner", inner).withColumn("quartile", F.size(F.filter("_inner", lambda e: e < F.col(value)))).drop("_e", "_inner")
 

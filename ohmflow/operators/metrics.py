@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ohmflow.operators.features import quantiles
+
 
 def score_counts(rows: DataFrame, groups: list[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
     """groups, score, pos, neg: the reduction that all metrics start from. weight: rows count so many times."""
@@ -156,29 +158,31 @@ def average_ranks(rows: DataFrame, groups: list[str], value: str, name: str = "p
 def class_means(rows: DataFrame, groups: list[str], score: str = "score", label: str = "y", digits: int = 6) -> DataFrame:
     """Mean and median score of either class, and their separation."""
     of = lambda c: F.when(F.col(label) == c, F.col(score))
-    found = rows.groupBy(*groups).agg(F.avg(of(1)).alias("mp"), F.avg(of(0)).alias("mn"), F.percentile(of(1), 0.5).alias("dp"), F.percentile(of(0), 0.5).alias("dn"))
+    halves = [quantiles(rows.filter(F.col(label) == c), groups, score, [0.5], f"_{c}") for c in (1, 0)]
+    found = rows.groupBy(*groups).agg(F.avg(of(1)).alias("mp"), F.avg(of(0)).alias("mn")).join(halves[0], groups, "left").join(halves[1], groups, "left").withColumn("dp", F.col("_1")[0]).withColumn("dn", F.col("_0")[0])
     r = lambda c: F.round(c, digits)
     return found.select(*groups, r(F.col("mp")).alias("mean_pos"), r(F.col("mn")).alias("mean_neg"), r(F.col("dp")).alias("median_pos"), r(F.col("dn")).alias("median_neg"), r(F.col("mp") - F.col("mn")).alias("separation"))
 
 
 def distributions(rows: DataFrame, groups: list[str], score: str = "score", points=(0.1, 0.5, 0.9), digits: int = 6) -> DataFrame:
     """groups, n, mean, and a column per quantile (q10, q50, q90)."""
-    named = [F.round(F.percentile(score, p), digits).alias(f"q{round(100 * p):02d}") for p in points]
-    return rows.groupBy(*groups).agg(F.count(score).alias("n"), F.round(F.avg(score), digits).alias("mean"), *named)
+    named = [F.round(F.col("_q")[i], digits).alias(f"q{round(100 * p):02d}") for i, p in enumerate(points)]
+    sums = rows.groupBy(*groups).agg(F.count(score).alias("n"), F.round(F.avg(score), digits).alias("mean"))
+    return sums.join(quantiles(rows, groups, score, list(points), "_q"), groups, "left").select(*groups, "n", "mean", *named)
 
 
 def contrasts(rows: DataFrame, groups: list[str], low: str, high: str, digits: int = 6) -> DataFrame:
     """groups, n, mean, median, q10, q90, mean_abs, fraction_up of high - low."""
     moved = rows.withColumn("_d", F.col(high) - F.col(low))
-    q = lambda p, n: F.round(F.percentile("_d", p), digits).alias(n)
-    return moved.groupBy(*groups).agg(F.count("_d").alias("n"), F.round(F.avg("_d"), digits).alias("mean"), q(0.5, "median"), q(0.1, "q10"), q(0.9, "q90"), F.round(F.avg(F.abs("_d")), digits).alias("mean_abs"), F.round(F.avg((F.col("_d") > 0).cast("double")), digits).alias("fraction_up"))
+    sums = moved.groupBy(*groups).agg(F.count("_d").alias("n"), F.round(F.avg("_d"), digits).alias("mean"), F.round(F.avg(F.abs("_d")), digits).alias("mean_abs"), F.round(F.avg((F.col("_d") > 0).cast("double")), digits).alias("fraction_up"))
+    named = [F.round(F.col("_q")[i], digits).alias(n) for i, n in enumerate(("median", "q10", "q90"))]
+    return sums.join(quantiles(moved, groups, "_d", [0.5, 0.1, 0.9], "_q"), groups, "left").select(*groups, "n", "mean", *named, "mean_abs", "fraction_up")
 
 
 def operating_points(rows: DataFrame, groups: list[str], kind: str, rates: list[float], score: str = "score", label: str = "y", digits: int = 6) -> DataFrame:
     """groups, rate, threshold, fpr, tpr: kind 'fpr' takes the threshold from the negatives' upper quantile, 'tpr' from the positives' lower one."""
     base = 0 if kind == "fpr" else 1
-    quantiles = rows.filter(F.col(label) == base).groupBy(*groups).agg(F.percentile(score, [1.0 - r for r in rates]).alias("q"))
-    cuts = quantiles.select(*groups, F.posexplode("q").alias("i", "threshold")).select(*groups, F.element_at(F.array(*[F.lit(float(r)) for r in rates]), F.col("i") + 1).alias("rate"), "threshold")
+    cuts = quantiles(rows.filter(F.col(label) == base), groups, score, [1.0 - r for r in rates]).select(*groups, F.posexplode("q").alias("i", "threshold")).select(*groups, F.element_at(F.array(*[F.lit(float(r)) for r in rates]), F.col("i") + 1).alias("rate"), "threshold")
     counts = score_counts(rows, groups, score, label)
     joined = counts.join(F.broadcast(cuts), groups) if groups else counts.join(F.broadcast(cuts))
     hit = F.col("score") >= F.col("threshold")
@@ -210,13 +214,26 @@ def run_deltas(rows: DataFrame, groups: list[str], a: str, b: str, digits: int =
 
 
 def top_overlap(rows: DataFrame, a: str, b: str, key: str, fraction: float = 0.1) -> DataFrame:
-    """n_top, n_both: rows in the top fraction of both scorings. Each top is a distributed limit over (score, key)."""
+    """n_top, n_both: rows in the top fraction of both scorings, cut at the score and, among ties, the key at that place."""
     n = int(-(-rows.count() * fraction // 1))
-    top = lambda c: rows.orderBy(F.desc(c), key).limit(n).select(key)
-    both = top(a).join(top(b), key, "left_semi")
+    both = _top(rows, a, key, n).join(_top(rows, b, key, n), key, "left_semi")
     return both.agg(F.lit(n).cast("long").alias("n_top"), F.count("*").alias("n_both"))
 
 
+def _top(rows: DataFrame, score: str, key: str, n: int) -> DataFrame:
+    """Keys of the n highest scores, smaller keys first on ties: rows above the n-th score, and of those at it the smallest keys up to
+    the key at the place that is left."""
+    size = rows.filter(F.col(score).isNotNull()).count()
+    if not n or not size:
+        return rows.select(key).limit(0)
+    at_rank = lambda some, column, k, of: quantiles(some, [], column, [k / max(1, of - 1)]).first()["q"][0]
+    cut = at_rank(rows, score, size - n, size) if n < size else rows.agg(F.min(score)).first()[0]
+    sizes = rows.agg(F.count_if(F.col(score) > cut).alias("above"), F.count_if(F.col(score) == cut).alias("at")).first()
+    tied = rows.filter(F.col(score) == cut)
+    last = at_rank(tied, key, min(n - sizes["above"], sizes["at"]) - 1, sizes["at"])
+    return rows.filter((F.col(score) > cut) | ((F.col(score) == cut) & (F.col(key) <= last))).select(key)
+
+
 def rank_models(metrics: DataFrame, groups: list[str], metric: str) -> DataFrame:
     """metrics and position: 1 for the best model of each group, equal for equal values."""
     return metrics.withColumn("position", F.rank().over(Window.partitionBy(*groups).orderBy(F.desc(metric))))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ohmflow.operators import metrics
+from ohmflow.operators.features import quantiles
 
 
 def fit_scaler(rows: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -74,7 +75,8 @@ def tune(train: DataFrame, validation: DataFrame, columns: list[str], trials: li
 def unit_means(rows: DataFrame, unit: str, feature: str, label: str = "y") -> DataFrame:
     """unit, cut, above, below: a one-split model per unit, in one aggregation: the unit's median as cut and the class rate on
     either side; units of one class have no model."""
-    cuts = rows.groupBy(unit).agg(F.percentile(feature, 0.5).alias("cut"), F.sum(label).alias("_p"), F.count("*").alias("_n")).filter("_p between 1 and _n - 1").select(unit, "cut")
+    both = rows.groupBy(unit).agg(F.sum(label).alias("_p"), F.count("*").alias("_n")).filter("_p between 1 and _n - 1").select(unit)
+    cuts = quantiles(rows, [unit], feature, [0.5]).join(both, unit).select(unit, F.col("q")[0].alias("cut"))
     over = F.col(feature) > F.col("cut")
     return rows.join(cuts, unit).groupBy(unit, "cut").agg(F.avg(F.when(over, F.col(label))).alias("above"), F.avg(F.when(~over, F.col(label))).alias("below"))
 

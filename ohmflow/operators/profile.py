@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ohmflow.operators.features import quantiles, seconds
+
 
 def _share(a: Column, b: Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
@@ -61,7 +63,7 @@ def sufficiency(per_series: DataFrame, limits: list[float], rate: str = "missing
 def gaps(rows: DataFrame, keys=("building_id", "meter"), ts: str = "timestamp") -> DataFrame:
     """keys, observed, expected, missing: hours of each series against the hours from its first to its last."""
     found = rows.groupBy(*keys).agg(F.count_distinct(ts).alias("observed"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    expected = F.expr("timestampdiff(HOUR, lo, hi)") + 1
+    expected = F.floor((seconds("hi") - seconds("lo")) / 3600) + 1
     return found.select(*keys, "observed", expected.alias("expected"), (expected - F.col("observed")).alias("missing"))
 
 
@@ -71,10 +73,9 @@ def top_groups(rows: DataFrame, order: list, n: int) -> DataFrame:
 
 
 def numeric_summary(rows: DataFrame, groups: list[str], value: str, digits: int = 6) -> DataFrame:
-    """groups, n, low, q25, median, q75, iqr, p95, p99, high, missing_rate. Exact quantiles of distinct values with their counts, so that
-    a group's map holds distinct values only."""
-    counts = rows.groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    q = counts.groupBy(*groups).agg(F.percentile(value, [0.25, 0.5, 0.75, 0.95, 0.99], F.col("_n")).alias("q"), F.min(value).alias("low"), F.max(value).alias("high"), F.sum(F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)).alias("n"), F.sum("_n").alias("_all"))
+    """groups, n, low, q25, median, q75, iqr, p95, p99, high, missing_rate. groups must not be empty."""
+    sums = rows.groupBy(*groups).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"), F.count("*").alias("_all"))
+    q = sums.join(quantiles(rows, groups, value, [0.25, 0.5, 0.75, 0.95, 0.99]), groups, "left")
     r = lambda c, n: F.round(c, digits).alias(n)
     return q.select(*groups, "n", "low", r(F.col("q")[0], "q25"), r(F.col("q")[1], "median"), r(F.col("q")[2], "q75"), r(F.col("q")[2] - F.col("q")[0], "iqr"), r(F.col("q")[3], "p95"), r(F.col("q")[4], "p99"), "high", _share(F.col("_all") - F.col("n"), F.col("_all"), digits).alias("missing_rate"))
 
@@ -83,7 +84,8 @@ def nine_quantiles(rows: DataFrame, groups: list[str], value: str, digits: int =
     """groups, n, finite_rate, and q01 q05 q10 q25 q50 q75 q90 q95 q99."""
     points = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
     finite = F.when(F.abs(F.col(value)) < float("inf"), F.col(value))
-    found = rows.groupBy(*groups).agg(F.count("*").alias("n"), _share(F.count(finite), F.count("*"), digits).alias("finite_rate"), F.percentile(finite, points).alias("q"))
+    based = rows.withColumn("_finite", finite)
+    found = based.groupBy(*groups).agg(F.count("*").alias("n"), _share(F.count("_finite"), F.count("*"), digits).alias("finite_rate")).join(quantiles(based, groups, "_finite", points), groups, "left")
     return found.select(*groups, "n", "finite_rate", *[F.round(F.col("q")[i], digits).alias(f"q{round(p * 100):02d}") for i, p in enumerate(points)])
 
 
@@ -91,7 +93,7 @@ def field_summary(rows: DataFrame, column: str, numeric: bool, digits: int = 6)
     """field, present_rate, typical: the median of a number or the most frequent value (the smallest on ties)."""
     rate = rows.agg(_share(F.count(column), F.count("*"), digits).alias("present_rate"))
     if numeric:
-        typical = rows.agg(F.round(F.percentile(column, 0.5), digits).cast("string").alias("typical"))
+        typical = quantiles(rows, [], column, [0.5]).select(F.round(F.col("q")[0], digits).cast("string").alias("typical"))
     else:
         counts = rows.filter(F.col(column).isNotNull()).groupBy(column).count()
         typical = counts.orderBy(F.desc("count"), column).limit(1).select(F.col(column).cast("string").alias("typical"))
@@ -131,12 +133,15 @@ def composition(rows: DataFrame, columns: list[str], digits: int = 6) -> DataFra
     return counts.join(F.broadcast(counts.groupBy("field").agg(F.sum("n").alias("_t"))), "field").select("field", "value", "n", _share(F.col("n"), F.col("_t"), digits).alias("share"))
 
 
-def common_step(rows: DataFrame, keys: list[str], ts: str = "timestamp") -> DataFrame:
-    """keys, step_seconds, n: the most frequent time step of each group's rows, the smaller on ties."""
-    t = F.unix_timestamp(F.col(ts).cast("timestamp"))
-    steps = rows.withColumn("_t", t).withColumn("step_seconds", F.col("_t") - F.lag("_t").over(Window.partitionBy(*keys).orderBy("_t"))).filter("step_seconds is not null")
-    counts = steps.groupBy(*keys, "step_seconds").count()
-    return counts.groupBy(*keys).agg(F.max(F.struct("count", (-F.col("step_seconds")).alias("s"))).alias("b")).select(*keys, (-F.col("b.s")).alias("step_seconds"), F.col("b.count").alias("n"))
+def step_counts(rows: DataFrame, keys: list[str], ts: str = "timestamp") -> DataFrame:
+    """keys, step_seconds, n: how often each time step stands between neighbouring rows of a series."""
+    steps = rows.withColumn("_t", seconds(ts)).withColumn("step_seconds", F.col("_t") - F.lag("_t").over(Window.partitionBy(*keys).orderBy("_t"))).filter("step_seconds is not null")
+    return steps.groupBy(*keys, "step_seconds").agg(F.count("*").alias("n"))
+
+
+def most_frequent_step(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, step_seconds, n of the most frequent step, the smaller on ties."""
+    return steps.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("step_seconds")).alias("s"))).alias("b")).select(*keys, (-F.col("b.s")).alias("step_seconds"), F.col("b.n").alias("n"))
 
 
 def label_columns(rows: DataFrame, terms=("label", "anomaly", "bad", "fault")) -> list[str]:
@@ -190,7 +195,7 @@ def ks_distance(rows: DataFrame, side: str, value: str, groups: list[str], digit
 def psi(rows: DataFrame, side: str, value: str, bins: int = 10, floor: float = 1e-6, digits: int = 6) -> DataFrame:
     """bins, psi of side 'b' against quantile bins of side 'a'; tied edges merge, the outer bins are open."""
     points = [i / bins for i in range(1, bins)]
-    edges = rows.filter(F.col(side) == "a").agg(F.array_distinct(F.percentile(value, points)).alias("_e"))
+    edges = quantiles(rows.filter(F.col(side) == "a"), [], value, points, "_e").withColumn("_e", F.array_distinct("_e"))
     cell = F.size(F.filter("_e", lambda e: e <= F.col(value)))
     counts = rows.join(F.broadcast(edges)).withColumn("bin", cell).groupBy("bin").agg(F.count_if(F.col(side) == "a").alias("a"), F.count_if(F.col(side) == "b").alias("b"))
     whole = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))

@@ -3,15 +3,42 @@ draws are distributed limits or ranks within groups, never a rank over all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmflow.functions.scalar import priority
+from ohmflow.operators.features import quantiles
+
+
+#: A sample up to this size is a distributed limit; of a larger one only the last rows are.
+LIMIT_ROWS = 10_000
 
 
 def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """n rows of least priority."""
-    return rows.orderBy(priority(seed, F.col(key)), key).limit(n)
+    """n rows of least priority. Rows are counted by the first digits of their priority, until the cell in which the n-th lies is
+    small; smaller cells are taken whole, so no task gathers a large sample."""
+    placed = rows.withColumn("_p", priority(seed, F.col(key)))
+    prefix, digits, taken = "", 0, None
+    while n > LIMIT_ROWS and digits < 24:
+        digits += 4
+        of = placed.filter(F.startswith("_p", F.lit(prefix)))
+        sums = sorted((r["_c"], r["n"]) for r in of.groupBy(F.substring("_p", 1, digits).alias("_c")).agg(F.count("*").alias("n")).collect())
+        upto, last = 0, None
+        for cell, size in sums:
+            if upto + size > n:
+                last = cell
+                break
+            upto += size
+        if last is None:
+            below = of
+        else:
+            below = of.filter(F.substring("_p", 1, digits) < last)
+        taken = below if taken is None else taken.unionByName(below)
+        if last is None:
+            return taken.drop("_p")
+        prefix, n = last, n - upto
+    rest = placed.filter(F.startswith("_p", F.lit(prefix))).orderBy("_p", key).limit(n)
+    return (rest if taken is None else taken.unionByName(rest)).drop("_p")
 
 
 def ranked(rows: DataFrame, groups: list[str], key: str, seed: int = 0, name: str = "rank") -> DataFrame:
@@ -47,33 +74,44 @@ def nested_balanced(rows: DataFrame, key: str, budgets: list[int], label: str =
     return placed.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).filter(F.col("place") < F.col("budget"))
 
 
-def quotas(groups: DataFrame, total: int, weight: str, key: str) -> DataFrame:
-    """groups and quota: largest-remainder shares of total by weight within the weights as capacities. The table is one of
-    groups; where the plain shares pass a capacity the rest is shared out again among the groups with room."""
-    table = sorted(((r[key], r[weight]) for r in groups.select(key, weight).collect()), key=lambda r: str(r[0]))
-    got, rest = dict.fromkeys((k for k, _ in table), 0), min(total, sum(w for _, w in table))
-    while rest:
-        open_groups = [(k, w) for k, w in table if got[k] < w]
-        mass = sum(w for _, w in open_groups)
-        share = {k: rest * w / mass for k, w in open_groups}
-        step = {k: min(int(share[k]), w - got[k]) for k, w in open_groups}
-        spare = rest - sum(step.values())
-        for k, w in sorted(open_groups, key=lambda r: (-(share[r[0]] - int(share[r[0]])), str(r[0]))):
-            if spare and got[k] + step[k] < w:
-                step[k] += 1
-                spare -= 1
-        if not any(step.values()):
-            break
-        for k, n in step.items():
-            got[k] += n
-            rest -= n
-    schema = f"{key} {dict(groups.dtypes)[key]}, quota long"
-    return groups.join(F.broadcast(groups.sparkSession.createDataFrame([(k, n) for k, n in got.items()], schema)), key)
+def shares(weights: list[float], total: int, room: list[int]) -> list[int]:
+    """Largest-remainder shares of total by weight within each one's room: floors first, then one more at a time to the one that is
+    furthest below its share, the first on ties, among those with room. Too little room is refused."""
+    if total < 0 or sum(room) < total:
+        raise ValueError("too few eligible rows")
+    if sum(weights) <= 0:
+        raise ValueError("no eligible support")
+    wanted = [total * w / sum(weights) for w in weights]
+    got = [min(int(x), r) for x, r in zip(wanted, room, strict=True)]
+    left = total - sum(got)
+    while left:
+        some = [i for i in range(len(got)) if got[i] < room[i]]
+        # whole rounds go to all with room: everyone's distance grows by one in each
+        spread = max(wanted[i] - got[i] for i in some) - min(wanted[i] - got[i] for i in some)
+        rounds = min(left // len(some), min(room[i] - got[i] for i in some)) if spread < 1 else 0
+        if rounds:
+            for i in some:
+                got[i] += rounds
+            left -= rounds * len(some)
+            continue
+        best = max(some, key=lambda i: (wanted[i] - got[i], -i))
+        got[best] += 1
+        left -= 1
+    return got
+
+
+def quotas(groups: DataFrame, total: int, weight: str, key: str, capacity: str | None = None) -> DataFrame:
+    """groups and quota: shares() of total by weight, within capacity (the weights where none is named). The table is one of groups."""
+    table = sorted(groups.select(key, F.col(weight).alias("_w"), F.col(capacity or weight).alias("_r")).collect(), key=lambda r: (r[0] is None, r[0]))
+    got = shares([float(r["_w"]) for r in table], total, [int(r["_r"]) for r in table]) if table or total else []
+    schema = f"_k {dict(groups.dtypes)[key]}, quota long"
+    found = groups.sparkSession.createDataFrame([(r[0], n) for r, n in zip(table, got, strict=True)], schema)
+    return groups.join(found, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def by_quota(rows: DataFrame, table: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
     """Each group's rows up to its quota."""
-    return ranked(rows.join(F.broadcast(table.select(group, "quota")), group), [group], key, seed).filter("rank < quota").drop("rank", "quota")
+    return ranked(rows.join(table.select(group, "quota"), group), [group], key, seed).filter("rank < quota").drop("rank", "quota")
 
 
 def stratified(rows: DataFrame, group: str, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -83,28 +121,32 @@ def stratified(rows: DataFrame, group: str, n: int, key: str, seed: int = 0) ->
 
 
 def context(rows: DataFrame, size: int, tag: dict, key: str, label: str = "anomaly", seed: int = 0) -> DataFrame:
-    """A context of size rows, half of either class, under an intervention: pooled, balanced over meters or sites, one meter heavy or
-    excluded, or one source site. Each class is drawn by quota over the intervention's groups."""
+    """A context of exactly size rows (positive and even), half of either class, under an intervention: pooled, balanced over meters or
+    sites, one meter heavy or excluded, or one source site. Each class is drawn by shares() over meters (sites for a site intervention);
+    what a group lacks goes to the others, and too few eligible rows are refused."""
+    if size <= 0 or size % 2:
+        raise ValueError("a context has a positive, even number of rows")
     kind = tag["kind"]
     pool = rows
     if kind == "meter_excluded":
-        pool = rows.filter(F.col("meter") != tag["meter"])
+        pool = rows.filter(F.lower(F.col("meter").cast("string")) != str(tag["meter"]).lower())
     if kind == "site_source":
         pool = rows.filter(F.col("site_id").cast("string") == tag["site"])
-    group = {"meter_balanced": F.col("meter").cast("string"), "site_balanced": F.col("site_id").cast("string"), "site_meter_balanced": F.concat_ws("|", "site_id", "meter"), "meter_heavy": F.when(F.col("meter") == tag.get("meter"), "heavy").otherwise("rest") if kind == "meter_heavy" else None}.get(kind)
-    pool = pool.withColumn("_group", F.lit("all") if group is None else group)
+    group = F.concat_ws("|", "site_id", "meter") if kind == "site_meter_balanced" else F.col("site_id" if kind.startswith("site") else "meter").cast("string")
+    pool = pool.withColumn("_group", group)
     out = None
-    for c, n in ((0, size // 2), (1, size - size // 2)):
+    for c in (0, 1):
         of = pool.filter(F.col(label) == c)
         counts = of.groupBy("_group").agg(F.count("*").alias("_have"))
-        if kind == "meter_heavy":
-            counts = counts.withColumn("_w", F.least("_have", F.when(F.col("_group") == "heavy", F.lit(round(n * tag["share"]))).otherwise(F.lit(n - round(n * tag["share"])))))
-        elif kind.endswith("balanced"):
-            groups = counts.count() or 1
-            counts = counts.withColumn("_w", F.least("_have", F.lit(-(-n // groups))))
+        if kind.endswith("balanced"):
+            counts = counts.withColumn("_w", F.lit(1.0))
+        elif kind == "meter_heavy":
+            heavy = F.lower("_group") == str(tag["meter"]).lower()
+            others = counts.filter(~heavy).agg(F.sum("_have")).first()[0] or 1
+            counts = counts.withColumn("_w", F.when(heavy, F.lit(tag["share"])).otherwise((1 - tag["share"]) * F.col("_have") / others))
         else:
             counts = counts.withColumn("_w", F.col("_have"))
-        part = by_quota(of, quotas(counts, n, "_w", "_group"), "_group", key, seed + c)
+        part = by_quota(of, quotas(counts, size // 2, "_w", "_group", "_have"), "_group", key, seed)
         out = part if out is None else out.unionByName(part)
     return out.drop("_group")
 
@@ -146,7 +188,7 @@ def replacements(slots: DataFrame, reserve: DataFrame, key: str, label: str = "a
 
 def representativeness(draw: DataFrame, parent: DataFrame, value: str, label: str = "anomaly", digits: int = 6) -> DataFrame:
     """label, field, parent, draw, deviation of the quartiles: how far a draw's quantiles are from its parent's."""
-    q = lambda rows, name: rows.groupBy(label).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias(name))
+    q = lambda rows, name: quantiles(rows, [label], value, [0.25, 0.5, 0.75], name)
     both = q(parent, "_p").join(q(draw, "_d"), label).select(label, F.posexplode(F.arrays_zip("_p", "_d")).alias("i", "x"))
     name = F.element_at(F.array(F.lit("q25"), F.lit("q50"), F.lit("q75")), F.col("i") + 1)
     return both.select(label, name.alias("field"), F.round("x._p", digits).alias("parent"), F.round("x._d", digits).alias("draw"), F.round(F.try_divide(F.col("x._d") - F.col("x._p"), F.nullif(F.abs("x._p"), F.lit(0.0))), digits).alias("deviation"))
@@ -177,11 +219,6 @@ def ladder(profiles: DataFrame, budgets: list[int], meters: list[str], seed: int
     return placed.withColumn("role", F.when(F.col("position") % 5 == 4, "early_stop").otherwise("fit")).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).filter(F.col("position") < F.col("budget")).select("budget", "position", "building_id", "site_id", "role")
 
 
-def interleave(order: Column) -> Column:
-    """Place of a row of rank `order` in its class when classes alternate."""
-    return order * 2
-
-
 def balanced_prefix_gap(nested: DataFrame, label: str = "anomaly") -> DataFrame:
     """Budgets whose classes differ by more than one row."""
     return nested.groupBy("budget").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")).filter("abs(pos - neg) > 1")

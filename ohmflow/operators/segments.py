@@ -53,15 +53,15 @@ def run_summary(lengths: DataFrame, groups: list[str], long_run: int = 24, digit
 
 
 def attach(rows: DataFrame, segs: DataFrame, keys=SERIES, ts: str = "timestamp", block_hours: int = 168) -> DataFrame:
-    """rows and the first segment (island) whose span holds the row's time, null for none. Spans are cut into blocks of time, so
+    """rows and the first segment (island) whose span holds the row's time, null for none; repeated rows stay. Spans are cut into blocks of time, so
     the interval join is an equality join on (series, block) with a filter."""
     block = lambda c: F.floor(seconds(c) / (block_hours * HOUR))
     spans = segs.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("island").alias("_island"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.explode(F.sequence(block("start"), block("end"))).alias("_block"))
     on = F.col("_b") == F.col("_block")
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    found = rows.withColumn("_b", block(ts)).join(spans, on & F.col(ts).between(F.col("_start"), F.col("_end")), "left")
-    return found.groupBy(*rows.columns).agg(F.min("_island").alias("segment"))
+    times = rows.select(*keys, ts).distinct().withColumn("_b", block(ts)).join(spans, on & F.col(ts).between(F.col("_start"), F.col("_end")))
+    return rows.join(times.groupBy(*keys, ts).agg(F.min("_island").alias("segment")), [*keys, ts], "left").select(*rows.columns, "segment")
 
 
 def anchor_window(rows: DataFrame, hours: int, keys=SERIES, label: str = "anomaly", value: str = "meter_reading", ts: str = "timestamp") -> DataFrame:

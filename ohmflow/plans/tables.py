@@ -124,12 +124,8 @@ def composition(spark, sf):
 SELECT meter, CAST(step AS BIGINT) AS step_seconds, n FROM k WHERE i = 1""")
 def common_time_step(spark, sf):
     # the step within a building's series, the most frequent one of each meter
-    per = td.readings(spark, sf).withColumn("series", F.col("building_id"))
-    t = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
-    from pyspark.sql import Window
-
-    steps = per.withColumn("t", t).withColumn("step_seconds", F.col("t") - F.lag("t").over(Window.partitionBy("meter", "series").orderBy("t"))).filter("step_seconds is not null").groupBy("meter", "step_seconds").count()
-    return steps.groupBy("meter").agg(F.max(F.struct("count", (-F.col("step_seconds")).alias("s"))).alias("b")).select("meter", (-F.col("b.s")).alias("step_seconds"), F.col("b.count").alias("n"))
+    steps = profile.step_counts(td.readings(spark, sf), ["meter", "building_id"]).groupBy("meter", "step_seconds").agg(F.sum("n").alias("n"))
+    return profile.most_frequent_step(steps, ["meter"])
 
 
 @query("""SELECT lang, 'quality' AS field, round(avg(CASE WHEN quality IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang UNION ALL
@@ -270,9 +266,9 @@ def meter_compositions(spark, sf):
     return splits.compositions(labelled(spark, sf), ["view", "click"]).groupBy("scenario").agg(F.count("*").alias("rows"), F.sum("anomaly").alias("anomalies"))
 
 
-@query("SELECT building_id FROM (SELECT user_id % 10 AS building_id FROM events WHERE user_id % 3 = 0 INTERSECT SELECT user_id % 10 FROM events WHERE user_id % 3 <> 0)")
+@query("SELECT building_id FROM (SELECT user_id // 10 AS building_id FROM events WHERE user_id % 3 = 0 INTERSECT SELECT user_id // 10 FROM events WHERE user_id % 3 <> 0)")
 def split_overlap(spark, sf):
-    rows = td.table(spark, sf, "events").select((F.col("user_id") % 10).alias("building_id"), F.when(F.col("user_id") % 3 == 0, "train").otherwise("val").alias("side"))
+    rows = td.table(spark, sf, "events").select(F.floor(F.col("user_id") / 10).alias("building_id"), F.when(F.col("user_id") % 3 == 0, "train").otherwise("val").alias("side"))
     return splits.overlap(rows, "building_id")
 
 

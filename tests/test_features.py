@@ -80,3 +80,26 @@ def test_segments_break_at_gaps(spark):
     assert got == [(1, 3, 1.0), (2, 2, 1.0)]
     placed = {r.timestamp.hour: r.segment for r in segments.attach(df, segments.segments(df)).collect()}
     assert placed == {0: 1, 1: 1, 2: 1, 3: None, 5: 2, 6: 2}
+
+
+def test_hours_are_exact_over_a_clock_change(spark):
+    """A session zone with a clock change moves no reading."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.sql("select 1L as building_id, 0 as meter, cast(concat('2024-03-10 0', id, ':00:00') as timestamp_ntz) as timestamp, cast(id * id as double) as meter_reading from range(6)")
+        got = {r.timestamp.hour: r.lag_value_diff_1 for r in features.value_changes(rows, [1]).collect()}
+        assert got == {0: None, 1: 1.0, 2: 3.0, 3: 5.0, 4: 7.0, 5: 9.0}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_quantiles_equal_percentiles(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.pmod(F.col("id") * 7919, F.lit(101)) / 4.0).alias("v"))
+    points = [0.0, 0.1, 0.5, 0.99, 1.0]
+    want = {r.g: r.q for r in rows.groupBy("g").agg(F.percentile("v", points).alias("q")).collect()}
+    assert {r.g: r.q for r in features.quantiles(rows, ["g"], "v", points).collect()} == {g: [__import__("pytest").approx(x) for x in q] for g, q in want.items()}
+    whole = rows.agg(F.percentile("v", points).alias("q")).first().q
+    assert features.quantiles(rows, [], "v", points).first().q == __import__("pytest").approx(whole)

@@ -39,7 +39,45 @@ def test_quotas_respect_capacity(spark):
     table = spark.createDataFrame([("a", 3), ("b", 50), ("c", 47)], "k string, w long")
     got = {r.k: r.quota for r in sampling.quotas(table, 10, "w", "k").collect()}
     assert sum(got.values()) == 10 and got["a"] <= 3
-    assert sum(r.quota for r in sampling.quotas(table, 1000, "w", "k").collect()) == 100
+    with pytest.raises(ValueError):
+        sampling.quotas(table, 1000, "w", "k")
+    apart = table.withColumn("even", sampling.F.lit(1.0))
+    assert {r.k: r.quota for r in sampling.quotas(apart, 90, "even", "k", "w").collect()} == {"a": 3, "b": 44, "c": 43}
+
+
+def test_shares_equal_one_at_a_time():
+    import random
+
+    r = random.Random(8)
+    for _ in range(300):
+        room = [r.randint(0, 40) for _ in range(r.randint(1, 6))]
+        weights, total = [r.randint(0, 9) + 0.5 for _ in room], r.randint(0, sum(room))
+        wanted = [total * w / sum(weights) for w in weights]
+        got = [min(int(x), c) for x, c in zip(wanted, room, strict=True)]
+        while sum(got) < total:
+            best = max((i for i in range(len(room)) if got[i] < room[i]), key=lambda i: (wanted[i] - got[i], -i))
+            got[best] += 1
+        assert sampling.shares(weights, total, room) == got
+
+
+def test_contexts_have_the_asked_size(spark):
+    from ohmflow.functions.scalar import context_tag
+
+    rows = [(i, i % 4, i % 8, "O" if i % 10 < 1 else "F" if i % 10 < 5 else "G", i % 2) for i in range(400)]
+    frame = spark.createDataFrame(rows, "raw_index long, site_id int, building_id int, meter string, anomaly int")
+    for tag in ("meter_balanced", "meter_heavy:O:0.7", "site_balanced", "pooled_reference", "meter_excluded:G"):
+        out = sampling.context(frame, 100, context_tag(tag), "raw_index")
+        assert out.count() == 100 and out.filter("anomaly = 1").count() == 50
+    with pytest.raises(ValueError):
+        sampling.context(frame, 100, context_tag("meter_excluded:zz"), "raw_index").sparkSession and sampling.context(frame, 1000, context_tag("pooled_reference"), "raw_index")
+
+
+def test_large_samples_are_cut_by_priority(spark, monkeypatch):
+    frame = spark.range(30000).withColumnRenamed("id", "raw_index")
+    whole = [r.raw_index for r in sampling.sample(frame, 4000, "raw_index", 5).collect()]
+    monkeypatch.setattr(sampling, "LIMIT_ROWS", 100)
+    assert sorted(r.raw_index for r in sampling.sample(frame, 4000, "raw_index", 5).collect()) == sorted(whole)
+    assert sampling.sample(frame, 40000, "raw_index").count() == 30000
 
 
 def test_split_gates(frame):
