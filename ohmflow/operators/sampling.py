@@ -222,3 +222,93 @@ def ladder(profiles: DataFrame, budgets: list[int], meters: list[str], seed: int
 def balanced_prefix_gap(nested: DataFrame, label: str = "anomaly") -> DataFrame:
     """Budgets whose classes differ by more than one row."""
     return nested.groupBy("budget").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")).filter("abs(pos - neg) > 1")
+
+
+def natural_contexts(rows: DataFrame, key: str, budgets: list[int], label: str = "anomaly", seed: int = 0) -> DataFrame:
+    """budget and rows: contexts at the table's own class shares; quotas per budget, rows by priority, so budgets nest."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("_w"))
+    table = None
+    for b in budgets:
+        part = quotas(counts, b, "_w", label).select(label, F.lit(b).alias("budget"), "quota")
+        table = part if table is None else table.unionByName(part)
+    most = table.groupBy(label).agg(F.max("quota").alias("quota"))
+    drawn = ranked(by_quota(rows, most, label, key, seed), [label], key, seed, "_k")
+    return drawn.join(table, label).filter("_k < quota").drop("_k", "quota")
+
+
+def half_flagged(rows: DataFrame, flag: str, n: int, key: str, seed: int = 0) -> DataFrame:
+    """At most n rows, half of them flagged."""
+    return sample(rows.filter(F.col(flag) == 1), n // 2, key, seed).unionByName(sample(rows.filter(F.col(flag) == 0), n - n // 2, key, seed))
+
+
+def bounded_rows(rows: DataFrame, per_class: int, key: str, label: str = "anomaly", seed: int = 0) -> DataFrame:
+    """At most per_class rows of either class and their place: positives and negatives in turn."""
+    return per_class_ranks(rows, per_class, key, label, seed).withColumn("place", F.col("_k") * 2 + (1 - F.col(label))).drop("_k")
+
+
+def per_class_ranks(rows: DataFrame, per_class: int, key: str, label: str, seed: int) -> DataFrame:
+    parts = [sample(rows.filter(F.col(label) == c), per_class, key, seed) for c in (1, 0)]
+    return ranked(parts[0].unionByName(parts[1]), [label], key, seed, "_k")
+
+
+def downsampled_ids(rows: DataFrame, key: str, order: list[str], label: str = "anomaly", seed: int = 10) -> DataFrame:
+    """copy_id, order, key of downsample(): the raw ids with the columns of the order in which features were built. A table has no
+    order; who needs one sorts by these."""
+    return downsample(rows, key, label, seed).select("copy_id", *order, *[key] * (key not in order))
+
+
+def index_sets(rows: DataFrame, side: str, fit_rows: int, score_rows: int, key: str, label: str = "anomaly", seed: int = 0) -> DataFrame:
+    """role, key: fit (balanced, of the training side), train (of it), val and test (of their sides), with seeds one apart."""
+    of = lambda s: rows.filter(F.col(side) == s)
+    parts = {"fit": balanced(of("train"), key, label, fit_rows, seed), "train": sample(of("train"), score_rows, key, seed + 1), "val": sample(of("val"), score_rows, key, seed + 2), "test": sample(of("test"), score_rows, key, seed + 3)}
+    out = None
+    for role, part in parts.items():
+        one = part.select(F.lit(role).alias("role"), key)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def ladder_rows(rows: DataFrame, steps: DataFrame, budget: int, label: str = "anomaly") -> DataFrame:
+    """rows of one budget's buildings and their role; a role without both classes is refused. steps: budget, building_id, role."""
+    cell = rows.join(steps.filter(F.col("budget") == budget).select("building_id", "role"), "building_id")
+    kinds = {r["role"]: (r["pos"], r["neg"]) for r in cell.groupBy("role").agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")).collect()}
+    if not kinds or any(0 in k for k in kinds.values()):
+        raise ValueError("a role of the ladder lacks a class")
+    return cell
+
+
+def building_quotas(buildings: DataFrame, blocks: list[tuple[int, int]]) -> DataFrame:
+    """building_id, position, rows, quota: each block of positions (up to a budget) shares out so many rows by its buildings' rows, so
+    larger budgets keep the smaller ones' quotas. buildings: building_id, position, rows; blocks: (budget, rows of the block)."""
+    out, start = None, 0
+    for budget, total in blocks:
+        block = buildings.filter((F.col("position") >= start) & (F.col("position") < budget))
+        part = quotas(block, total, "rows", "building_id")
+        out, start = part if out is None else out.unionByName(part), budget
+    return out
+
+
+def seeded_samples(rows: DataFrame, seeds: list[int], n: int, key: str) -> DataFrame:
+    """seed and rows: one sample per seed."""
+    out = None
+    for s in seeds:
+        part = sample(rows, n, key, s).withColumn("seed", F.lit(s))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def ladder_sensitivity(profiles: DataFrame, budgets: list[int], seeds: list[int]) -> DataFrame:
+    """seed, budget, buildings, sites, rows, anomalies, least_overlap (smallest Jaccard similarity with another seed's set of that budget),
+    prefix (its buildings are those of the next smaller budget and more). profiles: building_id, site_id, rows, anomalies (a table of
+    buildings)."""
+    placed = None
+    for s in seeds:
+        order = profiles.withColumn("_p", priority(s, F.col("building_id"))).withColumn("position", F.row_number().over(Window.orderBy("_p", "building_id")) - 1).withColumn("seed", F.lit(s))
+        placed = order if placed is None else placed.unionByName(order)
+    chosen = placed.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).filter("position < budget")
+    sums = chosen.groupBy("seed", "budget").agg(F.count("*").alias("buildings"), F.count_distinct("site_id").alias("sites"), F.sum("rows").alias("rows"), F.sum("anomalies").alias("anomalies"), F.collect_set("building_id").alias("_set"))
+    x, y = sums.alias("x"), sums.alias("y")
+    both = F.size(F.array_intersect("x._set", "y._set"))
+    least = x.join(y, (F.col("x.budget") == F.col("y.budget")) & (F.col("x.seed") != F.col("y.seed"))).groupBy(F.col("x.seed").alias("seed"), F.col("x.budget").alias("budget")).agg(F.round(F.min(both / (F.size("x._set") + F.size("y._set") - both)), 6).alias("least_overlap"))
+    before = F.lag("_set").over(Window.partitionBy("seed").orderBy("budget"))
+    return sums.withColumn("prefix", F.coalesce(F.size(F.array_except(before, F.col("_set"))) == 0, F.lit(True))).drop("_set").join(least, ["seed", "budget"], "left")

@@ -167,9 +167,9 @@ def content_leaks(fit: DataFrame, holdout: DataFrame, features: list[str], key:
 
 
 def fingerprint(rows: DataFrame, key: str) -> DataFrame:
-    """rows, sum_hash, xor_hash: an order-free fingerprint of ids, merged from partial ones."""
-    h = F.xxhash64(F.col(key).cast("long"))
-    return rows.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("sum_hash"), F.bit_xor(h).alias("xor_hash"))
+    """rows, sum_hash (as text), xor_hash: an order-free fingerprint of ids by md5, merged from partial ones, the same in any engine."""
+    h = F.conv(F.substring(F.md5(F.col(key).cast("long").cast("string")), 1, 15), 16, 10).cast("long")
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum_hash"), F.bit_xor(h).alias("xor_hash"))
 
 
 def ordered_digest(rows: DataFrame, groups: list[str], key: str) -> DataFrame:

@@ -313,7 +313,7 @@ def content_leaks(spark, sf):
     return splits.content_leaks(rows.filter("building_id % 2 = 0"), rows.filter("building_id % 2 = 1"), ["reading", "score_a", "score_b", "meter"], "raw_index").distinct()
 
 
-@query()
+@query(f"""WITH {P}, h AS (SELECT CAST('0x' || substr(md5(CAST(raw_index AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM p) SELECT count(*) AS rows, CAST(sum(h) AS VARCHAR) AS sum_hash, bit_xor(h) AS xor_hash FROM h""")
 def id_fingerprint(spark, sf):
     return splits.fingerprint(td.predictions(spark, sf), "raw_index")
 
@@ -424,19 +424,13 @@ def selection_overlap(spark, sf):
     return sampling.jaccard(rows, "seed", "item")
 
 
-@query()
+@query(f"""WITH {LAB}, b AS (SELECT building_id, min(site_id) AS site_id FROM a GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY md5('0:' || building_id), building_id) - 1 AS k FROM b), o AS (SELECT *, row_number() OVER (ORDER BY k, md5('0:' || site_id), site_id) - 1 AS position FROM k)
+SELECT budget, position, building_id, site_id, CASE WHEN position % 5 = 4 THEN 'early_stop' ELSE 'fit' END AS role FROM o, (SELECT unnest([2, 5, 8]) AS budget) WHERE position < budget""")
 def building_ladder(spark, sf):
     """Nested building sets of an order that interleaves sites."""
     return sampling.ladder(profile.building_profiles(labelled(spark, sf), METERS), [2, 5, 8], METERS)
 
 
-@query()
-def heavy_context(spark, sf):
-    from ohmflow.functions.scalar import context_tag
-
-    return sampling.context(preds(spark, sf), 200, context_tag("meter_heavy:O:0.7"), "raw_index").select("raw_index", "meter", "anomaly")
-
-
 @query(f"WITH {PA} SELECT count(*) AS rows, count(DISTINCT building_id) AS unique_rows, round(1 - count(DISTINCT building_id) / count(*), 6) AS duplicate_rate FROM a")
 def duplicate_use(spark, sf):
     return profile.duplicate_use(preds(spark, sf), "building_id")
