@@ -44,10 +44,12 @@ def value_change_timestamp(spark, sf):
 _ALL = [n for n in range(-30, 31) if n]
 
 
-@query(f"WITH {R}, s AS (SELECT *, " + ", ".join(f"{SHIFT(n) if n > 0 else AHEAD(-n)} AS {'s' if n > 0 else 'f'}{abs(n)}" for n in _ALL) + " FROM r) SELECT building_id, site_id, meter, timestamp, meter_reading, " + ", ".join(f"round(meter_reading - {'s' if n > 0 else 'f'}{abs(n)}, 6) AS \"lag_value_diff_{n}\", round((meter_reading + 1) / nullif({'s' if n > 0 else 'f'}{abs(n)} + 1, 0), 6) AS \"lag_value_ratio_{n}\"" for n in _ALL) + " FROM s")
+@query(f"WITH {R}, s AS (SELECT *, " + ", ".join(f"{SHIFT(n) if n > 0 else AHEAD(-n)} AS {'s' if n > 0 else 'f'}{abs(n)}" for n in _ALL) + " FROM r) SELECT building_id, site_id, meter, timestamp, meter_reading, " + ", ".join(f"round(meter_reading - {'s' if n > 0 else 'f'}{abs(n)} + 1e-9, 6) AS \"lag_value_diff_{n}\", round((meter_reading + 1) / nullif({'s' if n > 0 else 'f'}{abs(n)} + 1, 0) + 1e-9, 6) AS \"lag_value_ratio_{n}\"" for n in _ALL) + " FROM s")
 def value_change_full_set(spark, sf):
     """All 60 shifts of both kinds."""
-    return features.value_changes(td.readings(spark, sf), scalar.BASELINE_SHIFTS, digits=6)
+    rows = td.readings(spark, sf)
+    made = features.value_changes(rows, scalar.BASELINE_SHIFTS)
+    return made.select(*rows.columns, *[F.round(F.col(c) + features.TIE, 6).alias(c) for c in made.columns if c.startswith("lag_value_")])
 
 
 @query(f"""WITH {R}, s AS (SELECT *, lag(meter_reading, 1) OVER w AS s1, lead(meter_reading, 2) OVER w AS f2 FROM r WINDOW w AS (PARTITION BY building_id ORDER BY timestamp, meter))
