@@ -165,10 +165,11 @@ def _cut(names: dict[str, str]):
     return run
 
 
-def _later(rows: DataFrame, value: str) -> DataFrame:
-    """The rows whose value stands earlier, with its first place."""
-    first = rows.groupBy(value).agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(value, "first")
-    return rows.join(first, value).filter("not (doc_id <=> first.doc_id and key = first.key and start = first.start)")
+def _later(rows: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose value stands earlier, with its first place, and the written table of first places: joined from a table, a value
+    that stands very often can be split over tasks."""
+    first = materialize(rows.groupBy(value).agg(F.min(F.struct("doc_id", "key", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(value, "first"), "first")
+    return rows.join(first, value).filter("not (doc_id <=> first.doc_id and key = first.key and start = first.start)"), first
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -179,7 +180,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prints = materialize(marked.groupBy("print").agg(F.count("*").alias("n"), F.min("segment").alias("lo"), F.max("segment").alias("hi")).filter("n > 1").selectExpr("print", "lo < hi as mixed"), "prints")
     often = maybe_wanted(docs.sparkSession, key_map(prints, "print"))
     repeated = materialize(marked.filter(often(spot("print"))).join(prints, "print"), "repeated")
-    later = materialize(_later(repeated, "segment").withColumn("own", F.expr(f"doc_id <=> first.doc_id and key = first.key and start - first.start < {int(min_words)}")), "later")
+    rows, first_segments = _later(repeated, "segment")
+    later = materialize(rows.withColumn("own", F.expr(f"doc_id <=> first.doc_id and key = first.key and start - first.start < {int(min_words)}")), "later")
     # single windows: of the first copies of segments that differ, and of segments that overlap their first copy
     firsts = repeated.filter("mixed").groupBy("segment").agg(F.min(F.struct("doc_id", "key", "start", "end")).alias("first")).select("first.*")
     overlapping = later.filter("own")
@@ -192,10 +194,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = held.join(starts.hint("merge"), F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("key"))).select("doc_id", "key", "text", "wanted")
     windows = materialize(found.mapInArrow(_windows(min_words), "doc_id long, key long, start int, window long"), "windows")
     after = F.expr(f"case when doc_id <=> first.doc_id and key = first.key then greatest(start, first.start + {int(min_words)}) else start end")
-    found = _later(windows, "window").select("doc_id", "key", after.alias("start"), (F.col("start") + min_words).alias("end"))
+    rows, first_windows = _later(windows, "window")
+    found = rows.select("doc_id", "key", after.alias("start"), (F.col("start") + min_words).alias("end"))
     runs = later.filter("not own").select("doc_id", "key", "start", "end").union(found)
     whole = materialize(runs.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "key").agg(F.collect_set(F.struct("start", "end")).alias("runs")), "runs")
-    drop_scratch(marked, prints, repeated, later, wanted, windows)
+    drop_scratch(marked, prints, repeated, first_segments, later, wanted, windows, first_windows)
     return whole
 
 
