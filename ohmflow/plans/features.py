@@ -215,10 +215,10 @@ def row_priorities(spark, sf):
 
 
 @query(f"""WITH {W}, m AS (SELECT site_id, avg(CASE WHEN cloud_coverage < 5 THEN air_temperature END) AS m FROM w GROUP BY site_id)
-SELECT site_id, timestamp, coalesce(CASE WHEN cloud_coverage < 5 THEN air_temperature END, m, 0.0) AS air_temperature FROM w JOIN m USING (site_id)""")
+SELECT site_id, timestamp, round(coalesce(CASE WHEN cloud_coverage < 5 THEN air_temperature END, m, 0.0) + 1e-9, 6) AS air_temperature FROM w JOIN m USING (site_id)""")
 def mean_fill(spark, sf):
     rows = td.weather(spark, sf).withColumn("air_temperature", F.when(F.col("cloud_coverage") < 5, F.col("air_temperature")))
-    return scalar.building_mean_fill(rows, ["air_temperature"], "site_id").select("site_id", "timestamp", "air_temperature")
+    return scalar.building_mean_fill(rows, ["air_temperature"], "site_id").select("site_id", "timestamp", F.round(F.col("air_temperature") + 1e-9, 6).alias("air_temperature"))
 
 
 @query(f"""WITH {R}, q AS (SELECT meter, quantile_cont(meter_reading, 0.25) AS lo, quantile_cont(meter_reading, 0.75) AS hi FROM r GROUP BY meter)

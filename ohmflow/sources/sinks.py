@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; only a local master may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="ohmflow-")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def write_parquet(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     writer = rows.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ohmflow.functions import scalar
 
 
-def read_readings(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_readings(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
@@ -48,3 +49,10 @@ def run_once(rows: DataFrame, name: str, checkpoint: str, mode: str = "append"):
     query = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return rows.sparkSession.table(name)
+
+
+def run_to_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Runs what is there to Parquet files under folder, beside the stream's state, and reads them back."""
+    query = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
