@@ -132,3 +132,28 @@ def test_shards_and_resume(spark, frame, tmp_path):
     sinks.write_json(frame.limit(3), str(tmp_path / "j"), "abc")
     assert "revision" in spark.read.json(str(tmp_path / "j")).columns
     assert sinks.spans(frame, "raw_index", 100).groupBy("span").count().filter("count > 100").isEmpty()
+
+
+def test_tables_from_files(spark, tmp_path):
+    (tmp_path / "metadata.csv").write_text("building_id,site_id,building_id_kaggle,site_id_kaggle,primaryspaceusage,sqft,yearbuilt,numberoffloors,timezone\nA,s1,7,1,Office,100,1990,2,US/Eastern\n")
+    (tmp_path / "electricity.csv").write_text("timestamp,A\n2016-01-01 00:00:00,1\n2016-01-01 01:00:00,3\n")
+    (tmp_path / "weather.csv").write_text("timestamp,site_id,airTemperature\n2016-01-01 00:00:00,s1,5\n")
+    assert ingest.load_scoring(spark, str(tmp_path), ["electricity"]).count() == 2
+
+
+def test_submission_has_id_and_score(spark, tmp_path):
+    sinks.submission(spark.createDataFrame([(1, 0.5, "x"), (2, 0.25, "y")], "row_id long, score double, other string"), str(tmp_path / "s"))
+    read = spark.read.option("header", True).csv(str(tmp_path / "s"))
+    assert read.columns == ["row_id", "anomaly"] and {(r.row_id, r.anomaly) for r in read.collect()} == {("1", "0.5"), ("2", "0.25")}
+
+
+def test_label_columns(spark):
+    from ohmflow.operators import profile
+
+    assert profile.label_columns(spark.createDataFrame([(1, 2, 3)], "meter int, is_bad_reading int, Anomaly int")) == ["is_bad_reading", "Anomaly"]
+
+
+def test_matched_positives_are_as_many_as_asked(frame):
+    labelled = frame.withColumn("anomaly", (frame.raw_index % 4 == 0).cast("int"))
+    found = sampling.matched_positives(labelled, "raw_index", 50)
+    assert found.filter("anomaly = 1").select("raw_index").distinct().count() == 50
