@@ -134,7 +134,7 @@ def test_shards_and_resume(spark, frame, tmp_path):
     assert sinks.spans(frame, "raw_index", 100).groupBy("span").count().filter("count > 100").isEmpty()
 
 
-def test_tables_from_files(spark, tmp_path):
+def test_scoring_loads_raw_meters(spark, tmp_path):
     (tmp_path / "metadata.csv").write_text("building_id,site_id,building_id_kaggle,site_id_kaggle,primaryspaceusage,sqft,yearbuilt,numberoffloors,timezone\nA,s1,7,1,Office,100,1990,2,US/Eastern\n")
     (tmp_path / "electricity.csv").write_text("timestamp,A\n2016-01-01 00:00:00,1\n2016-01-01 01:00:00,3\n")
     (tmp_path / "weather.csv").write_text("timestamp,site_id,airTemperature\n2016-01-01 00:00:00,s1,5\n")
@@ -157,3 +157,12 @@ def test_matched_positives_are_as_many_as_asked(frame):
     labelled = frame.withColumn("anomaly", (frame.raw_index % 4 == 0).cast("int"))
     found = sampling.matched_positives(labelled, "raw_index", 50)
     assert found.filter("anomaly = 1").select("raw_index").distinct().count() == 50
+
+
+def test_frame_from_four_files(spark, tmp_path):
+    (tmp_path / "train.csv").write_text("row_id,building_id,meter,timestamp,meter_reading\n0,1,0,2016-01-01 00:00:00,5\n1,1,0,2016-01-01 01:00:00,6\n")
+    (tmp_path / "bad_meter_readings.csv").write_text("row_id,is_bad_meter_reading\n0,0\n1,1\n")
+    (tmp_path / "building_metadata.csv").write_text("building_id,site_id,primary_use,square_feet,year_built,floor_count\n1,3,,100,1990,2\n")
+    (tmp_path / "weather_train.csv").write_text("site_id,timestamp,air_temperature,cloud_coverage\n3,2016-01-01 00:00:00,4.5,255\n")
+    got = {r.row_id: r for r in ingest.read_tables(spark, str(tmp_path)).collect()}
+    assert got[1].anomaly == 1 and got[0].cloud_coverage == 10 and got[1].air_temperature is None and got[0].site_id == 3
