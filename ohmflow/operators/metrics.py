@@ -3,11 +3,18 @@ positive and negative counts, so a group's work is that of its distinct scores."
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmflow.operators.features import quantiles
 
+#: Margins are told apart down to this difference, and so many are counted at once in the search for one.
+MARGIN_STEP = 1e-9
+CUTS = 24
+
 
 def score_counts(rows: DataFrame, groups: list[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
     """groups, score, pos, neg: the reduction that all metrics start from. weight: rows count so many times."""
@@ -253,13 +260,51 @@ def seed_summary(records: DataFrame, groups: list[str], value: str, digits: int
 
 
 def margin_quartiles(rows: DataFrame, score: str = "score", label: str = "y", digits: int = 6) -> DataFrame:
-    """q25, q75, iqr of all positive-minus-negative margins: distinct margins weighted by how many pairs make them."""
-    counts = score_counts(rows, [], score, label)
-    pos = counts.filter("pos > 0").select(F.col("score").alias("a"), "pos")
-    neg = counts.filter("neg > 0").select(F.col("score").alias("b"), "neg")
-    margins = pos.join(neg, F.lit(True)).groupBy(F.round(F.col("a") - F.col("b"), 9).alias("margin")).agg(F.sum(F.col("pos") * F.col("neg")).alias("n"))
-    found = margins.agg(F.percentile("margin", [0.25, 0.75], F.col("n")).alias("q"))
-    return found.select(F.round(F.col("q")[0], digits).alias("q25"), F.round(F.col("q")[1], digits).alias("q75"), F.round(F.col("q")[1] - F.col("q")[0], digits).alias("iqr"))
+    """q25, q75, iqr of all positive-minus-negative margins, without making pairs."""
+    q25, q75 = margin_quantiles(rows, [Fraction(1, 4), Fraction(3, 4)], score, label) or (None, None)
+    found = [None if q25 is None else round(float(q), digits) for q in (q25, q75, (q75 or 0) - (q25 or 0))]
+    return rows.sparkSession.createDataFrame([tuple(found)], "q25 double, q75 double, iqr double")
+
+
+def margin_quantiles(rows: DataFrame, fractions: list[Fraction], score: str = "score", label: str = "y") -> list[Fraction] | None:
+    """Interpolated quantiles of the margins of all pairs; None without pairs. Scores are taken in MARGIN_STEPs (null scores and labels
+    take no part). The margin at a place is searched for: a round counts, for CUTS margins in the range that is left, the pairs
+    up to each of them, in one pass over the distinct scores; a range of one takes seven rounds."""
+    step = F.round(F.col(score).cast("double") / MARGIN_STEP).cast("long")
+    counts = score_counts(rows.filter(F.col(score).isNotNull()).select(step.alias("score"), F.col(label).alias("y")), []).filter("pos > 0 or neg > 0").persist()
+    try:
+        is_pos, is_neg = F.col("pos") > 0, F.col("neg") > 0
+        seen = counts.agg(*[f(F.when(c, F.col("score"))).alias(n) for n, f, c in (("pl", F.min, is_pos), ("ph", F.max, is_pos), ("nl", F.min, is_neg), ("nh", F.max, is_neg))], F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+        if not seen["p"] or not seen["n"]:
+            return None
+        places = [f * (int(seen["p"]) * int(seen["n"]) - 1) for f in fractions]
+        # of each wanted place: margins that are below it (no pair up to there reaches it), and margins that are not
+        below = {k: seen["pl"] - seen["nh"] - 1 for x in places for k in (math.floor(x), math.ceil(x))}
+        reached = dict.fromkeys(below, seen["ph"] - seen["nl"])
+        while any(reached[k] - below[k] > 1 for k in below):
+            cuts = {below[k] + (reached[k] - below[k]) * i // (CUTS + 1) for k in below for i in range(1, CUTS + 1)} - set(below.values())
+            for cut, pairs in _pairs_up_to(counts, sorted(cuts)):
+                for k in below:
+                    if pairs > k:
+                        reached[k] = min(reached[k], cut)
+                    else:
+                        below[k] = max(below[k], cut)
+        at = lambda x: reached[math.floor(x)] + (reached[math.ceil(x)] - reached[math.floor(x)]) * (x - math.floor(x))
+        return [at(x) * Fraction(MARGIN_STEP).limit_denominator(10**12) for x in places]
+    finally:
+        counts.unpersist()
+
+
+def _pairs_up_to(counts: DataFrame, cuts: list[int]) -> list[tuple[int, int]]:
+    """For each cut, the number of pairs whose positive is at most `cut` above its negative: positives are moved down by the cut, and
+    the negatives from there on are summed from the highest score."""
+    cut = F.explode(F.array(*[F.lit(c) for c in cuts])).alias("cut")
+    moved = counts.filter("pos > 0").select(cut, "score", "pos").select("cut", (F.col("score") - F.col("cut")).alias("at"), F.col("pos").alias("n"), F.lit(1).alias("side"))
+    still = counts.filter("neg > 0").select(cut, F.col("score").alias("at"), F.col("neg").alias("n"), F.lit(0).alias("side"))
+    down = Window.partitionBy("cut").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    above = moved.union(still).withColumn("above", F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).over(down))
+    pairs = above.filter("side = 1").groupBy("cut").agg(F.sum(F.col("n").cast("decimal(19,0)") * F.col("above").cast("decimal(19,0)")).alias("pairs"))
+    return [(r["cut"], int(r["pairs"])) for r in pairs.collect()]
 
 
 def histogram(rows: DataFrame, groups: list[str], score: str = "score", label: str = "y", bins: int = 100) -> DataFrame:

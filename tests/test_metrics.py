@@ -81,3 +81,21 @@ def test_factorial_sign(spark):
     cells = spark.createDataFrame([("x", 0, 0, 1.0), ("x", 0, 1, 2.0), ("x", 1, 0, 3.0), ("x", 1, 1, 7.0)], "g string, a int, b int, v double")
     r = resample.factorial(cells, ["g"], "a", "b", "v").first()
     assert (r.main_a, r.main_b, r.interaction) == (3.5, 2.5, 3.0)
+
+
+def test_margin_quartiles_equal_all_pairs(spark):
+    draw = random.Random(5)
+    rows = [(round(draw.gauss(0, 2), 4), int(draw.random() < 0.3)) for _ in range(200)] + [(None, 1), (0.5, None)]
+    margins = sorted(a - b for a, y in rows if y == 1 and a is not None for b, z in rows if z == 0)
+    got = metrics.margin_quartiles(spark.createDataFrame(rows, "score double, y int")).first()
+    for name, share in (("q25", 0.25), ("q75", 0.75)):
+        place = share * (len(margins) - 1)
+        low, high = margins[int(place)], margins[min(int(place) + 1, len(margins) - 1)]
+        assert abs(got[name] - (low + (high - low) * (place - int(place)))) < 2e-6
+    assert abs(got["iqr"] - (got["q75"] - got["q25"])) < 2e-6
+
+
+def test_margin_quartiles_of_one_class_are_null(spark):
+    rows = spark.createDataFrame([(0.5, 1), (0.25, 1)], "score double, y int")
+    assert tuple(metrics.margin_quartiles(rows).first()) == (None, None, None)
+    assert tuple(metrics.margin_quartiles(rows.limit(0)).first()) == (None, None, None)
