@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ohmflow.plans import analytics, features, strata, streams, tables  # noqa: F401  they register their queries
+from ohmflow.plans import analytics, features, files, strata, streams, tables  # noqa: F401  they register their queries
 from ohmflow.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "value_change_by_side"

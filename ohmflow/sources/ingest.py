@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ohmflow.functions import scalar
 
-READINGS_SCHEMA = "row_id long, building_id short, meter byte, timestamp timestamp_ntz, meter_reading float"
-BUILDING_SCHEMA = "building_id short, site_id byte, primary_use string, square_feet int, year_built int, floor_count int"
+READINGS_SCHEMA = "row_id long, building_id int, meter byte, timestamp timestamp_ntz, meter_reading float"
+BUILDING_SCHEMA = "building_id int, site_id byte, primary_use string, square_feet int, year_built int, floor_count int"
 WEATHER_SCHEMA = "site_id byte, timestamp timestamp_ntz, air_temperature float, cloud_coverage int, dew_temperature float, precip_depth_1_hr float, sea_level_pressure float, wind_direction float, wind_speed float"
 
 
