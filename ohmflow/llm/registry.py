@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fill_middle, license_scan, line_dedup, near_dedup, packing, quote_link, secret_scan, token_align, topk, toxicity, url_filter
+from . import decontam, fill_middle, html_extract, license_scan, line_dedup, near_dedup, packing, quote_link, secret_scan, token_align, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_odd_sketch": near_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_similarity_join": license_scan.query,
     "op9_power_of_two_packing": packing.query,
     "op10_spaced_seed_decontamination": decontam.query,
+    "op11_boosted_node_extraction": html_extract.query,
     "op12_fragment_alignment": token_align.query,
     "op13_skip_list_fill_in_middle": fill_middle.query,
 }
