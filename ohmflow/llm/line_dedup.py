@@ -12,7 +12,7 @@ Any deleted run has an equal one earlier, so the first copy of every passage sta
 copy only what follows that copy is deleted.
 
 Defined results: null and empty texts come back unchanged; texts of white space have no words; null doc_ids come first in
-the order; rows with the same doc_id and text count as one document and get the same result; ties between equal documents go to the smaller doc_id; very long
+the order and are no other id; rows with the same doc_id and text count as one document and get the same result; ties between equal documents go to the smaller doc_id; very long
 texts are hashed whole, one at a time, at about 60 bytes of memory a byte; extra columns are passed by, whatever their names, except that
 removed_words and n_runs are replaced; an empty table gives no rows.
 """
@@ -173,7 +173,7 @@ def _later(rows: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id (-1 for null), key, runs (start, end): the words to delete. docs: doc_id, key, text."""
+    """doc_id, key, runs (start, end): the words to delete. docs: doc_id, key, text."""
     texts = docs.select("doc_id", "key", "text")
     marked = materialize(texts.mapInArrow(_mark(min_words), "doc_id long, key long, start int, end int, print long, segment long"), "segments")
     # fingerprints that stand more than once, and whether their segments differ
@@ -197,7 +197,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows, first_windows = _later(windows, "window")
     found = rows.select("doc_id", "key", after.alias("start"), (F.col("start") + min_words).alias("end"))
     runs = later.filter("not own").select("doc_id", "key", "start", "end").union(found)
-    whole = materialize(runs.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "key").agg(F.collect_set(F.struct("start", "end")).alias("runs")), "runs")
+    whole = materialize(runs.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("runs")), "runs")
     drop_scratch(marked, prints, repeated, first_segments, later, wanted, windows, first_windows)
     return whole
 
@@ -207,15 +207,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     columns of these names)."""
     docs = docs.drop("removed_words", "n_runs")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-    n_id, n_key, n_cut, n_runs = fresh(docs, "run_id", "run_key", "has_runs", "runs")
-    runs = repeated_runs(plain, min_words).select(F.col("doc_id").alias(n_id), F.col("key").alias(n_key), F.col("runs").alias(n_runs))
+    n_id, n_key, n_cut, n_runs, r_id, r_key = fresh(docs, "run_id", "run_key", "has_runs", "runs", "runs_id", "runs_key")
+    runs = repeated_runs(plain, min_words).select(F.col("doc_id").alias(r_id), F.col("key").alias(r_key), F.col("runs").alias(n_runs))
     # only the texts of documents with runs are shuffled to them; the others pass by
-    cut = maybe_wanted(docs.sparkSession, key_map(runs, n_id, n_key))
-    keyed = docs.withColumn(n_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(n_key, F.xxhash64("text"))
+    cut = maybe_wanted(docs.sparkSession, key_map(runs, r_id, r_key))
+    keyed = docs.withColumn(n_id, F.col("doc_id").cast("long")).withColumn(n_key, F.xxhash64("text"))
     keyed = keyed.withColumn(n_cut, cut(spot(n_id, n_key)))
     others = [c for c in docs.columns if c != "text"]
     text = F.col("text").cast("string").alias("text")
-    whole = keyed.filter(F.col(n_cut)).join(runs.hint("shuffle_hash"), [n_id, n_key], "left").select(*others, text, n_runs)
+    whole = keyed.filter(F.col(n_cut)).join(runs.hint("shuffle_hash"), F.col(n_id).eqNullSafe(F.col(r_id)) & (F.col(n_key) == F.col(r_key)), "left").select(*others, text, n_runs)
     rest = keyed.filter(~F.col(n_cut)).select(*docs.columns).withColumn("text", text).withColumn("removed_words", F.lit(0).cast("long")).withColumn("n_runs", F.lit(0).cast("long"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return whole.mapInArrow(_cut({"text": "text", "runs": n_runs}), f"{kinds}, text string, removed_words long, n_runs long").select(*docs.columns, "removed_words", "n_runs").unionByName(rest)

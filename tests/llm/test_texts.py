@@ -108,6 +108,16 @@ def test_passage_inside_a_line_and_repeated_rows(spark):
     assert sorted(x.text for x in out) == sorted([rows[0][1], "Other head. Tail stays.", "Other head. Tail stays.", "x"])
 
 
+def test_a_null_id_is_no_other_id(spark):
+    """The first copy stays whatever ids the copies have."""
+    t = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, t), (-1, t), (5, t), (-7, "x " + t)]
+    out = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert out == {None: t, -1: "", 5: "", -7: "x"}
+    out = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows[1:3], "doc_id long, text string")).collect()}
+    assert out == {-1: t, 5: ""}
+
+
 def window_brute(rows, least):
     """Words in windows of `least` words that stood earlier; of a window that overlaps its first copy, those after the copy."""
     first, out = {}, {}
