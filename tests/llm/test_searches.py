@@ -1,6 +1,9 @@
 """Top-k, license scans and decontamination: SQL, brute force and edge rows."""
 
+import math
+
 import compare
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,13 +26,47 @@ def test_top_k_edges(spark):
     assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 3, 32768), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
     repeated = topk.quantised(spark.createDataFrame([(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 2.0]), (7, [2.0, 1.0]), (9, [0.5, 0.5]), (9, [0.5, 0.5]), (11, [3e38, 1.0])], "vec_id long, embedding array<float>"))
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(repeated, repeated.filter("vec_id % 50 = 0"), 3).collect())
-    # each of the three query rows has its own results, in which the other rows of its id may stand
-    same = [(50, 1, 7, 131072), (50, 2, 50, 65536), (50, 3, 9, 32768)]
-    assert got == sorted([*same, *same, (50, 1, 7, 131072), (50, 2, 9, 65536), (50, 3, 9, 65536)])
+    # each of the three query rows has its own results, in which the other rows of its id may stand; 3e38 takes part, beyond a long
+    most = 2**63 - 1
+    same = [(50, 1, 11, most), (50, 2, 7, 131072), (50, 3, 50, 65536)]
+    assert got == sorted([*same, *same, (50, 1, 7, 131072), (50, 2, 11, 131072), (50, 3, 9, 65536)])
     empty = topk.quantised(df.limit(0))
     assert topk.top_k(empty, empty).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    """Finite components of any size take part, ranked by exact products."""
+    r = np.random.default_rng(3)
+    made = np.concatenate([r.normal(0, s, (60, 6)) for s in (1, 1e3, 6e5, 1e9, 1e17, 1e30)]).astype(np.float32)
+    r.shuffle(made)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(made)] + [(50, [600000.0] * 6), (51, [-3e38] * 6), (52, [3e38] * 6), (53, [3.1e38] * 6)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(v, v.filter("vec_id % 50 = 0"), 5).collect())
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e in rows]
+    want = []
+    for at, (q, e) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), i) for k, (i, f) in enumerate(whole) if k != at)[:5]
+            want += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_pivots_leave_clusters_out():
+    """On clustered vectors most candidates of other clusters are left without an evaluation, and results stay exact."""
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 1, (40, 16))
+    x = np.floor(256 * (np.repeat(centres, 100, axis=0) + r.normal(0, 0.05, (4000, 16))))
+    r.shuffle(x)
+    ids, q = np.arange(4000), x[::50]
+    pivots = topk.choose_pivots(x[:2000], topk.PIVOTS)
+    least = topk.thresholds(q, x[:2000], 6)
+    at, hit, score, evaluated = topk.search_block(q, topk.distances(q, pivots), ids, x, topk.distances(x, pivots), 6, least)
+    assert evaluated < 0.5 * len(q) * len(x)
+    products = (q @ x.T).astype(np.int64)
+    for i in range(len(q)):
+        assert [s for a, s in zip(at, score, strict=True) if a == i] == sorted(products[i].tolist(), reverse=True)[:6]
+
+
 def test_licenses(spark):
     rows = [
         (1, "Under the MIT license, Under-The mit LICENSE"),
