@@ -20,6 +20,13 @@ def scratch_folder(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, tag: str) -> DataFrame:
+    """rows as a table in the scratch folder: what is used often is computed once, and lost executors cost no earlier step."""
+    path = scratch_folder(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_parquet(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     writer = rows.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
