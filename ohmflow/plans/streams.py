@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ohmflow.operators.features import seconds
 from ohmflow.plans.registry import query
 from ohmflow.sources import sinks
-from ohmflow.streaming import causal
+from ohmflow.streaming import causal, history
 
 EVENTS = "e AS (SELECT user_id // 10 AS building_id, event_type AS meter, date_trunc('hour', ts) AS timestamp, value AS meter_reading FROM events)"
 
@@ -27,7 +27,8 @@ def zoneless(instant: str) -> Column:
 
 
 def finished(rows: DataFrame, tag: str, *times: str) -> DataFrame:
-    done = causal.run_to_files(rows, sinks.scratch_folder(rows.sparkSession, tag))
+    with history.rocks_state(rows.sparkSession):
+        done = causal.run_to_files(rows, sinks.scratch_folder(rows.sparkSession, tag))
     return done.withColumns({t: zoneless(t) for t in times})
 
 
@@ -58,3 +59,14 @@ def streamed_segments(spark, sf):
 SELECT * FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(timestamp) - INTERVAL 1 DAY FROM e WHERE meter_reading IS NOT NULL)""")
 def streamed_completeness(spark, sf):
     return finished(causal.daily_completeness(readings(spark, sf)), "days", "day")
+
+
+SHIFTED = ", ".join(f"round(n.meter_reading - b{n}.high + 1e-9, 6) AS lag_value_diff_{n}, round((n.meter_reading + 1) / nullif(b{n}.high + 1, 0) + 1e-9, 6) AS lag_value_ratio_{n}" for n in history.CAUSAL_SHIFTS)
+JOINED = " ".join(f"LEFT JOIN h b{n} ON b{n}.building_id = n.building_id AND b{n}.meter = n.meter AND b{n}.timestamp = n.timestamp - INTERVAL {n} HOUR" for n in history.CAUSAL_SHIFTS)
+
+
+@query(f"""WITH {EVENTS}, m AS (SELECT max(timestamp) - INTERVAL 2 HOUR AS mark FROM e), h AS (SELECT building_id, meter, timestamp, max(meter_reading) AS high FROM e GROUP BY ALL)
+SELECT n.building_id, n.meter, n.timestamp, n.meter_reading, {SHIFTED} FROM m, e n {JOINED} WHERE n.timestamp <= mark""")
+def streamed_causal_features(spark, sf):
+    """The whole causal set of a series in one stream."""
+    return finished(history.causal_features(readings(spark, sf), digits=6), "causal", "timestamp")
