@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ohmflow.operators.scan import prefix_sums
+
 HOUR = 3600
 #: Added before rounding, so that exact halves round up in any engine.
 TIE = 1e-9
-#: Ranges of values whose rows are counted before ungrouped quantiles are ranked.
-CELLS = 4096
 
 
 def seconds(ts: str) -> Column:
@@ -31,31 +31,11 @@ def shifted(regime: str, n: int, value: str, ts: str, keys: list[str], meter: st
 
 
 def quantiles(rows: DataFrame, groups: list[str], value: str, points: list[float], name: str = "q") -> DataFrame:
-    """groups and an array of exact quantiles, interpolated between neighbours; nulls skipped. Values are counted first and ranked by
-    running counts, which spill, so no task holds a group's values. Without groups, values are dealt to CELLS ranges whose totals are
-    added up first, and only the ranges that hold a quantile are ranked."""
-    known = rows.filter(F.col(value).isNotNull())
-    if groups:
-        counts = known.groupBy(*groups, value).agg(F.count("*").alias("_n"))
-        part, before, total = Window.partitionBy(*groups), F.lit(0), F.sum("_n").over(Window.partitionBy(*groups))
-    else:
-        ends = known.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).first()
-        width = ((ends["hi"] or 0.0) - (ends["lo"] or 0.0)) or 1.0
-        cell = F.floor((F.col(value) - F.lit(ends["lo"] or 0.0)) / width * CELLS).cast("int")
-        sums = sorted((r["_c"], r["n"]) for r in known.groupBy(cell.alias("_c")).agg(F.count("*").alias("n")).collect())
-        n, shifts, wanted, upto = sum(c for _, c in sums), {}, set(), 0
-        ranks = {min(n - 1, k) for p in points for k in (int(p * (n - 1)), int(p * (n - 1)) + 1)}
-        for c, size in sums:
-            shifts[c] = upto
-            if any(upto <= k < upto + size for k in ranks):
-                wanted.add(c)
-            upto += size
-        chosen = sorted(wanted) or [0]
-        counts = known.withColumn("_c", cell).filter(F.col("_c").isin(chosen)).groupBy("_c", value).agg(F.count("*").alias("_n"))
-        before = F.element_at(F.create_map(*[F.lit(x) for c in chosen for x in (c, shifts.get(c, 0))]), F.col("_c"))
-        part, total = Window.partitionBy("_c"), F.lit(n)
-    upto = before + F.sum("_n").over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select(*groups, F.col(value).alias("_v"), upto.alias("_upto"), total.alias("_total"))
+    """groups and an array of exact quantiles, interpolated between neighbours; nulls skipped. Values are counted first and dealt to ranges of
+    equal counts, so that neither a large group nor an odd value is one task's work."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    scanned = prefix_sums(counts, groups, value, {"c": "_n"})
+    ranked = scanned.select(*groups, F.col(value).alias("_v"), (F.col("c_before") + F.col("_n")).alias("_upto"), F.col("c_total").alias("_total"))
     out = []
     for p in points:
         at = F.floor(F.lit(p) * (F.col("_total") - 1))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmflow.operators.features import quantiles
+from ohmflow.operators.scan import prefix_sums
 
 #: Margins are told apart down to this difference, and so many are counted at once in the search for one.
 MARGIN_STEP = 1e-9
@@ -17,45 +18,22 @@ CUTS = 24
 
 
 def score_counts(rows: DataFrame, groups: list[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
-    """groups, score, pos, neg: the reduction that all metrics start from. weight: rows count so many times."""
+    """groups, score, pos, neg: the reduction that all metrics start from. weight: rows count so many times. Rows without a score (null or
+    NaN) or without a label are not scored, so they count in no metric; coverage is counted apart."""
     w = F.col(weight) if weight else F.lit(1).cast("long")
-    return rows.groupBy(*groups, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("neg"))
-
-
-def _down(groups: list[str]) -> tuple:
-    order = Window.partitionBy(*groups).orderBy(F.desc("score"))
-    return order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups)
+    kind = dict(rows.dtypes)[score]
+    known = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull() & (~F.isnan(score) if kind in ("double", "float") else F.lit(True)))
+    return known.groupBy(*groups, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("neg"))
 
 
 def curve(rows: DataFrame, groups: list[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
-    """groups, score, pos, neg, tp, fp, tp_before, fp_before, n_pos, n_neg: cumulative counts at each distinct score, from the highest."""
-    upto, before, whole = _down(groups)
-    counts = score_counts(rows, groups, score, label, weight)
-    if not groups:  # a window needs a partition; the distinct scores are split by value range first
-        return _global_curve(counts)
-    return counts.select(
-        "*",
-        F.sum("pos").over(upto).alias("tp"),
-        F.sum("neg").over(upto).alias("fp"),
-        F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("tp_before"),
-        F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("fp_before"),
-        F.sum("pos").over(whole).alias("n_pos"),
-        F.sum("neg").over(whole).alias("n_neg"),
-    )
-
-
-def _global_curve(counts: DataFrame, cells: int = 1024) -> DataFrame:
-    """The ungrouped curve: scores are dealt by value range to cells, cells are ranked on their totals, and each cell's
-    windows start from the totals above it, so no task holds all scores."""
-    ends = counts.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    dealt = counts.join(F.broadcast(ends)).withColumn("cell", F.coalesce(F.floor((F.col("score") - F.col("lo")) / width * cells), F.lit(0)).cast("long")).drop("lo", "hi")
-    sums = dealt.groupBy("cell").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = sums.alias("x").join(sums.alias("y"), F.col("y.cell") > F.col("x.cell"), "left").groupBy(F.col("x.cell").alias("cell")).agg(F.coalesce(F.sum("y.p"), F.lit(0)).alias("p_above"), F.coalesce(F.sum("y.n"), F.lit(0)).alias("n_above"))
-    order = Window.partitionBy("cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    joined = dealt.join(F.broadcast(above), "cell")
-    tp, fp = F.col("p_above") + F.sum("pos").over(order), F.col("n_above") + F.sum("neg").over(order)
-    return joined.select("score", "pos", "neg", tp.alias("tp"), fp.alias("fp"), (tp - F.col("pos")).alias("tp_before"), (fp - F.col("neg")).alias("fp_before"), "n_pos", "n_neg")
+    """groups, score, pos, neg, tp, fp, tp_before, fp_before, n_pos, n_neg: cumulative counts at each distinct score, from the highest, the i-th of n.
+    Distinct scores are dealt to ranges of equal counts, so that neither a large group nor an odd score is one task's work."""
+    found = prefix_sums(score_counts(rows, groups, score, label, weight), groups, "score", {"pos": "pos", "neg": "neg", "i": F.lit(1).cast("long")}, descending=True)
+    return found.select(
+        *groups, "score", "pos", "neg", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp"), F.col("pos_before").alias("tp_before"), F.col("neg_before").alias("fp_before"),
+        F.col("pos_total").alias("n_pos"), F.col("neg_total").alias("n_neg"), F.col("i_before").alias("i"), F.col("i_total").alias("n"),
+    )
 
 
 def auc_expr() -> Column:
@@ -115,8 +93,6 @@ def best_f1_threshold(rows: DataFrame, groups: list[str], score: str = "score",
 def curve_points(rows: DataFrame, groups: list[str], max_points: int, score: str = "score", label: str = "y", digits: int = 6) -> DataFrame:
     """groups, point, score, fpr, tpr, precision: ROC and PR points, thinned to at most max_points evenly spaced ones."""
     points = curve(rows, groups, score, label)
-    order, whole = Window.partitionBy(*groups).orderBy(F.desc("score")), Window.partitionBy(*groups)
-    points = points.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(whole))
     return thin(points, max_points).select(
         *groups, F.col("i").alias("point"), "score", F.round(F.try_divide(F.col("fp").cast("double"), F.col("n_neg")), digits).alias("fpr"), F.round(F.try_divide(F.col("tp").cast("double"), F.col("n_pos")), digits).alias("tpr"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")).cast("double"), digits).alias("precision")
     )
@@ -139,8 +115,7 @@ def pairwise_auc(rows: DataFrame, group: str, score: str = "score", label: str =
     # every distinct score of the table for every negative group, so that a join by equality finds the counts below
     grid = scores.join(F.broadcast(negatives.select(F.col(group).alias("neg_group"), "n_neg")))
     own = counts.select(F.col(group).alias("neg_group"), "score", "neg")
-    below = Window.partitionBy("neg_group").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ladder = grid.join(own, ["neg_group", "score"], "left").withColumn("neg", F.coalesce("neg", F.lit(0))).withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    ladder = prefix_sums(grid.join(own, ["neg_group", "score"], "left").withColumn("neg", F.coalesce("neg", F.lit(0))), ["neg_group"], "score", {"neg": "neg"}).withColumnRenamed("neg_before", "below")
     pos = counts.filter("pos > 0").select(F.col(group).alias("pos_group"), "score", "pos")
     won = pos.join(ladder, "score").groupBy("pos_group", "neg_group").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / F.lit(2.0))).alias("won"), (F.sum("pos") * F.max("n_neg")).alias("n_pairs"))
     return won.select("pos_group", "neg_group", "n_pairs", F.round(F.col("won") / F.col("n_pairs"), digits).alias("auc"), F.when(F.col("pos_group") == F.col("neg_group"), "within").otherwise("cross").alias("relation"))
@@ -156,9 +131,8 @@ def auc_decomposition(pairs: DataFrame, digits: int = 6) -> DataFrame:
 def average_ranks(rows: DataFrame, groups: list[str], value: str, name: str = "percentile") -> DataFrame:
     """rows and their average-rank percentile within groups: ranks are made on distinct values and joined back by value."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    ranks = counts.select(*groups, value, ((F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / F.lit(2.0)) / F.sum("_n").over(whole)).alias(name))
+    scanned = prefix_sums(counts, groups, value, {"c": "_n"})
+    ranks = scanned.select(*groups, value, ((F.col("c_before") + (F.col("_n") + 1) / F.lit(2.0)) / F.col("c_total")).alias(name))
     return rows.join(ranks, [*groups, value], "left")
 
 
@@ -301,8 +275,9 @@ def _pairs_up_to(counts: DataFrame, cuts: list[int]) -> list[tuple[int, int]]:
     cut = F.explode(F.array(*[F.lit(c) for c in cuts])).alias("cut")
     moved = counts.filter("pos > 0").select(cut, "score", "pos").select("cut", (F.col("score") - F.col("cut")).alias("at"), F.col("pos").alias("n"), F.lit(1).alias("side"))
     still = counts.filter("neg > 0").select(cut, F.col("score").alias("at"), F.col("neg").alias("n"), F.lit(0).alias("side"))
-    down = Window.partitionBy("cut").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0)
-    above = moved.union(still).withColumn("above", F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).over(down))
+    # from the highest, negatives before positives at the same place
+    placed = moved.union(still).withColumn("place", F.col("at") * 2 - F.col("side"))
+    above = prefix_sums(placed, ["cut"], "place", {"above": F.when(F.col("side") == 0, F.col("n")).otherwise(0)}, descending=True).withColumnRenamed("above_before", "above")
     pairs = above.filter("side = 1").groupBy("cut").agg(F.sum(F.col("n").cast("decimal(19,0)") * F.col("above").cast("decimal(19,0)")).alias("pairs"))
     return [(r["cut"], int(r["pairs"])) for r in pairs.collect()]
 

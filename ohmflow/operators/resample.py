@@ -7,10 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmflow.operators import metrics
+from ohmflow.operators.scan import prefix_sums
 
 #: Two-sided 95 % points of Student's t by degrees of freedom.
 T_95 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.045230, 2.042272)
 
+#: Fixed value: the normal one.
+Z_95 = 1.959963984540054
+
 
 def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) from md5: the same in any engine."""
@@ -107,9 +111,13 @@ def paired_row_bootstrap(rows: DataFrame, key: str, a: str, b: str, draws: int,
 
 
 def half_width(records: DataFrame, groups: list[str], value: str, limit: float, digits: int = 6) -> DataFrame:
-    """groups, n, mean, half_width (95 %, Student's t), precise: whether it is within the limit."""
+    """groups, n, mean, half_width (95 %, Student's t), precise: whether it is within the limit. Beyond the table's degrees of freedom the
+    normal point is expanded in their inverse, which is right to a millionth there."""
     n = F.count(value)
-    t = F.element_at(F.array(*[F.lit(x) for x in T_95]), F.greatest(F.lit(1), F.least(n - 1, F.lit(len(T_95)))).cast("int"))
+    listed = F.element_at(F.array(*[F.lit(x) for x in T_95]), F.greatest(F.lit(1), F.least(n - 1, F.lit(len(T_95)))).cast("int"))
+    z, v = Z_95, (n - 1).cast("double")
+    expanded = F.lit(z) + (z**3 + z) / 4 / v + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / (v * v) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / (v * v * v)
+    t = F.when(n - 1 <= len(T_95), listed).otherwise(expanded)
     width = F.when(n > 1, F.stddev_samp(value) / F.sqrt(n) * t)
     return records.groupBy(*groups).agg(n.alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(width, digits).alias("half_width"), F.coalesce(width <= limit, F.lit(False)).alias("precise"))
 
@@ -127,8 +135,10 @@ def permuted(rows: DataFrame, column: str, key: str, repeats: int, groups: list[
     """repeat and rows, the column's values dealt anew within groups: pairing ranks by key with ranks by a hash of key and repeat."""
     many = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     part = ["repeat", *groups]
-    own = many.withColumn("_i", F.row_number().over(Window.partitionBy(*part).orderBy(key)))
-    other = many.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(key).cast("string")))).withColumn("_i", F.row_number().over(Window.partitionBy(*part).orderBy("_h", key))).select(*part, "_i", F.col(column).alias("_v"))
+    one = {"_i": F.lit(1).cast("long")}
+    own = prefix_sums(many, part, key, one).withColumnRenamed("_i_before", "_i").drop("_i_total")
+    hashed = many.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(key).cast("string"))))
+    other = prefix_sums(hashed, part, "_h", one).select(*part, F.col("_i_before").alias("_i"), F.col(column).alias("_v"))
     return own.join(other, [*part, "_i"]).withColumn(column, F.col("_v")).drop("_i", "_v")
 
 

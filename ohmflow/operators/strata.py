@@ -167,12 +167,12 @@ def new_year_report(rows: DataFrame, label: str = "anomaly", ts: str = "timestam
 def routed_metrics(rows: DataFrame, group: str, own: str, fallback: str, calibration: str, label: str = "y") -> DataFrame:
     """roc_auc, pr_auc (pooled), macro_auc (mean over groups with both classes), coverage (rows with a score of their own), scored (any),
     threshold (best F1 on the calibration rows), f1 at it on the others. calibration is a boolean column."""
-    routed = rows.withColumn("_s", F.coalesce(own, fallback)).withColumn("_g", F.lit(0))
+    routed = rows.withColumn("_s", F.coalesce(own, fallback))
     test, some = routed.filter(~F.col(calibration)), F.col("_s").isNotNull()
     pooled = metrics.roc_pr(test.filter(some), [], "_s", label)
     macro = metrics.roc_pr(test.filter(some), [group], "_s", label).agg(_r(F.avg("roc_auc"), "macro_auc"))
     shares = test.agg(_r(_part(F.count(own), F.count("*")), "coverage"), _r(_part(F.count("_s"), F.count("*")), "scored"))
-    cut = metrics.best_f1_threshold(routed.filter(F.col(calibration) & some), ["_g"], "_s", label).select("threshold")
+    cut = metrics.best_f1_threshold(routed.filter(F.col(calibration) & some), [], "_s", label).select("threshold")
     hit = F.col("_s") >= F.col("threshold")
     f1 = test.filter(some).join(F.broadcast(cut)).agg(_r(F.coalesce(_part(2 * F.count_if(hit & (F.col(label) == 1)), F.count_if(hit) + F.count_if(F.col(label) == 1)), F.lit(0.0)), "f1"), F.max("threshold").alias("threshold"))
     return pooled.select("roc_auc", "pr_auc").join(macro).join(shares).join(f1)
@@ -187,8 +187,8 @@ def budget_table(records: DataFrame, keys: list[str], model: str, models: list[s
 def endpoint_panel(rows: DataFrame, group: str, a: str, b: str, score: str = "score", label: str = "y") -> DataFrame:
     """endpoint, value: areas of positives of one group against negatives of either, the mean margin, and mean percentile ranks (within both
     groups together) of the four parts."""
-    some = rows.filter(F.col(group).isin(a, b)).withColumn("_g", F.lit(0))
+    some = rows.filter(F.col(group).isin(a, b))
     areas = metrics.pairwise_auc(some, group, score, label).select(F.concat_ws("_", F.lit("auc"), "pos_group", "neg_group").alias("endpoint"), F.col("auc").alias("value"))
-    ranks = metrics.average_ranks(some, ["_g"], score, "_p").groupBy(group, label).agg(F.round(F.avg("_p"), 6).alias("value")).select(F.concat_ws("_", F.lit("rank"), group, F.when(F.col(label) == 1, "pos").otherwise("neg")).alias("endpoint"), "value")
+    ranks = metrics.average_ranks(some, [], score, "_p").groupBy(group, label).agg(F.round(F.avg("_p"), 6).alias("value")).select(F.concat_ws("_", F.lit("rank"), group, F.when(F.col(label) == 1, "pos").otherwise("neg")).alias("endpoint"), "value")
     margin = some.groupBy(group).agg(F.round(F.avg(F.when(F.col(label) == 1, F.col(score))) - F.avg(F.when(F.col(label) == 0, F.col(score))), 6).alias("value")).select(F.concat_ws("_", F.lit("margin"), group).alias("endpoint"), "value")
     return areas.unionByName(ranks).unionByName(margin)

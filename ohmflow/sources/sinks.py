@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,14 +55,10 @@ def pending(units: DataFrame, done: DataFrame, digest: str = "digest", key: str
 
 
 def ranked(rows: DataFrame, key: str) -> DataFrame:
-    """rows and rank from 0 in key order. Key ranges are counted first, so each is ranked on its own."""
-    cells = 256
-    ends = rows.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    dealt = rows.join(F.broadcast(ends)).withColumn("_cell", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")).cast("double") * cells)).otherwise(F.lit(0)).cast("long"))
-    sums = dealt.groupBy("_cell").agg(F.count("*").alias("_c"))
-    before = sums.alias("x").join(sums.alias("y"), F.col("y._cell") < F.col("x._cell"), "left").groupBy(F.col("x._cell").alias("_cell")).agg(F.coalesce(F.sum("y._c"), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(key)) + F.col("_before")
-    return dealt.join(F.broadcast(before), "_cell").withColumn("rank", rank - 1).select(*rows.columns, "rank")
+    """rows and rank from 0 in key order, by ranges of equal counts."""
+    from ohmflow.operators.scan import prefix_sums
+
+    return prefix_sums(rows, [], key, {"rank": F.lit(1).cast("long")}).withColumn("rank", F.col("rank_before")).select(*rows.columns, "rank")
 
 
 def spans(rows: DataFrame, key: str, size: int) -> DataFrame:
