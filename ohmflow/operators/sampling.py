@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmflow.functions.scalar import priority
+from ohmflow.functions.stable import stable_priority, unsigned_order
 from ohmflow.operators.features import quantiles
+from ohmflow.operators.scan import prefix_sums
 
 
 #: A sample up to this size is a distributed limit; of a larger one only the last rows are.
@@ -51,6 +53,12 @@ def per_group(rows: DataFrame, groups: list[str], n: int, key: str, seed: int =
     return ranked(rows, groups, key, seed).filter(F.col("rank") < n).drop("rank")
 
 
+def stable_sample(rows: DataFrame, groups: list[str], key: str, n: int, seed: int, step: bool = True) -> DataFrame:
+    """At most n rows of each group, of least unsigned 64-bit priority; groups of any size are ranked by ranges."""
+    placed = rows.withColumn("_p", unsigned_order(stable_priority(seed, F.col(key), step)))
+    return prefix_sums(placed, groups, "_p", {"_i": F.lit(1)}).filter(F.col("_i_before") < n).select(*rows.columns)
+
+
 def downsample(rows: DataFrame, key: str, label: str = "anomaly", seed: int = 10) -> DataFrame:
     """Two draws of as many negatives as there are positives, each with all positives: copy_id tells the draws."""
     pos = rows.filter(F.col(label) == 1)

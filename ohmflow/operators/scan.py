@@ -18,17 +18,17 @@ def prefix_sums(rows: DataFrame, groups: list[str], value: str, sums: dict[str,
     group). Rows of a group have values of their own; nulls come first, or last if descending."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = rows.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(f"_{n}") for n, c in sums.items()])
+    named = rows.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(f"__{n}") for n, c in sums.items()])
     order = F.col(value).desc() if descending else F.col(value).asc()
     dealt = stored(named.repartitionByRange(parts, *[F.col(g) for g in groups], order).withColumn("_part", F.spark_partition_id()), "ranges")
-    parted = dealt.groupBy(*groups, "_part").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
-    pieces = parted.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("_part", *[f"_{n}" for n in sums]))).alias("_pieces"))
+    parted = dealt.groupBy(*groups, "_part").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in sums])
+    pieces = parted.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("_part", *[f"__{n}" for n in sums]))).alias("_pieces"))
     # groups of one range are left out: at most two rows for each range stay
     pieces = pieces.filter(F.size("_pieces") > 1)
-    upto = lambda n: F.aggregate("_own", F.lit(0).cast(parted.schema[f"_{n}"].dataType), lambda s, p: s + F.coalesce(p[f"_{n}"], F.lit(0)))
+    upto = lambda n: F.aggregate("_own", F.lit(0).cast(parted.schema[f"__{n}"].dataType), lambda s, p: s + F.coalesce(p[f"__{n}"], F.lit(0)))
     long = pieces.select(*groups, "_pieces", F.explode(F.sequence(F.lit(1), F.size("_pieces"))).alias("_i"))
-    before = long.withColumn("_own", F.slice("_pieces", F.lit(1), F.col("_i") - 1)).select(*groups, F.element_at("_pieces", F.col("_i"))["_part"].alias("_at"), "_pieces", *[upto(n).alias(f"_{n}_carried") for n in sums])
-    whole = before.withColumn("_own", F.col("_pieces")).select(*[F.col(g).alias(f"_of_{g}") for g in groups], "_at", *[f"_{n}_carried" for n in sums], *[upto(n).alias(f"_{n}_whole") for n in sums])
+    before = long.withColumn("_own", F.slice("_pieces", F.lit(1), F.col("_i") - 1)).select(*groups, F.element_at("_pieces", F.col("_i"))["_part"].alias("_at"), "_pieces", *[upto(n).alias(f"__{n}_carried") for n in sums])
+    whole = before.withColumn("_own", F.col("_pieces")).select(*[F.col(g).alias(f"_of_{g}") for g in groups], "_at", *[f"__{n}_carried" for n in sums], *[upto(n).alias(f"__{n}_whole") for n in sums])
     on = F.col("_part") == F.col("_at")
     for g in groups:
         on = on & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
@@ -38,6 +38,6 @@ def prefix_sums(rows: DataFrame, groups: list[str], value: str, sums: dict[str,
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = []
     for n in sums:
-        out.append((zero(F.col(f"_{n}_carried")) + zero(F.sum(f"_{n}").over(earlier))).alias(f"{n}_before"))
-        out.append(zero(F.coalesce(F.col(f"_{n}_whole"), F.sum(f"_{n}").over(part))).alias(f"{n}_total"))
+        out.append((zero(F.col(f"__{n}_carried")) + zero(F.sum(f"__{n}").over(earlier))).alias(f"{n}_before"))
+        out.append(zero(F.coalesce(F.col(f"__{n}_whole"), F.sum(f"__{n}").over(part))).alias(f"{n}_total"))
     return met.select(*rows.columns, *out)
