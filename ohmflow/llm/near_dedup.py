@@ -6,9 +6,11 @@ candidates go before their full sets are fetched; every remaining candidate is c
 
 Groups are never expanded into all pairs. Equal sets become one class first. In a band's bucket every class is compared
 with one centre, the class that shares the most with others (linear in the bucket), and links are joined into components.
-After a few rounds, in which only buckets of several components get another centre, what is left of such a bucket is exact:
-the classes outside its largest component are a query set that meets the bucket's classes in blocks of BLOCK_ROWS, and only
-pairs of different components with alike sizes, sketches and parities come out, so no link is lost to the centres.
+After a few rounds, in which only buckets of several components get another centre, what is left is exact: the classes of
+such buckets are dealt by the shingles of their prefixes, the rarest fifth and one (a pair of similarity 0.8 shares one of
+these), so that classes that have only common text in common do not meet. Of the classes that share such a shingle those
+outside its largest component meet the others in blocks of BLOCK_ROWS, and only pairs of different components with alike
+sizes, sketches and parities come out, so no link is lost to the centres.
 
 Defined results: null or empty texts, and texts of white space, have no shingles and are linked with nothing; rows with a
 null doc_id are returned with null component_id and kept = true; rows that share a doc_id count as one document; equal
@@ -34,6 +36,8 @@ PARITY_WORDS = 32
 SLACK = 0.2
 #: Rounds in which the classes that the first centres leave apart meet other centres of their buckets.
 ROUNDS = 1
+#: Cells in which shingles are counted to tell rare ones. Only speed depends on them: any order of shingles gives the same pairs.
+CELLS = 1 << 18
 #: Classes of a bucket that one block holds in the comparison of components.
 BLOCK_ROWS = 256
 
@@ -115,22 +119,76 @@ def _features(size: int):
     return run
 
 
+def _wanted_sets(batches, size: int, bitmap: np.ndarray):
+    """Of ranges of the documents on the map: their ids, their sets' members in one array, and each set's bounds."""
+    for batch in batches:
+        batch = batch.filter(pa.array(on_map(bitmap, batch.column("spot").to_numpy())))
+        raw, offsets = text_buffers(batch.column("text"))
+        ids = batch.column("doc_id")
+        for lo, hi in row_chunks(offsets):
+            words, starts = hash_words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            values, rows = _row_sets(*hash_shingles(words, starts, size))
+            yield ids.slice(lo, hi - lo), values, rows
+
+
 def _sets(size: int, shared):
+    """Full sets of the documents whose id is on the map."""
+
     def run(batches):
-        bitmap = shared.value
-        for batch in batches:
-            batch = batch.filter(pa.array(on_map(bitmap, batch.column("spot").to_numpy())))
-            raw, offsets = text_buffers(batch.column("text"))
-            ids = batch.column("doc_id")
-            for lo, hi in row_chunks(offsets):
-                words, starts = hash_words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                values, rows = _row_sets(*hash_shingles(words, starts, size))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(values.view(np.int64)))], names=["doc_id", "members"])
+        for ids, values, rows in _wanted_sets(batches, size, shared.value):
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(values.view(np.int64)))], names=["doc_id", "members"])
+        give_back()
+
+    return run
+
+
+def _cells(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+
+
+def _counted(size: int, shared):
+    """(cell, n): how many of the wanted documents' shingles fall into each cell."""
+
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for _, values, _ in _wanted_sets(batches, size, shared.value):
+            total += np.bincount(_cells(values), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
         give_back()
 
     return run
 
 
+def _prefixes(size: int, percent: int, shared, counts):
+    """(doc_id, keys): of each wanted document the rarest shingles, as many as a similar set can't all lack."""
+
+    def run(batches):
+        often = counts.value
+        for ids, values, rows in _wanted_sets(batches, size, shared.value):
+            n = np.diff(rows)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((values, often[_cells(values)], row))
+            kept = np.arange(len(values)) - np.repeat(rows[:-1], n) < np.repeat(n - -(-n * percent // 100) + 1, n)
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(n)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order][kept].view(np.int64)))], names=["doc_id", "keys"])
+        give_back()
+
+    return run
+
+
+def _by_prefixes(docs: DataFrame, open_classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """class_id, component, bucket: the classes by the shingles of their prefixes."""
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(key_map(open_classes.select(F.col("class_id").alias("doc_id")), "doc_id"))
+    marked = docs.filter("doc_id is not null").select("doc_id", "text", spot("doc_id").alias("spot"))
+    cells = marked.mapInArrow(_counted(size, shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    prefixes = marked.mapInArrow(_prefixes(size, percent, shared, context.broadcast(counts)), "doc_id long, keys array<long>")
+    return prefixes.join(open_classes, F.col("doc_id") == F.col("class_id")).select("class_id", "component", F.explode("keys").alias("bucket")).distinct()
+
+
 def _most_apart(percent: int) -> int:
     """Bits in which the sketches of a pair of at least this similarity may differ."""
     samples, bits = BANDS * ROWS, 64 * SKETCH_WORDS
@@ -220,8 +278,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
         placed, mixed = _mixed(shared, found)
         drawn = placed.join(mixed, "bucket").groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "class_id").alias("h"), F.col("class_id").alias("centre"), F.col("component").alias("other"))).alias("c")).select("bucket", "c.centre", "c.other")
         links, found = _more(source, _near(ordered(placed.join(drawn, "bucket").filter("component <> other")), nodes, percent), links, found, shingle, percent, made)
-    # what is left: the classes outside a bucket's largest component against the bucket, in blocks
+    # what is left: classes of mixed buckets by rare shingles; those outside a shingle's largest component against the others, in blocks
     placed, mixed = _mixed(shared, found)
+    apart = materialize(placed.join(mixed, "bucket").select("class_id", "component").distinct(), "apart")
+    placed = materialize(_by_prefixes(source, apart, shingle, percent), "prefixes")
+    made += [apart, placed]
+    mixed = _several(placed)
     parts = placed.join(mixed, "bucket").groupBy("bucket", "component").agg(F.count("*").alias("c"))
     whole = parts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).select("bucket", "n", F.col("top.component").alias("main"), (F.col("n") - F.col("top.c")).alias("m"))
     members = materialize(placed.select("class_id", "bucket", "component").join(whole, "bucket").join(nodes, "class_id"), "open")
@@ -255,7 +317,12 @@ def _more(source: DataFrame, near: DataFrame, links: DataFrame, found: DataFrame
 def _mixed(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries with their component, and the buckets that hold several."""
     placed = shared.select("class_id", "bucket").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    return placed, placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    return placed, _several(placed)
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """The buckets that hold several components."""
+    return placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

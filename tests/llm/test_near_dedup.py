@@ -76,3 +76,39 @@ def test_long_paths_are_one_component(spark):
     found = common.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(found) == len(wanted) and {x.node: x.component for x in found} == wanted
     assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def boilerplate(n, seed=8):
+    """Documents of sixty common and thirty own words; of every tenth one there is a near copy under a far id."""
+    r = random.Random(seed)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        own = [f"o{r.randrange(10**7)}" for _ in range(30)]
+        rows.append((i, " ".join(common[:30] + own + common[30:])))
+        if i % 10 == 0:
+            own[r.randrange(30)] = "changed"
+            rows.append((10**6 + i, " ".join(common[:30] + own + common[30:])))
+    return rows
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_pairs_amid_common_text(spark, size):
+    """Links that no centre of a bucket finds, since all its classes share their header and footer."""
+    rows = boilerplate(150)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(df, size, 80).collect()}
+    assert got == brute(rows, size, 80)
+    assert sum(i != c for i, (_, c) in got.items()) == 15
+
+
+def test_common_text_makes_no_square(spark):
+    """Classes that share only their header and footer meet in no block."""
+    rows = boilerplate(3000)
+    source = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    alone = source.selectExpr("doc_id as class_id", "doc_id as component")
+    placed = near_dedup._by_prefixes(source, alone, 2, 80)
+    met = placed.join(near_dedup._several(placed), "bucket").groupBy("bucket").count()
+    assert met.agg({"count": "max"}).first()[0] < 20 and met.agg({"count": "sum"}).first()[0] < 20 * len(rows)
+    near = [{x.class_id for x in g} for g in [placed.filter("class_id in (0, 1000000)").join(placed.filter("class_id in (0, 1000000)").groupBy("bucket").count().filter("count = 2"), "bucket").collect()]]
+    assert near == [{0, 1000000}]
