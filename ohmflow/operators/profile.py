@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmflow.operators.features import quantiles, seconds
+from ohmflow.operators.scan import prefix_sums
 
 
 def _share(a: Column, b: Column, digits: int = 6) -> Column:
@@ -185,11 +186,11 @@ def duplicate_use(rows: DataFrame, key: str, digits: int = 6) -> DataFrame:
 
 
 def ks_distance(rows: DataFrame, side: str, value: str, groups: list[str], digits: int = 6) -> DataFrame:
-    """groups, n_a, n_b, ks: the largest gap between two samples' cumulative shares. side is 'a' or 'b'; ranks are over distinct values. groups must not be empty."""
+    """groups, n_a, n_b, ks: the largest gap between two samples' cumulative shares. side is 'a' or 'b'; running counts are over ranges of distinct values."""
     counts = rows.groupBy(*groups, value).agg(F.count_if(F.col(side) == "a").alias("a"), F.count_if(F.col(side) == "b").alias("b"))
-    order, whole = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*groups)
-    gap = F.abs(F.try_divide(F.sum("a").over(order).cast("double"), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(order).cast("double"), F.sum("b").over(whole)))
-    return counts.select("*", gap.alias("_gap")).groupBy(*groups).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.round(F.max("_gap"), digits).alias("ks"))
+    steps = prefix_sums(counts, groups, value, {"n_a": "a", "n_b": "b"})
+    share = lambda c: F.try_divide((F.col(f"n_{c}_before") + F.col(c)).cast("double"), F.col(f"n_{c}_total"))
+    return steps.withColumn("_gap", F.abs(share("a") - share("b"))).groupBy(*groups).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.round(F.max("_gap"), digits).alias("ks"))
 
 
 def psi(rows: DataFrame, side: str, value: str, bins: int = 10, floor: float = 1e-6, digits: int = 6) -> DataFrame:

@@ -195,16 +195,21 @@ def ablation_class(deltas: DataFrame, column: str = "delta", tolerance: float =
 # --- row identity ----------------------------------------------------------------------------------------------------
 
 
-def restrict(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows of the wanted keys; an absent key is refused."""
-    if not wanted.select(key).join(rows.select(key), key, "left_anti").isEmpty():
-        raise ValueError(f"a wanted {key} is absent")
-    return rows.join(wanted.select(key).distinct(), key, "left_semi")
-
-
-def lookup(wanted: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """wanted with columns of the raw rows, and found: false where the raw table lacks the key."""
-    return wanted.join(rows.select(key, *columns, F.lit(True).alias("found")), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+def restrict(rows: DataFrame, wanted: DataFrame, key: str | list[str]) -> DataFrame:
+    """The rows of the wanted keys (one column or several); an absent key is refused."""
+    keys = [key] if isinstance(key, str) else key
+    if not wanted.select(*keys).join(rows.select(*keys), keys, "left_anti").isEmpty():
+        raise ValueError(f"a wanted {', '.join(keys)} is absent")
+    return rows.join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
+def lookup(wanted: DataFrame, rows: DataFrame, key: str, columns: list[str], total: bool = False) -> DataFrame:
+    """wanted with columns of the raw rows, and found: false where the raw table lacks the key. total: a key that the raw table lacks, or has without a
+    value, is refused."""
+    met = wanted.join(rows.select(key, *columns, F.lit(True).alias("found")), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    if total and not met.filter(~F.col("found") | F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0)).cast("boolean")).isEmpty():
+        raise ValueError(f"a wanted {key} has no {', '.join(columns)}")
+    return met
 
 
 def whole_series(rows: DataFrame, wanted: DataFrame, key: str, series: list[str], build) -> DataFrame:

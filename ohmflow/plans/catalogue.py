@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ohmflow.plans import analytics, exact, features, files, strata, streams, tables, trees  # noqa: F401  they register their queries
+from ohmflow.plans import analytics, exact, features, files, reports, strata, streams, tables, trees  # noqa: F401  they register their queries
 from ohmflow.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "value_change_by_side"

@@ -100,6 +100,8 @@ def load_archive(spark: SparkSession, root: str, meters: list[str], variant: str
         long = part if long is None else long.unionByName(part)
     require_unique(long, ["building_id", "meter", "timestamp"], "archive")
     full = long.join(metadata, "building_id", "left")
+    if not full.select("site_id").filter("site_id is null").isEmpty():
+        raise ValueError("archive: a row has no site")
     return full if not with_weather else full.join(load_weather(spark, root), ["site_id", "timestamp"], "left")
 
 
