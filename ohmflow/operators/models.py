@@ -6,10 +6,10 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmflow.operators import metrics
+from ohmflow.operators import metrics, trees
 from ohmflow.operators.features import quantiles
 
 
@@ -44,13 +44,22 @@ def fit_members(train: DataFrame, columns: list[str], which: dict | None = None)
     return {name: estimator.fit(data) for name, estimator in (which or members()).items()}
 
 
-def score_members(rows: DataFrame, models: dict[str, object], columns: list[str], keep: list[str]) -> DataFrame:
-    """keep, one score column per member, and their equal-weight mean as ensemble."""
-    data = vectors(rows, columns)
+def score_members(rows: DataFrame, models: dict[str, object], columns: list[str], keep: list[str], others: dict[str, Column] | None = None) -> DataFrame:
+    """keep, one score column per member, and their equal-weight mean as ensemble. others: members that score as columns of rows."""
+    others = others or {}
+    data = vectors(rows.select("*", *[c.alias(n) for n, c in others.items()]), columns)
     for name, model in models.items():
         data = model.transform(data).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-    mean = sum((F.col(n) for n in models), F.lit(0.0)) / len(models)
-    return data.select(*keep, *models, mean.alias("ensemble"))
+    members = [*models, *others]
+    mean = sum((F.col(n) for n in members), F.lit(0.0)) / len(members)
+    return data.select(*keep, *members, mean.alias("ensemble"))
+
+
+def symmetric_member(train: DataFrame, columns: list[str], rounds: int = 6, depth: int = 3) -> Column:
+    """A boosted member of symmetric trees, fitted on these rows, as a score column: a member of its own kind beside the others."""
+    edges = trees.default_edges(train, columns)
+    found = trees.fit_units(train, [[]], columns, edges, rounds=rounds, depth=depth, symmetric=True).first()
+    return trees.symmetric_score(found.asDict(recursive=True), columns, edges, depth, 9) if found else F.lit(0.5)
 
 
 def fit_early_stopped(train: DataFrame, columns: list[str], stop: str, max_rounds: int = 20, seed: int = 7):

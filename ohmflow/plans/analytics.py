@@ -337,13 +337,14 @@ COLUMNS = ["reading", "score_a", "score_b"]
 
 @query()
 def ensemble_scores(spark, sf):
-    """Three tree models and their mean on held-out sites: step areas per model."""
+    """Four tree models (two boosted, a forest, symmetric boosted trees) and their mean on held-out sites: step areas per model."""
     rows = td.predictions(spark, sf)
     train = rows.filter("site_id % 2 = 0")
     scaler = models.fit_scaler(train, COLUMNS)
-    fitted = models.fit_members(models.scale(train, scaler), COLUMNS)
-    scored = models.score_members(models.scale(rows.filter("site_id % 2 = 1"), scaler), fitted, COLUMNS, ["raw_index", "y", "meter"])
-    return metrics.score_columns_metrics(scored, [*fitted, "ensemble"], [])
+    scaled = models.scale(train, scaler)
+    fitted, symmetric = models.fit_members(scaled, COLUMNS), {"symmetric": models.symmetric_member(scaled, COLUMNS)}
+    scored = models.score_members(models.scale(rows.filter("site_id % 2 = 1"), scaler), fitted, COLUMNS, ["raw_index", "y", "meter"], symmetric)
+    return metrics.score_columns_metrics(scored, [*fitted, *symmetric, "ensemble"], [])
 
 
 @query()
