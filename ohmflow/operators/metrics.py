@@ -29,7 +29,12 @@ def score_counts(rows: DataFrame, groups: list[str], score: str = "score", label
 def curve(rows: DataFrame, groups: list[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
     """groups, score, pos, neg, tp, fp, tp_before, fp_before, n_pos, n_neg: cumulative counts at each distinct score, from the highest, the i-th of n.
     Distinct scores are dealt to ranges of equal counts, so that neither a large group nor an odd score is one task's work."""
-    found = prefix_sums(score_counts(rows, groups, score, label, weight), groups, "score", {"pos": "pos", "neg": "neg", "i": F.lit(1).cast("long")}, descending=True)
+    return curve_of(score_counts(rows, groups, score, label, weight), groups)
+
+
+def curve_of(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """curve() of counts (groups, score, pos, neg) that are there."""
+    found = prefix_sums(counts, groups, "score", {"pos": "pos", "neg": "neg", "i": F.lit(1).cast("long")}, descending=True)
     return found.select(
         *groups, "score", "pos", "neg", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp"), F.col("pos_before").alias("tp_before"), F.col("neg_before").alias("fp_before"),
         F.col("pos_total").alias("n_pos"), F.col("neg_total").alias("n_neg"), F.col("i_before").alias("i"), F.col("i_total").alias("n"),

@@ -86,12 +86,11 @@ def leave_one_auc(rows: DataFrame, cluster: str, score: str = "score", label: st
     """cluster, without: the pooled area without each cluster, from pair counts: all pairs less those that the cluster is in."""
     counts = metrics.score_counts(rows, [cluster], score, label)
     pooled = counts.groupBy("score").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    lifted = metrics._global_curve(pooled.select("score", F.col("p").alias("pos"), F.col("n").alias("neg")))
+    lifted = metrics.curve_of(pooled.select("score", F.col("p").alias("pos"), F.col("n").alias("neg")), [])
     # a positive at a score wins over the negatives below it, a negative loses to the positives above it; ties are half
     ladder = lifted.select("score", (F.col("n_neg") - F.col("fp") + F.col("neg") / F.lit(2.0)).alias("wins"), (F.col("tp_before") + F.col("pos") / F.lit(2.0)).alias("losses"), "n_pos", "n_neg")
     total = lifted.agg(F.sum(F.col("pos") * (F.col("n_neg") - F.col("fp") + F.col("neg") / F.lit(2.0))).alias("won"))
-    own_order = Window.partitionBy(cluster).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    own = counts.withColumn("own_below", F.coalesce(F.sum("neg").over(own_order), F.lit(0)))
+    own = prefix_sums(counts, [cluster], "score", {"neg": "neg"}).withColumnRenamed("neg_before", "own_below")
     parts = own.join(ladder, "score").groupBy(cluster).agg(
         F.sum(F.col("pos") * F.col("wins")).alias("a"), F.sum(F.col("neg") * F.col("losses")).alias("b"), F.sum(F.col("pos") * (F.col("own_below") + F.col("neg") / F.lit(2.0))).alias("both"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("n_pos").alias("np"), F.max("n_neg").alias("nn")
     )
