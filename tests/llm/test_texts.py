@@ -439,7 +439,28 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
 
 
+def test_pipeline_edge_rows(spark):
+    """Nulls, empty, very long and repeated rows, clashing columns and empty tables, through all stages."""
+    import corpus_pipeline
+    from ohmflow.llm import common
+
+    t = " ".join(f"w{i}" for i in range(120))
+    rows = [(None, t), (-1, t), (5, t), (5, t), (6, None), (7, ""), (8, " \n "), (9, "short one"), (9, "short one"), (10, " ".join(f"x{i}" for i in range(30_000))), (11, "y" * 300_000), (None, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("run_id", F.lit(1)).withColumn("gone_id", F.lit("g")).withColumn("score", F.lit(0.5)).withColumn("removed_word", F.lit(2)).repartition(3)
+    for some in (docs, docs.limit(0)):
+        left = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = common.materialize(stage(spark, left, SF), name)
+            assert left.columns == some.columns
+        kept = sorted(((x.doc_id, x.text) for x in left.collect()), key=repr)
+        # of the equal texts the first stays; rows without words or text are no copies of one another
+        assert kept == (sorted([(None, t), (6, None), (7, ""), (8, " \n "), *[(9, "short one")] * 2, *rows[9:11], (None, None)], key=repr) if some is docs else [])
+        packed = corpus_pipeline.STAGES[-1][1](spark, left, SF)
+        assert packed.filter("length & (length - 1) <> 0").isEmpty() and (packed.count() > 0) == (some is docs)
+
+
 def test_registered_queries_have_unique_columns(spark):
     from ohmflow.llm import registry
 
-    assert len(registry.QUERIES) == 10 and set(registry.SQL) <= set(registry.QUERIES)
+    assert len(registry.QUERIES) == 13 and set(registry.SQL) <= set(registry.QUERIES)
