@@ -198,7 +198,10 @@ def training(pages: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(pages: DataFrame) -> Trees:
     """The model from a bounded sample of these pages: those of the lowest hashes of their markup, up to SAMPLE_BYTES each."""
-    sample = pages.select("html").filter(F.octet_length("html") <= SAMPLE_BYTES).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES)
+    some = pages.select("html", F.xxhash64("html").alias("_h")).filter(F.octet_length("html") <= SAMPLE_BYTES)
+    # first hashes alone, so that tasks send no pages that others' pages push out
+    least = [r["_h"] for r in some.select("_h").distinct().orderBy("_h").limit(SAMPLE_PAGES).collect()]
+    sample = some.filter(F.col("_h").isin(least)).groupBy("_h").agg(F.min("html").alias("html")).orderBy("_h")
     return Trees(*training([r.html for r in sample.collect()]))
 
 
