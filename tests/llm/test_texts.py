@@ -360,6 +360,68 @@ def test_a_quote_of_a_later_turn_of_another_conversation(spark):
     assert out == {(1, 0): (1, 0), (1, 1): (1, 1), (1, 5): (1, 2), (2, 0): (1, 3)}
 
 
+def test_a_quote_of_a_conversation_with_a_larger_id(spark, tmp_path):
+    import compare
+
+    # 2 quotes the only place of a sentence, in 7; 9 quotes it too; 3 says its quoted sentence itself, but later, and 8 has it too
+    rows = [(2, 0, "user", "first"), (2, 1, "user", "> The only place of this.\nyes"), (2, 2, "user", "third"), (7, 0, "user", "opening"), (7, 1, "user", "The only place of this."), (9, 0, "user", "> The only place of this."),
+            (3, 0, "user", "> Said in two places."), (3, 1, "user", "Said in two places."), (8, 4, "user", "Said in two places.")]
+    spark.createDataFrame(rows, ROWS).write.parquet(str(tmp_path / "conversations.parquet"))
+    out = {(x.conv_id, x.turn): x for x in quote_link.query(spark, str(tmp_path)).collect()}
+    assert [(out[k].reply_conv, out[k].reply_turn) for k in [(2, 1), (9, 0), (3, 0)]] == [(7, 1), (7, 1), (8, 4)]
+    assert [k for k, x in sorted(out.items(), key=lambda kx: kx[1].position) if x.thread_id == 2] == [(2, 0), (7, 0), (7, 1), (2, 1), (2, 2), (9, 0)]
+    con = compare.duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert compare.differences(spark, con, quote_link.query, quote_link.SQL, str(tmp_path)) == []
+
+
+def test_planted_quotes_under_shuffled_ids(spark, tmp_path):
+    import compare
+
+    rows = planted_quotes(5)
+    ids = list(range(60))
+    random.Random(1).shuffle(ids)
+    spark.createDataFrame([(ids[c], *rest) for c, *rest in (x[:4] for x in rows)], ROWS).write.parquet(str(tmp_path / "conversations.parquet"))
+    out = {(x.conv_id, x.turn): x for x in quote_link.query(spark, str(tmp_path)).collect()}
+    linked = [((ids[c], t), (ids[source[0]], source[1])) for c, t, _, _, source in rows if source]
+    later = [x for x in linked if x[1][0] > x[0][0]]
+    for some in (linked, later):
+        assert sum((out[m].reply_conv, out[m].reply_turn) == source for m, source in some) >= 0.95 * len(some) > 15
+    for x in out.values():
+        assert x.reply_conv is None or (out[x.reply_conv, x.reply_turn].thread_id == x.thread_id and out[x.reply_conv, x.reply_turn].position < x.position)
+    con = compare.duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert compare.differences(spark, con, quote_link.query, quote_link.SQL, str(tmp_path)) == []
+
+
+def test_circles_of_replies_are_refused_as_by_brute_force(spark):
+    r = random.Random(12)
+    keys = [(c, t) for c in range(14) for t in range(4)]
+    quotes = {k: r.choice([x for x in keys if x[0] != k[0]]) for k in keys if r.random() < 0.6}
+    rows = [(c, t, "user", f"Sentence of {c} and {t}." + (f"\n> Sentence of {quotes[c, t][0]} and {quotes[c, t][1]}." if (c, t) in quotes else "")) for c, t in keys]
+    rows.append(rows[5])
+    before = lambda k: (k[0], k[1] - 1) if k[1] else None
+    to, rounds = {k: quotes.get(k) or before(k) for k in keys}, 0
+    while True:
+        circle = set()
+        for k in keys:
+            way, at = [], k
+            while at and at not in way:
+                way.append(at)
+                at = to[at]
+            if at == k:
+                circle.add(k)
+        if not circle:
+            break
+        rounds += 1
+        to |= {k: before(k) for k in circle if to[k] and to[k][0] > k[0]}
+    out = list(quote_link.rebuild(spark.createDataFrame(rows, ROWS)).collect())
+    assert rounds > 1 and len(out) == len(rows) and all(((x.reply_conv, x.reply_turn) if x.reply_conv is not None else None) == to[x.conv_id, x.turn] for x in out)
+    place = {(x.thread_id, x.conv_id, x.turn): x.position for x in out}
+    assert all(x.reply_conv is None or place[x.thread_id, x.reply_conv, x.reply_turn] < x.position for x in out)
+    assert all(x.n_linked == ((x.conv_id, x.turn) in quotes) for x in out)
+
+
 # --- secrets ---
 
 
