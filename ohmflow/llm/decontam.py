@@ -5,9 +5,11 @@ after words at ignored positions are replaced. The hashes of all windows of the
 benchmark items; each hit fixes an alignment, around which the overlap is verified word by word: an equal word counts
 +1, another word -MISMATCH, and the best stretch must reach MIN_SCORE.
 
-The item side is broadcast in blocks of at most BLOCK_WORDS words, counted before, so its size is bounded for any
-benchmark; each block is one more pass over the corpus, without a shuffle. Only documents with a hit are then read again and
-joined with their alignments: a map of fixed size tells them, so that no other text is shuffled.
+The corpus is read once for its windows, whatever the number of benchmark words. Up to BROADCAST_WORDS words, counted before, the
+item side is broadcast and nothing is shuffled. Of a larger benchmark two maps of fixed size tell which windows can have a hit (by
+their first two words, then by their seeds); only these are shuffled, with the seeds in SALTS shares, so that a window that
+many documents hold is many tasks' work. Only documents with a hit are then read again and joined with their alignments: another
+map tells them, so that no other text is shuffled.
 
 Defined results: words are runs of letters, digits and non-ASCII characters of the lower-cased text; null and empty texts
 and documents or items with fewer words than a mask (10) have no windows and match nothing: benchmark items that short are not
@@ -20,14 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, native_map, without
+from .common import drop_scratch, fresh, materialize, native_map, without
 
 #: 1 takes a position's word, 0 ignores it. All begin with the same two positions.
 MASKS = ("1101101011", "1110010111", "1100111101")
 SPAN = len(MASKS[0])
 MISMATCH = 2
 MIN_SCORE = 10
-BLOCK_WORDS = 50_000
+BROADCAST_WORDS = 50_000
+SALTS = 8
+#: Places of the map of seeds, 8 MB.
+SEED_SPOTS = 1 << 26
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -37,16 +42,24 @@ def words(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)))
 
 
-def windows(df: DataFrame, keep: list[str], pairs: list[int] | None = None) -> DataFrame:
-    """keep, at (from 0), mask, seed: one row for each window and mask. pairs: hashes of the two words at a window's start;
-    every mask takes these two, so windows that start with no such pair have no hit and are passed over."""
-    spots = F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN)).otherwise(F.array().cast("array<int>"))
-    if pairs is not None:
-        known = ", ".join(f"{p}L" for p in pairs) or "null"
-        near = F.expr(f"filter(transform(h, (x, i) -> if(xxhash64(x, get(h, i + 1)) in ({known}), i, -1)), i -> i >= 0 and i <= size(h) - {SPAN})")
-        spots = near
-    seeds = lambda i: F.struct(i.alias("at"), F.array(*[F.xxhash64(F.lit(m), *[F.get("h", i + k) for k, bit in enumerate(mask) if bit == "1"]) for m, mask in enumerate(MASKS)]).alias("seeds"))
-    placed = df.select(*keep, F.explode(F.transform(spots, seeds)).alias("w"))
+def pair(x: Column, i: Column) -> Column:
+    """The hash of the two words at i."""
+    return F.xxhash64(x, F.get("h", i + 1))
+
+
+def seeds_at(i: Column) -> Column:
+    """The seeds of the window at i, one for each mask."""
+    return F.array(*[F.xxhash64(F.lit(m), *[F.get("h", i + k) for k, bit in enumerate(mask) if bit == "1"]) for m, mask in enumerate(MASKS)])
+
+
+def windows(df: DataFrame, keep: list[str], near: Column | None = None) -> DataFrame:
+    """keep, at (from 0), mask, seed: one row for each window and mask. near: for each word, whether the two words from there start a
+    window of the other side; every mask takes these two, so other windows have no hit and are passed over."""
+    if near is None:
+        spots = F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN)).otherwise(F.array().cast("array<int>"))
+    else:
+        spots = F.filter(F.transform(near, lambda is_near, i: F.when(is_near, i).otherwise(-1)), lambda i: (i >= 0) & (i <= F.size("h") - SPAN))
+    placed = df.select(*keep, F.explode(F.transform(spots, lambda i: F.struct(i.alias("at"), seeds_at(i).alias("seeds")))).alias("w"))
     return placed.select(*keep, "w.at", F.posexplode("w.seeds").alias("mask", "seed"))
 
 
@@ -61,18 +74,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: int = MIN_SCORE) ->
     """doc_id, item_id, score, n_matches (distinct alignments): documents that hold a passage of an item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("h")).filter(F.size("h") >= SPAN)
     total = items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_WORDS))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     rows = source.select("key", words(F.col("text")).alias("h"))
-    found = None
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "h"), F.lit(blocks)) == block) if blocks > 1 else items
-        seeds = windows(part, ["item_id"]).withColumnRenamed("at", "item_at")
-        starts = part.select(F.explode(F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))).alias("p")).distinct()
-        pairs = [r["p"] for r in starts.collect()]
-        hits = windows(rows, ["key"], pairs).join(F.broadcast(seeds), ["mask", "seed"]).select("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-        found = hits if found is None else found.unionByName(hits)
-    hits = materialize(found.distinct(), "hits")
+    seeds = windows(items, ["item_id"]).withColumnRenamed("at", "item_at")
+    starts = items.select(F.explode(F.transform("h", pair)).alias("p")).distinct()
+    if total <= BROADCAST_WORDS:
+        known = ", ".join(f"{r['p']}L" for r in starts.collect()) or "null"
+        near = F.expr(f"transform(h, (x, i) -> xxhash64(x, get(h, i + 1)) in ({known}))")  # as columns each literal would be a call to the JVM
+        placed = windows(rows, ["key"], near)
+        met = placed.join(F.broadcast(seeds), ["mask", "seed"])
+    else:
+        seeds = materialize(seeds, "seeds")
+        wanted = native_map(seeds, "seed", SEED_SPOTS)
+        starting = native_map(starts, "p")
+        near = rows.select("key", "h", F.posexplode(F.transform("h", pair)).alias("at", "p")).filter((F.col("at") <= F.size("h") - SPAN) & starting(F.col("p")))
+        placed = near.select("key", "at", F.posexplode(seeds_at(F.col("at"))).alias("mask", "seed")).filter(wanted(F.col("seed"))).withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int"))
+        met = placed.join(seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["mask", "seed", "salt"])
+    hits = materialize(met.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
+    if total > BROADCAST_WORDS:
+        drop_scratch(seeds)
     # the item is laid over the document at each alignment
     wanted = native_map(hits, "key", 1 << 22)
     laid = hits.join(source.filter(wanted(F.col("key"))), "key").join(items.select("item_id", F.col("h").alias("item")), "item_id").select("doc_id", "item_id", "shift", "item", words(F.col("text")).alias("h"))

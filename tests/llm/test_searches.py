@@ -122,9 +122,11 @@ def test_leaks_tolerate_substitutions(spark):
     assert decontam.leaks(docs, bench.limit(0)).collect() == []
 
 
-def test_benchmark_blocks_give_the_same(spark, monkeypatch):
-    bench = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(8)], "item_id long, text string")
-    docs = bench.select((F.col("item_id") + 100).alias("doc_id"), "text")
+def test_a_benchmark_too_large_for_broadcast_gives_the_same(spark, monkeypatch):
+    # items 6 and 7 share a text, and one passage of item 0 stands in every document
+    bench = spark.createDataFrame([(i, " ".join(f"i{min(i, 6)}w{k}" for k in range(20))) for i in range(8)] + [(8, "short"), (9, None)], "item_id long, text string")
+    docs = bench.select((F.col("item_id") + 100).alias("doc_id"), F.concat_ws(" ", "text", F.lit("it says"), F.expr("transform(sequence(3, 15), k -> if(k = 9, 'zz', 'i0w' || k))"), F.lit("word " * 3000)).alias("text"))
+    docs = docs.union(docs.limit(1)).unionByName(spark.createDataFrame([(None, "x"), (200, None)], "doc_id long, text string"))
     whole = sorted(map(tuple, decontam.leaks(docs, bench).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 40)
-    assert sorted(map(tuple, decontam.leaks(docs, bench).collect())) == whole and len(whole) == 8
+    monkeypatch.setattr(decontam, "BROADCAST_WORDS", 40)
+    assert sorted(map(tuple, decontam.leaks(docs, bench).collect())) == whole and len(whole) == 7 + 10 + 2
