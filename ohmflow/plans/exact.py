@@ -42,11 +42,11 @@ def id_digests(spark, sf):
     return digests.id_digest(td.predictions(spark, sf), ["site_id"], "raw_index")
 
 
-@query(f"""WITH {P}, k AS (SELECT raw_index, (row_number() OVER (ORDER BY raw_index) - 1) // 1000 AS span FROM p), d AS (SELECT span, count(*) AS n, sha256(unhex(string_agg({TURNED}, '' ORDER BY raw_index))) AS h FROM k GROUP BY span),
-u AS (SELECT span // 16 AS span, sum(n) AS n, sha256(unhex(string_agg(h, '' ORDER BY span))) AS h FROM d GROUP BY 1), w AS (SELECT span // 16 AS span, sum(n) AS n, sha256(unhex(string_agg(h, '' ORDER BY span))) AS h FROM u GROUP BY 1)
-SELECT CAST(n AS BIGINT) AS n, h AS sha256 FROM w""")
+@query(f"""WITH RECURSIVE {P}, k AS (SELECT raw_index, (row_number() OVER (ORDER BY raw_index) - 1) // 1000 AS span FROM p), d AS (SELECT span, count(*) AS n, sha256(unhex(string_agg({TURNED}, '' ORDER BY raw_index))) AS h FROM k GROUP BY span),
+t AS (SELECT 0 AS level, span, CAST(n AS HUGEINT) AS n, h, count(*) OVER () AS width FROM d UNION ALL SELECT level, span, n, h, count(*) OVER () FROM (SELECT level + 1 AS level, span // 16 AS span, sum(n) AS n, sha256(unhex(string_agg(h, '' ORDER BY span))) AS h FROM t WHERE level = 0 OR width > 1 GROUP BY ALL))
+SELECT CAST(coalesce(max(n), 0) AS BIGINT) AS n, coalesce(max(h), sha256('')) AS sha256 FROM t WHERE level > 0 AND width = 1""")
 def id_tree_root(spark, sf):
-    """A tree of spans of a thousand ids, sixteen to a node; at these sizes two levels stand above the spans, at larger ones more."""
+    """A tree of spans of a thousand ids, sixteen to a node, with levels above the spans until one node is left: one at least."""
     return digests.id_tree(td.predictions(spark, sf), "raw_index", 1000, 16)
 
 
