@@ -48,7 +48,7 @@ def streamed_overrides(spark, sf):
 
 
 @query(f"""WITH {EVENTS}, a AS (SELECT * FROM e WHERE meter_reading > 40), g AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM a WINDOW w AS (PARTITION BY building_id, meter ORDER BY timestamp)),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY building_id, meter ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS session FROM g), t AS (SELECT building_id, meter, min(timestamp) AS start, max(timestamp) AS last, count(*) AS duration_rows FROM s GROUP BY building_id, meter, session)
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY building_id, meter ORDER BY timestamp) AS session FROM g), t AS (SELECT building_id, meter, min(timestamp) AS start, max(timestamp) AS last, count(*) AS duration_rows FROM s GROUP BY building_id, meter, session)
 SELECT * FROM t WHERE last + INTERVAL 3601 SECOND <= (SELECT max(timestamp) - INTERVAL 2 HOUR FROM a)""")
 def streamed_segments(spark, sf):
     rows = readings(spark, sf).withColumn("anomaly", (F.col("meter_reading") > 40).cast("int"))

@@ -25,3 +25,10 @@ def lines(folder, n: int):
 def test_id_tree_root_has_as_many_levels_as_it_needs(spark, tmp_path, n):
     folder, name = lines(tmp_path, n), "id_tree_root"
     assert compare.differences(spark, connect(folder), driver.queries()[name], driver.oracle_sql()[name], str(folder)) == []
+
+
+def test_streamed_segments_with_several_events_an_hour(spark, tmp_path):
+    duckdb.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (hash(i) % 720 * 3600 + i % 3600) SECOND AS ts, CAST(hash(i + 7) % 400 AS BIGINT) AS user_id, ['view', 'error', 'signup'][1 + i % 3] AS event_type,
+(hash(i + 9) % 100)::DOUBLE AS value, '{{}}' AS props FROM range(150000) r(i)) TO '{tmp_path}/events.parquet'""")
+    name = "streamed_segments"
+    assert compare.differences(spark, connect(tmp_path), driver.queries()[name], driver.oracle_sql()[name], str(tmp_path)) == []
