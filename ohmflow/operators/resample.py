@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohmflow.operators import metrics
-from ohmflow.operators.scan import prefix_sums
+from ohmflow.operators.scan import digest_ranks, prefix_sums
 
 #: Two-sided 95 % points of Student's t by degrees of freedom.
 T_95 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.045230, 2.042272)
@@ -131,14 +131,13 @@ def factorial(cells: DataFrame, groups: list[str], a: str, b: str, value: str, d
 
 
 def permuted(rows: DataFrame, column: str, key: str, repeats: int, groups: list[str], seed: int = 0) -> DataFrame:
-    """repeat and rows, the column's values dealt anew within groups: pairing ranks by key with ranks by a hash of key and repeat."""
-    many = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    part = ["repeat", *groups]
-    one = {"_i": F.lit(1).cast("long")}
-    own = prefix_sums(many, part, key, one).withColumnRenamed("_i_before", "_i").drop("_i_total")
-    hashed = many.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(key).cast("string"))))
-    other = prefix_sums(hashed, part, "_h", one).select(*part, F.col("_i_before").alias("_i"), F.col(column).alias("_v"))
-    return own.join(other, [*part, "_i"]).withColumn(column, F.col("_v")).drop("_i", "_v")
+    """repeat and rows, the column's values dealt anew within groups: pairing ranks by key with ranks by a hash of key and repeat. Ranks by key are
+    made once for all repeats; of a repeat only key and value are dealt."""
+    own = prefix_sums(rows, groups, key, {"_i": F.lit(1).cast("long")}).withColumnRenamed("_i_before", "_i").drop("_i_total")
+    many = rows.select(*groups, key, F.col(column).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(key).cast("string")))
+    other = digest_ranks(many, ["repeat", *groups], hashed, key, "_i").drop(key)
+    return own.join(other, [*groups, "_i"]).withColumn(column, F.col("_v")).drop("_i", "_v")
 
 
 def consensus(importance: DataFrame, model: str = "model", feature: str = "feature", value: str = "importance", top: int = 10, digits: int = 6) -> DataFrame:

@@ -13,6 +13,30 @@ from pyspark.sql import functions as F
 from ohmflow.sources.sinks import stored
 
 
+#: Digits of a digest that name a row's cell: 4,096 cells of about equal counts in each group.
+CELL_DIGITS = 3
+
+
+def cell(digest: Column) -> Column:
+    """The number of the cell that a digest in hexadecimal digits lies in; a null one comes first."""
+    return F.coalesce(F.conv(F.substring(digest, 1, CELL_DIGITS), 16, 10).cast("int"), F.lit(-1))
+
+
+def cell_starts(celled: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, _cell, _start, _n: the rows of the group in earlier cells and in this one. A group's window is one of cells."""
+    counts = celled.groupBy(*groups, "_cell").agg(F.count("*").alias("_n"))
+    return counts.withColumn("_start", F.sum("_n").over(Window.partitionBy(*groups).orderBy("_cell")) - F.col("_n"))
+
+
+def digest_ranks(rows: DataFrame, groups: list[str], digest: Column, key: str, name: str) -> DataFrame:
+    """rows and their rank (from 0) by a digest, then key, within groups; rows of null groups are left out. Rows are counted by cell and ranked
+    within cells, so that a large group is no task of its own. Rows are dealt before the digest is made, so it is not sent."""
+    celled = rows.withColumn("_cell", cell(digest))
+    starts = cell_starts(celled, groups).drop("_n")
+    placed = celled.repartition(*groups, "_cell").withColumn("_in", F.row_number().over(Window.partitionBy(*groups, "_cell").orderBy(digest, key)))
+    return placed.join(starts, [*groups, "_cell"]).select(*rows.columns, (F.col("_start") + F.col("_in") - 1).alias(name))
+
+
 def prefix_sums(rows: DataFrame, groups: list[str], value: str, sums: dict[str, str | Column], descending: bool = False) -> DataFrame:
     """rows and, for each name of sums, name_before (of the rows of the group before this one in the order of value) and name_total (of the
     group). Rows of a group have values of their own; nulls come first, or last if descending."""

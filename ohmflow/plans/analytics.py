@@ -260,7 +260,7 @@ def paired_row_bootstrap(spark, sf):
 h AS (SELECT repeat, meter, score_a, row_number() OVER (PARTITION BY repeat, meter ORDER BY md5('0:' || repeat || ':' || raw_index), raw_index) AS i FROM p, r), l AS (SELECT o.repeat, o.meter, y, h.score_a FROM o JOIN h USING (repeat, meter, i)), {curve_sql('repeat, meter', 'l')}
 SELECT CAST(repeat AS INTEGER) AS repeat, meter, {AREAS} FROM v GROUP BY repeat, meter""")
 def permuted_scores(spark, sf):
-    return metrics.roc_pr(resample.permuted(preds(spark, sf), "score", "raw_index", 3, ["meter"]), ["repeat", "meter"])
+    return metrics.roc_pr(resample.permuted(preds(spark, sf).select("raw_index", "meter", "y", "score"), "score", "raw_index", 3, ["meter"]), ["repeat", "meter"])
 
 
 @query("""WITH i AS (SELECT l_shipmode AS feature, l_linestatus AS model, round(sum(l_tax), 6) AS importance FROM (SELECT l_linenumber AS l_shipmode, l_linestatus, l_tax FROM lineitem) GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY importance DESC) AS r FROM i)
