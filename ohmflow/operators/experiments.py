@@ -41,12 +41,13 @@ def permutation_importance(rows: DataFrame, groups: dict[str, list[str]], scorer
     """feature, repeats, and mean and std of the drops in roc_auc and pr_auc when a feature's columns are dealt anew together. groups names
     each feature's columns; scorer makes the score column from them; values are dealt within part."""
     base = metrics.roc_pr(rows.withColumn("score", scorer()), []).select(F.col("roc_auc").alias("_roc"), F.col("pr_auc").alias("_pr"))
-    out = None
-    for name, columns in groups.items():
-        packed = rows.withColumn("_values", F.struct(*columns))
-        dealt = resample.permuted(packed, "_values", key, repeats, part, seed).drop(*columns).select("*", "_values.*")
-        cell = metrics.roc_pr(dealt.withColumn("score", scorer()), ["repeat"]).withColumn("feature", F.lit(name))
-        out = cell if out is None else out.unionByName(cell)
+    # a repeat deals all features' columns once; a feature takes its own from the dealt row and the others from the row itself
+    every = sorted({c for columns in groups.values() for c in columns})
+    dealt = resample.permuted(rows.withColumn("_values", F.struct(*every)), "_values", key, repeats, part, seed)
+    of = dealt.withColumn("feature", F.explode(F.array(*map(F.lit, groups))))
+    takes = lambda c: F.col("feature").isin([n for n, columns in groups.items() if c in columns])
+    mixed = of.withColumns({c: F.when(takes(c), F.col("_values")[c]).otherwise(F.col(c)) for c in every}).drop("_values")
+    out = metrics.roc_pr(mixed.withColumn("score", scorer()), ["feature", "repeat"])
     drops = out.join(F.broadcast(base)).select("feature", (F.col("_roc") - F.col("roc_auc")).alias("roc"), (F.col("_pr") - F.col("pr_auc")).alias("pr"))
     r = lambda c, n: F.round(c, 6).alias(n)
     return drops.groupBy("feature").agg(F.count("*").alias("repeats"), r(F.avg("roc"), "roc_drop"), r(F.stddev_pop("roc"), "roc_std"), r(F.avg("pr"), "pr_drop"), r(F.stddev_pop("pr"), "pr_std"))

@@ -382,7 +382,7 @@ SELECT feature, count(*) AS repeats, round(avg(roc), 6) AS roc_drop, round(stdde
 @query(_importance_sql())
 def permutation_drops(spark, sf):
     scorer = lambda: F.round(F.col("score_a") - 0.5 * F.col("score_b") + F.col("reading") / 50, 6)
-    return experiments.permutation_importance(td.predictions(spark, sf), {"score_a": ["score_a"], "score_b": ["score_b"], "both": ["score_a", "score_b"]}, scorer, "raw_index", 2, ["meter"])
+    return experiments.permutation_importance(td.predictions(spark, sf).select("raw_index", "meter", "y", *COLUMNS), {"score_a": ["score_a"], "score_b": ["score_b"], "both": ["score_a", "score_b"]}, scorer, "raw_index", 2, ["meter"])
 
 
 COLUMNS = ["reading", "score_a", "score_b"]
