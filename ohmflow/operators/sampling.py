@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ohmflow.functions.scalar import priority
 from ohmflow.functions.stable import stable_priority, unsigned_order
 from ohmflow.operators.features import quantiles
-from ohmflow.operators.scan import prefix_sums
+from ohmflow.operators.scan import cell, cell_starts, prefix_sums
 
 
 #: A sample up to this size is a distributed limit; of a larger one only the last rows are.
@@ -118,8 +118,14 @@ def quotas(groups: DataFrame, total: int, weight: str, key: str, capacity: str |
 
 
 def by_quota(rows: DataFrame, table: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
-    """Each group's rows up to its quota."""
-    return ranked(rows.join(table.select(group, "quota"), group), [group], key, seed).filter("rank < quota").drop("rank", "quota")
+    """Each group's rows up to its quota. Rows are counted by cells of priority; those of cells up to the one in which the quota ends go on, and
+    are ranked within their cell, so no task gathers a group. table is one of groups."""
+    p = priority(seed, F.col(key))
+    celled = rows.withColumn("_cell", cell(p))
+    within = cell_starts(celled, [group]).join(F.broadcast(table.select(group, "quota")), group).filter("_start < quota")
+    ends = within.groupBy(group).agg(F.max("_cell").alias("_last"), F.max_by(F.col("quota") - F.col("_start"), "_cell").alias("_left"))
+    some = celled.join(F.broadcast(ends), group).filter("_cell <= _last").withColumn("_in", F.row_number().over(Window.partitionBy(group, "_cell").orderBy(p, key)))
+    return some.filter("_cell < _last or _in <= _left").select(*rows.columns)
 
 
 def stratified(rows: DataFrame, group: str, n: int, key: str, seed: int = 0) -> DataFrame:

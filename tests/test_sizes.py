@@ -1,10 +1,14 @@
 """Queries on tables beyond the small ones' sizes: SQL of the same rule, and steps that no class or group makes one task's work."""
 
+import hashlib
+
 import compare
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from ohmflow.operators import experiments, resample, sampling
 
 
 def connect(folder):
@@ -32,3 +36,75 @@ def test_streamed_segments_with_several_events_an_hour(spark, tmp_path):
 (hash(i + 9) % 100)::DOUBLE AS value, '{{}}' AS props FROM range(150000) r(i)) TO '{tmp_path}/events.parquet'""")
     name = "streamed_segments"
     assert compare.differences(spark, connect(tmp_path), driver.queries()[name], driver.oracle_sql()[name], str(tmp_path)) == []
+
+
+def labelled(spark, n: int = 20_000):
+    return spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 100 / 7.0).alias("v"))
+
+
+@pytest.fixture
+def dealt_as_planned(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def places(rows, group: str) -> int:
+    """The fewest tasks that hold a group's rows."""
+    return min(r["n"] for r in rows.withColumn("_at", F.spark_partition_id()).groupBy(group).agg(F.count_distinct("_at").alias("n")).collect())
+
+
+def test_quotas_are_no_group_in_one_task(spark, dealt_as_planned):
+    rows = labelled(spark)
+    table = spark.createDataFrame([(0, 9000), (1, 6667)], "y int, quota long")
+    found = sampling.by_quota(rows, table, "y", "k", 5)
+    order = sampling.ranked(rows, ["y"], "k", 5).join(table, "y").filter("rank < quota")
+    assert sorted(r["k"] for r in found.collect()) == sorted(r["k"] for r in order.collect())
+    assert places(found, "y") > 1
+    for n in (0, 1, 7):
+        few = sampling.by_quota(rows, spark.createDataFrame([(0, n)], "y int, quota long"), "y", "k", 5)
+        assert sorted(r["k"] for r in few.collect()) == sorted(r["k"] for r in sampling.ranked(rows, ["y"], "k", 5).filter(f"y = 0 and rank < {n}").collect())
+
+
+def test_quota_takes_a_null_key_and_repeated_keys(spark):
+    rows = spark.createDataFrame([(None, 0), (1, 0), (1, 0), (2, 0), (3, None)], "k long, y int")
+    table = spark.createDataFrame([(0, 2)], "y int, quota long")
+    assert [r["k"] for r in sampling.by_quota(rows, table, "y", "k").collect()].count(None) == 1
+    assert sampling.by_quota(rows, spark.createDataFrame([(0, 9)], "y int, quota long"), "y", "k").count() == 4
+
+
+def test_natural_contexts_nest_without_a_class_in_one_task(spark, dealt_as_planned):
+    found = sampling.natural_contexts(labelled(spark), "k", [3000, 15000], "y", 3)
+    sets = {b: {r["k"] for r in found.filter(F.col("budget") == b).collect()} for b in (3000, 15000)}
+    assert {b: len(s) for b, s in sets.items()} == {3000: 3000, 15000: 15000} and sets[3000] <= sets[15000]
+    assert places(found, "y") > 1
+
+
+def test_replacements_rank_no_class_in_one_task(spark, monkeypatch):
+    rows = labelled(spark)
+    slots, reserve = rows.filter("k % 5 = 0"), rows.filter("k % 5 > 0")
+    a, b = (sampling.ranked(r, ["y"], "k", 0, "i").select("y", "i", F.col("k").alias(n)) for r, n in ((slots, "slot"), (reserve, "replacement")))
+    wanted = sorted(tuple(r) for r in a.join(b, ["y", "i"]).select("slot", "replacement", "y").collect())
+    monkeypatch.setattr(sampling, "ranked", None)
+    assert sorted(tuple(r) for r in sampling.replacements(slots, reserve, "k", "y").collect()) == wanted
+
+
+def test_permuted_ranks_rows_once_for_all_repeats(spark, monkeypatch):
+    seen, plain = [], resample.prefix_sums
+    monkeypatch.setattr(resample, "prefix_sums", lambda rows, *a, **k: (seen.append(rows.count()), plain(rows, *a, **k))[1])
+    rows = labelled(spark, 500)
+    found = resample.permuted(rows, "v", "k", 3, ["y"], 4).select("repeat", "y", "k", "v").toPandas()
+    assert seen == [500]
+    for (repeat, y), part in found.groupby(["repeat", "y"]):
+        of = [r for r in rows.collect() if r["y"] == y]
+        by_hash = sorted(of, key=lambda r: hashlib.md5(f"4:{repeat}:{r['k']}".encode()).hexdigest())
+        assert dict(zip(part["k"], part["v"], strict=True)) == {r["k"]: h["v"] for r, h in zip(of, by_hash, strict=True)}
+
+
+def test_importance_deals_once_for_all_features(spark, monkeypatch):
+    calls, plain = [], resample.permuted
+    monkeypatch.setattr(resample, "permuted", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
+    rows = labelled(spark, 400).withColumn("w", F.col("v") + F.col("y"))
+    groups = {"v": ["v"], "w": ["w"], "both": ["v", "w"]}
+    found = {r["feature"]: r for r in experiments.permutation_importance(rows, groups, lambda: F.round(F.col("v") * 0.1 + F.col("w"), 6), "k", 2, ["y"]).collect()}
+    assert len(calls) == 1 and set(found) == set(groups) and all(r["repeats"] == 2 for r in found.values())
