@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ohmflow.functions.scalar import priority
 from ohmflow.functions.stable import stable_priority, unsigned_order
 from ohmflow.operators.features import quantiles
-from ohmflow.operators.scan import cell, cell_starts, prefix_sums
+from ohmflow.operators.scan import cell, cell_starts, digest_ranks, prefix_sums
 
 
 #: A sample up to this size is a distributed limit; of a larger one only the last rows are.
@@ -48,6 +48,11 @@ def ranked(rows: DataFrame, groups: list[str], key: str, seed: int = 0, name: st
     return rows.withColumn("_p", priority(seed, F.col(key))).withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy("_p", key)) - 1).drop("_p")
 
 
+def spread_ranks(rows: DataFrame, groups: list[str], key: str, seed: int = 0, name: str = "rank") -> DataFrame:
+    """ranked() for few large groups: no task gathers one. Rows of null groups are left out."""
+    return digest_ranks(rows, groups, priority(seed, F.col(key)), key, name)
+
+
 def per_group(rows: DataFrame, groups: list[str], n: int, key: str, seed: int = 0) -> DataFrame:
     """At most n rows of each group."""
     return ranked(rows, groups, key, seed).filter(F.col("rank") < n).drop("rank")
@@ -246,8 +251,8 @@ def natural_contexts(rows: DataFrame, key: str, budgets: list[int], label: str =
         part = quotas(counts, b, "_w", label).select(label, F.lit(b).alias("budget"), "quota")
         table = part if table is None else table.unionByName(part)
     most = table.groupBy(label).agg(F.max("quota").alias("quota"))
-    drawn = ranked(by_quota(rows, most, label, key, seed), [label], key, seed, "_k")
-    return drawn.join(table, label).filter("_k < quota").drop("_k", "quota")
+    drawn = spread_ranks(by_quota(rows, most, label, key, seed), [label], key, seed, "_k")
+    return drawn.join(F.broadcast(table), label).filter("_k < quota").drop("_k", "quota")
 
 
 def half_flagged(rows: DataFrame, flag: str, n: int, key: str, seed: int = 0) -> DataFrame:
