@@ -83,7 +83,7 @@ def nested_balanced(rows: DataFrame, key: str, budgets: list[int], label: str =
     """budget and rows: alternating positives and negatives, every budget a prefix of the larger ones."""
     half = (max(budgets) + 1) // 2
     parts = [sample(rows.filter(F.col(label) == c), half, key, seed) for c in (0, 1)]
-    placed = ranked(parts[0].unionByName(parts[1]), [label], key, seed, "_k").withColumn("place", F.col("_k") * 2 + (1 - F.col(label))).drop("_k")
+    placed = spread_ranks(parts[0].unionByName(parts[1]), [label], key, seed, "_k").withColumn("place", F.col("_k") * 2 + (1 - F.col(label))).drop("_k")
     return placed.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).filter(F.col("place") < F.col("budget"))
 
 
@@ -200,8 +200,9 @@ def shuffle_labels(rows: DataFrame, groups: list[str], key: str, label: str = "a
 
 def replacements(slots: DataFrame, reserve: DataFrame, key: str, label: str = "anomaly", seed: int = 0) -> DataFrame:
     """slot, replacement, label: each slot gets a different reserve row of its label, paired by rank."""
-    a = ranked(slots, [label], key, seed, "_k").select(label, "_k", F.col(key).alias("slot"))
-    b = ranked(reserve, [label], key, seed, "_k").select(label, "_k", F.col(key).alias("replacement"))
+    wanted = slots.groupBy(label).agg(F.count("*").alias("quota"))
+    a = spread_ranks(slots.select(label, key), [label], key, seed, "_k").select(label, "_k", F.col(key).alias("slot"))
+    b = spread_ranks(by_quota(reserve.select(label, key), wanted, label, key, seed), [label], key, seed, "_k").select(label, "_k", F.col(key).alias("replacement"))
     return a.join(b, [label, "_k"]).select("slot", "replacement", label)
 
 
@@ -267,7 +268,7 @@ def bounded_rows(rows: DataFrame, per_class: int, key: str, label: str = "anomal
 
 def per_class_ranks(rows: DataFrame, per_class: int, key: str, label: str, seed: int) -> DataFrame:
     parts = [sample(rows.filter(F.col(label) == c), per_class, key, seed) for c in (1, 0)]
-    return ranked(parts[0].unionByName(parts[1]), [label], key, seed, "_k")
+    return spread_ranks(parts[0].unionByName(parts[1]), [label], key, seed, "_k")
 
 
 def downsampled_ids(rows: DataFrame, key: str, order: list[str], label: str = "anomaly", seed: int = 10) -> DataFrame:
