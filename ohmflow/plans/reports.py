@@ -157,12 +157,12 @@ def archive(spark, sf, variant: str):
     """A wide archive of one meter, written as its files: a column for each building, metadata, weather."""
     rows = td.readings(spark, sf).filter("meter = 'view'").select(F.concat(F.lit("b"), F.col("building_id").cast("string")).alias("building_id"), "site_id", "timestamp", "meter_reading")
     root, names = sinks.scratch_folder(spark, "archive"), sorted(r["building_id"] for r in rows.select("building_id").distinct().collect())
-    wide = rows.groupBy("timestamp").pivot("building_id", names).agg(F.max("meter_reading"))
     meta = rows.select("building_id", F.concat(F.lit("s"), F.col("site_id").cast("string")).alias("site_id")).distinct()
     none = F.lit(None).cast("string")
     meta = meta.select("building_id", "site_id", F.when(F.col("site_id") == "s1", F.lit("7")).alias("building_id_kaggle"), none.alias("site_id_kaggle"), F.lit("Office").alias("primaryspaceusage"), F.lit(100).alias("sqft"), none.alias("yearbuilt"), none.alias("numberoffloors"), F.lit("US/Eastern").alias("timezone"))
     weather = rows.groupBy("timestamp", F.concat(F.lit("s"), F.col("site_id").cast("string")).alias("site_id")).agg(F.min("meter_reading").alias("airTemperature"))
-    for name, table in ((f"view{variant}", wide), ("metadata", meta), ("weather", weather.filter("airTemperature > 5"))):
+    sinks.write_wide(rows, f"{root}/view{variant}.csv", "timestamp", "building_id", "meter_reading", names)
+    for name, table in (("metadata", meta), ("weather", weather.filter("airTemperature > 5"))):
         sinks.write_csv(table, f"{root}/{name}.csv")
     return root
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,14 +91,39 @@ def melt(wide: DataFrame, meter: str, known: DataFrame | None = None, columns: l
     return wide.unpivot(["timestamp"], chosen, "building_id", "meter_reading").select("building_id", F.lit(meter).alias("meter"), "timestamp", "meter_reading")
 
 
+def read_wide(spark: SparkSession, path: str, meter: str, known: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+    """melt() of a CSV file as strings. Lines are cut into fields where they are read: the plan has no column for each building, so it does not grow
+    with them."""
+    names = spark.read.option("header", True).csv(path).columns
+    if "timestamp" not in names or set(columns or []) - set(names):
+        raise ValueError(f"{meter} file lacks {', '.join(c for c in ['timestamp', *(columns or [])] if c not in names)}")
+    chosen = columns or [c for c in names if c != "timestamp"]
+    if known is not None:
+        given = spark.createDataFrame([(c,) for c in chosen], "building_id string")
+        if not given.join(known, "building_id", "left_anti").isEmpty():
+            raise ValueError(f"{meter} file has a building that metadata lacks")
+    place = {c: i for i, c in enumerate(names)}
+    at, taken = place["timestamp"], [place[c] for c in chosen]
+
+    def cut(batches):
+        for batch in batches:
+            for fields in csv.reader(batch["value"], escapechar="\\"):
+                # every file begins with the header
+                if fields and fields[at : at + 1] != ["timestamp"]:
+                    values = [(fields[i] or None) if i < len(fields) else None for i in taken]
+                    yield pd.DataFrame({"building_id": chosen, "timestamp": fields[at] or None if at < len(fields) else None, "meter_reading": pd.Series(values, dtype=object)})
+
+    long = spark.read.text(path).mapInPandas(cut, "building_id string, timestamp string, meter_reading string")
+    return long.select("building_id", F.lit(meter).alias("meter"), "timestamp", "meter_reading")
+
+
 def load_archive(spark: SparkSession, root: str, meters: list[str], variant: str = "cleaned", buildings: list[str] | None = None, with_weather: bool = True) -> DataFrame:
     """The long frame of a wide archive: union of meter files, metadata, optional weather; keys are unique."""
     metadata = load_metadata(spark, root)
     suffix = {"cleaned": "_cleaned", "raw": ""}[variant]
     long = None
     for meter in meters:
-        wide = spark.read.option("header", True).csv(f"{root}/{meter}{suffix}.csv")
-        part = melt(wide, meter, metadata.select("building_id"), buildings)
+        part = read_wide(spark, f"{root}/{meter}{suffix}.csv", meter, metadata.select("building_id"), buildings)
         part = part.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).withColumn("meter_reading", F.col("meter_reading").cast("double"))
         long = part if long is None else long.unionByName(part)
     require_unique(long, ["building_id", "meter", "timestamp"], "archive")

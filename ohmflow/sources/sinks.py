@@ -36,6 +36,17 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_wide(rows: DataFrame, path: str, line: str, column: str, value: str, names: list[str]) -> None:
+    """A CSV file with a line for each value of `line` and a column for each of names; columns are joined as text, so the plan has none for each name.
+    Names and values need no quotes; (line, column) is a key."""
+    spark = rows.sparkSession
+    places = spark.createDataFrame(list(enumerate(names)), "_at int, _name string")
+    cells = places.join(F.broadcast(rows.select(line).distinct())).join(rows.select(line, F.col(column).alias("_name"), F.col(value).cast("string").alias("_v")), [line, "_name"], "left")
+    fields = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_v", F.lit("")).alias("_v")))), lambda x: x["_v"])
+    lines = cells.groupBy(line).agg(F.array_join(fields, ",").alias("_fields")).select(F.concat_ws(",", F.col(line).cast("string"), "_fields"))
+    lines.toDF(",".join([line, *names])).write.mode("overwrite").option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+
+
 def write_json(rows: DataFrame, path: str, revision: str) -> None:
     """JSON lines with when and from which revision they were made."""
     rows.withColumn("generated_at_utc", F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())).withColumn("revision", F.lit(revision)).write.mode("overwrite").json(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from ohmflow.operators import experiments, resample, sampling
+from ohmflow.sources import ingest, sinks
 
 
 def connect(folder):
@@ -108,3 +109,18 @@ def test_importance_deals_once_for_all_features(spark, monkeypatch):
     groups = {"v": ["v"], "w": ["w"], "both": ["v", "w"]}
     found = {r["feature"]: r for r in experiments.permutation_importance(rows, groups, lambda: F.round(F.col("v") * 0.1 + F.col("w"), 6), "k", 2, ["y"]).collect()}
     assert len(calls) == 1 and set(found) == set(groups) and all(r["repeats"] == 2 for r in found.values())
+
+
+def test_wide_archives_are_planned_without_a_column_for_each_building(spark, tmp_path):
+    names = [f"b{i}" for i in range(300)]
+    rows = spark.range(3 * 300).select((F.col("id") % 3).alias("hour"), F.concat(F.lit("b"), F.floor(F.col("id") / 3).cast("string")).alias("building_id"), F.when(F.col("id") % 7 > 0, F.col("id") / 4).alias("v"))
+    rows = rows.select(F.timestamp_add("HOUR", "hour", F.lit("2024-01-01").cast("timestamp_ntz")).alias("timestamp"), "building_id", "v")
+    path = str(tmp_path / "view.csv")
+    sinks.write_wide(rows, path, "timestamp", "building_id", "v", names)
+    plain = lambda long: sorted((r["building_id"], r["timestamp"], r["meter"], r["meter_reading"] or "") for r in long.collect())
+    long = ingest.read_wide(spark, path, "view")
+    assert plain(long) == plain(ingest.melt(spark.read.option("header", True).csv(path), "view")) and long.count() == 900
+    assert len(long._jdf.queryExecution().optimizedPlan().toString()) < 2000
+    assert plain(ingest.read_wide(spark, path, "view", columns=["b7"])) == [r for r in plain(long) if r[0] == "b7"]
+    with pytest.raises(ValueError, match="building that metadata lacks"):
+        ingest.read_wide(spark, path, "view", spark.createDataFrame([("b1",)], "building_id string"))
