@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from ohmflow.operators import experiments, resample, sampling
+from ohmflow.operators import experiments, loads, resample, sampling
 from ohmflow.sources import ingest, sinks
 
 
@@ -124,3 +124,32 @@ def test_wide_archives_are_planned_without_a_column_for_each_building(spark, tmp
     assert plain(ingest.read_wide(spark, path, "view", columns=["b7"])) == [r for r in plain(long) if r[0] == "b7"]
     with pytest.raises(ValueError, match="building that metadata lacks"):
         ingest.read_wide(spark, path, "view", spark.createDataFrame([("b1",)], "building_id string"))
+
+
+def jobs_and_tasks(spark, tag: str, run):
+    """What run gives, and the jobs and tasks that it took."""
+    spark.sparkContext.setJobGroup(tag, tag)
+    found, tracker = run(), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("", "")
+    jobs = tracker.getJobIdsForGroup(tag)
+    stages = [tracker.getStageInfo(s) for j in jobs for s in tracker.getJobInfo(j).stageIds]
+    return found, len(jobs), sum(s.numCompletedTasks for s in stages if s)
+
+
+def test_load_vectors_fill_gaps_in_place(spark):
+    # hours 0 and 1 of the year, then 400 and 403: gaps in the midst, at the week's start and at its end
+    rows = spark.range(8).select((F.col("id") % 2).alias("building_id"), F.timestamp_add("HOUR", F.element_at(F.array(*map(F.lit, (0, 1, 400, 403))), (F.floor(F.col("id") / 2) + 1).cast("int")), F.lit("2024-01-01").cast("timestamp_ntz")).alias("timestamp"), (F.col("id") * F.col("id") + 1.0).alias("meter_reading"))
+    for period, at in ((168, [0, 1, 64, 67]), (None, [0, 1, 400, 403])):
+        for r in loads.load_vectors(rows, period=period).collect():
+            assert [i for i, z in enumerate(r["hours"]) if z] == at and len(r["hours"]) == (period or 404) and r["n_hours"] == 4
+
+
+def test_load_groups_pass_over_as_many_parts_as_the_vectors_need(spark):
+    rows = spark.range(60).select(F.col("id").alias("building_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: ((F.col("id") % 3 == i % 3).cast("double") + F.col("id") / 1000)).alias("hours"))
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        (found, quality), _, tasks = jobs_and_tasks(spark, "load-groups", lambda: loads.load_groups(rows.repartition(60), k=3, starts=2))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found.count() == 60 and quality["stability"] == 1.0 and tasks < 500
+    assert found.join(rows, "building_id").groupBy("cluster").agg(F.count_distinct(F.col("building_id") % 3).alias("n")).filter("n <> 1").isEmpty()
