@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from ohmflow.operators import experiments, loads, resample, sampling
+from ohmflow.operators import experiments, loads, resample, sampling, trees
 from ohmflow.sources import ingest, sinks
 
 
@@ -153,3 +153,24 @@ def test_load_groups_pass_over_as_many_parts_as_the_vectors_need(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found.count() == 60 and quality["stability"] == 1.0 and tasks < 500
     assert found.join(rows, "building_id").groupBy("cluster").agg(F.count_distinct(F.col("building_id") % 3).alias("n")).filter("n <> 1").isEmpty()
+
+
+def planned(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_scored_without_being_sent_by_a_coarse_key(spark, dealt_as_planned):
+    rows = labelled(spark, 2000).select("y", (F.col("k") % 7).alias("building"), (F.col("k") % 2).alias("meter"), "v")
+    levels, edges = [["building", "meter"], ["meter"]], {"v": [2.0, 5.0, 9.0]}
+    found = trees.fit_units(rows.filter("building < 5"), levels, ["v"], edges)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = trees.score_units(rows, found, levels, ["v"], edges)
+        assert "SortMergeJoin" not in planned(scored) and "Exchange hashpartitioning" not in planned(scored)
+        assert {r["routed"]: r["count"] for r in scored.groupBy("routed").count().collect()} == {0: rows.filter("building < 5").count(), 1: rows.filter("building >= 5").count()}
+        trees.BROADCAST_UNITS = 3
+        again = trees.score_units(rows, found, levels, ["v"], edges)
+        assert "SortMergeJoin" not in planned(again) and again.exceptAll(scored).isEmpty()
+    finally:
+        trees.BROADCAST_UNITS = 10_000
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
