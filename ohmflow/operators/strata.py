@@ -139,7 +139,8 @@ def factorial_cells(rows: DataFrame, groups: list[str], score: str = "score", la
     pos, neg = rows.filter(F.col(label) == 1), rows.filter(F.col(label) == 0)
     cuts = quantiles(neg, groups, score, [normal], "_c").withColumn("_cut", F.col("_c")[0]).drop("_c")
     hit = (F.col(label) == 0) & (F.col(score) >= F.col("_cut"))
-    sums = rows.join(cuts, groups, "left").groupBy(*groups).agg(F.count_if(F.col(label) == 1).alias("positives"), F.max("_cut").alias("_cut"), F.count_if(hit).alias("false_positives"), F.count_distinct("building_id").alias("buildings"), F.count_distinct(segment).alias("segments"))
+    # cuts are a row for each group; broadcast, so that no group's rows are sent to one task
+    sums = rows.join(F.broadcast(cuts), groups, "left").groupBy(*groups).agg(F.count_if(F.col(label) == 1).alias("positives"), F.max("_cut").alias("_cut"), F.count_if(hit).alias("false_positives"), F.count_distinct("building_id").alias("buildings"), F.count_distinct(segment).alias("segments"))
     return sums.join(quantiles(pos, groups, score, [0.5, 0.9]), groups, "left").select(*groups, "positives", _r(F.col("q")[0], "median"), _r(F.col("q")[1], "q90"), _r(F.col("_cut"), "cut"), "false_positives", "buildings", "segments")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from ohmflow.operators import experiments, loads, resample, sampling, trees
+from ohmflow.operators import experiments, loads, resample, sampling, strata, trees
 from ohmflow.sources import ingest, sinks
 
 
@@ -174,3 +174,15 @@ def test_rows_are_scored_without_being_sent_by_a_coarse_key(spark, dealt_as_plan
     finally:
         trees.BROADCAST_UNITS = 10_000
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_factorial_cells_send_no_rows_by_group(spark, dealt_as_planned):
+    rows = labelled(spark, 700).select("y", F.col("v").alias("score"), (F.col("k") % 2).alias("meter"), (F.col("k") % 9).alias("building_id"), (F.col("k") % 7).alias("segment"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = strata.factorial_cells(rows, ["meter"])
+        joins = [line for line in planned(found).splitlines() if "SortMergeJoin" in line]
+        assert len(joins) == 1  # of the groups' sums and quantiles
+        assert [r["buildings"] for r in found.collect()] == [9, 9]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
