@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ohmflow.operators import metrics, models, resample, sampling, strata
+from ohmflow.sources.sinks import stored
 
 
 def masks(rows: DataFrame, experiments: dict[str, tuple[Column, Column | None]]) -> DataFrame:
@@ -61,7 +62,9 @@ def small_tree() -> DecisionTreeClassifier:
 
 
 def cell(train: DataFrame, test: DataFrame, columns: list[str], learner=None) -> DataFrame:
-    """n_pos, n_neg, roc_auc, pr_auc on the test rows of a learner fitted on the training rows, scaled on them."""
+    """n_pos, n_neg, roc_auc, pr_auc on the test rows of a learner fitted on the training rows, scaled on them. A fit passes over its rows several
+    times, so what made them is done once, into a table."""
+    train = stored(train.select(*columns, "y"), "fit-rows")
     scaler = models.fit_scaler(train, columns)
     fitted = models.fit_members(models.scale(train, scaler), columns, {"score": learner or small_tree()})
     scored = models.score_members(models.scale(test, scaler), fitted, columns, ["y"])

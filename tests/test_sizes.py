@@ -186,3 +186,10 @@ def test_factorial_cells_send_no_rows_by_group(spark, dealt_as_planned):
         assert [r["buildings"] for r in found.collect()] == [9, 9]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fits_read_rows_that_are_made_once(spark, monkeypatch):
+    calls, plain = [], sinks.stored
+    monkeypatch.setattr(experiments, "stored", lambda rows, tag: (calls.append(rows.columns), plain(rows, tag))[1])
+    rows = labelled(spark, 300)
+    assert experiments.cell(rows, rows, ["v"]).first()["n_pos"] == 100 and calls == [["v", "y"]]
