@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ohmflow.operators import metrics, placements, trees
 from ohmflow.operators.features import quantiles
 from ohmflow.operators.scan import prefix_sums
+from ohmflow.sources.sinks import stored
 
 #: From these on a shift counts as drift (share of a gap, stability index).
 KS_LIMIT, PSI_LIMIT = 0.1, 0.2
@@ -171,23 +172,31 @@ def sampled_trials(n: int, seed: int = 0) -> list[dict]:
 
 
 def default_and_searched(train: DataFrame, validation: DataFrame, test: DataFrame, features: list[str], edges: dict, trials: list[dict], label: str = "y") -> DataFrame:
-    """arm, trial, validation_pr, test_pr, test_roc: symmetric trees with their default settings, and with those of the trial of best validation PR area (the first on ties)."""
+    """arm, trial, validation_pr, test_pr, test_roc: symmetric trees with their default settings, and with those of the trial of best validation PR area (the first on ties).
+    A tree knows a row by its bins only, so each part is reduced once to distinct bins with counts, by which all trials are fitted and evaluated."""
     spark = train.sparkSession
     default = {"rounds": 2, "depth": 2, "rate": 0.5, "ridge": 1.0}
+    most = max(len(e) for e in edges.values()) + 1
+    cells = lambda rows, tag: stored(trees.unit_cells(rows, [[]], features, edges, label), tag)
+    fitted_on = cells(train, "train-cells")
+    # a class of a cell is a row of so many
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("pos").alias("w")), F.struct(F.lit(0).alias("y"), (F.col("n") - F.col("pos")).alias("w")))).alias("_c")
+    validation, test = (cells(rows, tag).select("x", sides).select("x", "_c.*") for rows, tag in ((validation, "validation-cells"), (test, "test-cells")))
 
-    def scored(rows, model, depth):
-        return rows.withColumn("score", trees.symmetric_score(model, features, edges, depth, 9)) if model else rows.withColumn("score", F.lit(0.5))
+    def areas(part, model, depth):
+        score = trees.symmetric_score(model, features, edges, depth, 9, "x") if model else F.lit(0.5)
+        return metrics.roc_pr(part.withColumn("score", score), [], "score", "y", "w").first() or {"pr_auc": None, "roc_auc": None}
 
     def run(settings):
-        row = trees.fit_units(train, [[]], features, edges, label, symmetric=True, **settings).first()
+        row = trees.grow_units(fitted_on, most, symmetric=True, **settings).first()
         model = row.asDict(recursive=True) if row else None
-        return model, metrics.roc_pr(scored(validation, model, settings["depth"]), [], "score", label).first()["pr_auc"]
+        return model, areas(validation, model, settings["depth"])["pr_auc"]
 
     found = [(s, *run(s)) for s in [default, *trials]]
     best = max(range(1, len(found)), key=lambda i: (found[i][2] or 0.0, -i))
     out = []
     for arm, i in (("default", 0), ("searched", best)):
         s, model, area = found[i]
-        t = metrics.roc_pr(scored(test, model, s["depth"]), [], "score", label).first()
+        t = areas(test, model, s["depth"])
         out.append((arm, i, area, t["pr_auc"], t["roc_auc"]))
     return spark.createDataFrame(out, "arm string, trial int, validation_pr double, test_pr double, test_roc double")

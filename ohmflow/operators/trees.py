@@ -167,15 +167,17 @@ def score_units(rows: DataFrame, models: DataFrame, levels: list[list[str]], fea
     return odds.select("_row.*", F.round(1 / (1 + F.exp(-F.col("score"))), digits).alias("score"), "routed")
 
 
-def symmetric_score(model: dict, features: list[str], edges: dict[str, list[float]], depth: int, digits: int = 6) -> Column:
-    """The probability by one stored symmetric model (a row of fit_units, as a dict), as a column: bits of the splits, then a lookup."""
+def symmetric_score(model: dict, features: list[str], edges: dict[str, list[float]], depth: int, digits: int = 6, bins: str | None = None) -> Column:
+    """The probability by one stored symmetric model (a row of fit_units, as a dict), as a column: bits of the splits, then a lookup. bins: a column of
+    binned() to score by, in place of the features."""
     odds = F.lit(float(model["base"]))
     for tree in model["trees"]:
         leaf = F.lit(0)
         for level in range(depth):
             split = tree["splits"].get(2**level)
             cut = edges[features[split["f"]]][split["c"]] if split and split["c"] < len(edges[features[split["f"]]]) else None
-            bit = F.lit(0) if cut is None else F.coalesce((F.col(features[split["f"]]) > cut).cast("int"), F.lit(0))
+            over = None if cut is None else F.col(features[split["f"]]) > cut if bins is None else F.col(bins)[split["f"]] > split["c"]
+            bit = F.lit(0) if cut is None else F.coalesce(over.cast("int"), F.lit(0))
             leaf = leaf * 2 + bit
         odds = odds + F.get(F.array(*map(F.lit, tree["leaves"])), leaf)
     return F.round(1 / (1 + F.exp(-odds)), digits)
